@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quadloom.runtime import shuffle_partitions
+from quadloom.runtime import Spool, shuffle_partitions
 
 #: Most attributes a wide table may have; the slot table is sent to every task.
 MAX_SLOTS = 5000
@@ -218,6 +218,7 @@ def registers(rdf: DataFrame, predicates: DataFrame):
     spark = rdf.sparkSession
     number = F.broadcast(spark.createDataFrame([(p, i) for i, p in enumerate(slots.keys)], "_p string, _slot int"))  # at most MAX_SLOTS rows
     cells = rdf.select("s_lex", "p_lex", "o_lex").join(number, F.col("p_lex") == F.col("_p")).select("s_lex", "_slot", "o_lex")
+    cells = Spool(spark).write(cells)  # narrow and columnar: a lost task re-reads these, not the statement table
     pairs = cells.rdd.map(lambda r: (r[0], (r[1], r[2])))
     return pairs.combineByKey(slots.start, slots.put, slots.merge, shuffle_partitions(spark)), slots
 
