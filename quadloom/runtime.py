@@ -3,13 +3,30 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def ship(spark: SparkSession) -> SparkSession:
+    """Makes this package importable in the Python workers where PYTHONPATH doesn't already do so.
+
+    The archive is read by the driver alone; executors fetch it through Spark.
+    """
+    sc, home = spark.sparkContext, Path(__file__).resolve().parent.parent
+    if not getattr(sc, "_quadloom_shipped", False):
+        if str(home) not in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+            made = tempfile.mkdtemp(prefix="quadloom-")
+            atexit.register(shutil.rmtree, made, True)
+            sc.addPyFile(shutil.make_archive(f"{made}/quadloom", "zip", home, "quadloom"))
+        sc._quadloom_shipped = True
+    return spark
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -41,6 +58,7 @@ class Spool:
     """Intermediate tables written as parquet to the shared folder; columnar, so re-reads prune columns."""
 
     def __init__(self, spark: SparkSession) -> None:
+        ship(spark)
         self.spark, self.root = spark, f"{shared_dir(spark).rstrip('/')}/quadloom-{uuid.uuid4().hex}"
         self.n = 0
         atexit.register(_delete, spark, self.root)
