@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadloom.llm import lookalikes, packing, sketches, tokenize
+from quadloom.llm import language, lookalikes, packing, sketches, tokenize
 from quadloom.runtime import Spool, table
 
 TOKENIZERS = os.environ.get("QUADLOOM_TOKENIZERS", "/opt/tokenizers")
@@ -18,6 +18,32 @@ def byte_bpe_50k() -> tokenize.Tokenizer:
     return tokenize.Tokenizer(f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
 
 
+def _records(spark: SparkSession, d: str) -> DataFrame:
+    """key (src_table, rec_id), label, text of both tables of literals."""
+    lit, cell = table(spark, d, "literals"), table(spark, d, "table_query_result")
+    one = lambda name, rid, label: [F.struct(F.lit(name).alias("src_table"), F.col(rid).alias("rec_id")).alias("key"), F.col(label).alias("label"), F.col("lex").alias("text")]
+    return lit.select(*one("literals", "literal_id", "lang")).union(cell.select(*one("table_query_result", "cell_id", "xml_lang")))
+
+
+def _p1_segments(spark: SparkSession, d: str) -> DataFrame:
+    records = _records(spark, d)
+    return language.segments(records, "key", "text", "label", language.fit_table(table(spark, d, "language_samples"), records))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return language.unnamed_languages(_p1_segments(spark, d)).select("key.src_table", "key.rec_id", "lang")
+
+
+def p1_segments(spark: SparkSession, d: str) -> DataFrame:
+    each = _p1_segments(spark, d).select("key.*", F.posexplode("segs").alias("seg_no", "s"))
+    return each.select("src_table", "rec_id", "seg_no", "s.*")
+
+
+def p1_records(spark: SparkSession, d: str) -> DataFrame:
+    """Each record's main language, the one of most characters, with the mean confidence of its segments; null where there is none."""
+    return language.main_language(_p1_segments(spark, d)).select("key.src_table", "key.rec_id", "lang", "confidence")
+
+
 def p3_distinct(spark: SparkSession, d: str) -> DataFrame:
     return sketches.estimates(sketches.registers(table(spark, d, "rdf")))
 
@@ -48,7 +74,7 @@ def p8_pack(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p3_distinct, p3_late_merge, p4_found, p4_canonical, p7_ids, p8_pack)}
+    return {f.__name__: f for f in (p1_found, p1_segments, p1_records, p3_distinct, p3_late_merge, p4_found, p4_canonical, p7_ids, p8_pack)}
 
 
 _REGISTERS = """

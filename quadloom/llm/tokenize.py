@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from quadloom.runtime import task_slots
+from quadloom.runtime import ship, task_slots
 
 CHUNK = 65_536
 OVERLAP = 2_048
@@ -122,8 +122,9 @@ def _boundaries(shared, chunk: int, overlap: int):
             heads, tails = [], []
             for i in range(batch.num_rows):
                 start, body = batch.column(2)[i].as_py(), batch.column(3)[i].as_py()
-                ends = [m.end() for m in split.finditer(body)]
-                # what ends the chunk may go on in the text, so the last two pre-tokens prove nothing
+                # white space looks ahead, so a piece must not end with it
+                ends = [m.end() for m in split.finditer(body) if not m.group()[-1].isspace()]
+                # what ends the chunk may go on in the text, so the last two boundaries prove nothing
                 inner = ends[:-2] if len(body) > chunk else ends
                 heads.append([start + e for e in ends[:-2] if 0 < e <= overlap])
                 tails.append([start + e for e in inner if e > chunk])
@@ -166,7 +167,7 @@ def encode_table(df: DataFrame, key: str, text: str, tokenizer: Tokenizer, count
     """
     if not 0 < overlap < chunk:
         raise ValueError("the overlap must be shorter than a chunk")
-    spark = df.sparkSession
+    spark = ship(df.sparkSession)
     shared = spark.sparkContext.broadcast(tokenizer)  # one vocabulary file
     rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
     name = "n_tokens" if counting else "ids"
@@ -178,7 +179,7 @@ def encode_table(df: DataFrame, key: str, text: str, tokenizer: Tokenizer, count
 
 def decode_table(df: DataFrame, key: str, ids: str, tokenizer: Tokenizer) -> DataFrame:
     """(key, text): the ids' bytes, concatenated and read as UTF-8 (invalid sequences become U+FFFD); null ids give null."""
-    shared = df.sparkSession.sparkContext.broadcast(tokenizer)
+    shared = ship(df.sparkSession).sparkContext.broadcast(tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = shared.value.encoding()
