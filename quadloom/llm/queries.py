@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadloom.llm import language, lookalikes, packing, sketches, tokenize
+from quadloom.llm import language, lookalikes, packing, pii, sketches, tokenize
 from quadloom.runtime import Spool, table
 
 TOKENIZERS = os.environ.get("QUADLOOM_TOKENIZERS", "/opt/tokenizers")
@@ -73,8 +73,17 @@ def p8_pack(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(Spool(spark).write(sizes), "doc_id", "n_tokens", CAPACITY)
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    found = pii.find(table(spark, d, "documents"), "doc_id", "text")
+    return found.select(F.col("key").alias("doc_id"), F.explode("spans").alias("s")).select("doc_id", "s.*").distinct()
+
+
+def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return pii.redact(table(spark, d, "documents"), "doc_id", "text")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_segments, p1_records, p3_distinct, p3_late_merge, p4_found, p4_canonical, p7_ids, p8_pack)}
+    return {f.__name__: f for f in (p1_found, p1_segments, p1_records, p3_distinct, p3_late_merge, p4_found, p4_canonical, p7_ids, p8_pack, p9_found, p9_redacted)}
 
 
 _REGISTERS = """
