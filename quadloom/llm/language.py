@@ -1,9 +1,9 @@
 """Language of documents and of their segments, with confidence, by string kernels.
 
-Model: blended-spectrum presence kernel (shared n-grams of 1 to ``N`` characters within padded words, each counted once, divided
-by the root of both counts), Nystroem features on landmark texts, one-versus-rest kernel ridge regression. As the kernel is linear
-in the n-gram indicator, landmarks and regression weights fold into one matrix (n-gram x language), and a batch of segments is
-scored by one sparse matrix product.
+Model: blended-spectrum presence kernel (n-grams of 1 to ``N`` characters that words share, each counted once a word, divided by
+the root of both texts' numbers), Nystroem features on landmark texts, one-versus-rest kernel ridge regression. As the kernel is
+linear in the n-gram indicators, landmarks and regression weights fold into one matrix (n-gram x language); the words of a batch
+are scored by one matrix product with it, and segments by sums of their words' rows.
 
 Segments: a text is cleaned (width forms, invisible characters, letters of other scripts drawn alike), mark-up, quoted titles,
 IRIs and tokens with digits are left out, and clauses are cut at strong punctuation. Within a clause the best path over the
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -53,13 +54,16 @@ _TAG = r"<[^<>\n]{0,200}>"
 _QUOTED = r'“[^“”\n]{0,200}”|"[^"\n]{0,200}"|«[^«»\n]{0,200}»|„[^„“”\n]{0,200}[“”]|‹[^‹›\n]{0,200}›'
 _IRI = r"\b(?:urn:|[a-z][a-z0-9+.-]*://|www\.)[^\s<>“”]*"
 _NUMBERED = r"(?:\b[^\W\d_]{1,4}\.?\s{0,3})?[^\W_]*\d[^\s,;()\[\]|=]*(?:\s?[^\W\d_]{1,2}\b)?"  # with a short word before it and a unit after it
-_WORD = r"[^\W\d_]+(?:['’][^\W\d_]+)*"
-_TOKEN = re.compile(rf"(?P<skip>{_IRI}|{_TAG}|{_QUOTED}|{_NUMBERED})|(?P<word>{_WORD})|(?P<cut>[.;|/=()\[\]{{}}:!?\n–—#×*])")
+_WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
+_BREAK = re.compile(rf"{_IRI}|{_TAG}|{_QUOTED}|{_NUMBERED}|[.;|/=()\[\]{{}}:!?\n–—#×*]+")
+_INVISIBLE = re.compile("[" + "".join(re.escape(c) for c in map(chr, range(0x80, 0x10000)) if unicodedata.category(c) == "Cf") + "]")
+_LATIN = re.compile("[A-Za-zÀ-\u024f]")
+_OTHER = re.compile("[\u0370-\u052f\u1f00-\u1fff]")
 
 
 def _fold(text: str) -> tuple[str, list[int] | None]:
     """Width forms and joined letters made plain, invisible characters dropped, accents composed; and each character's position."""
-    if text.isascii():
+    if text.isascii() or unicodedata.is_normalized("NFKC", text) and not _INVISIBLE.search(text):
         return text, None
     out, at = [], []
     i, n = 0, len(text)
@@ -84,9 +88,10 @@ def _script(c: str) -> str:
 
 def _mend(words: list[str]) -> list[str]:
     """Words whose letters are of several scripts, or only of letters drawn alike, go to the script that they stand for."""
-    scripts = [{_script(c) for c in w if c.isalpha()} for w in words]
-    if all(s <= {"L"} for s in scripts):
+    whole = " ".join(words)
+    if not _OTHER.search(whole) or not _LATIN.search(whole):
         return words
+    scripts = [{_script(c) for c in w if c.isalpha()} for w in words]
     sure = {"L": 0, "C": 0, "G": 0}
     for w in words:
         for c in w:
@@ -115,23 +120,23 @@ def _strip(word: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFD", word.translate(_PLAIN)) if not unicodedata.combining(c))
 
 
-def clauses(text: str) -> list[list[tuple[str, int, int]]]:
-    """Words of each clause with their positions in the text; what is no prose is left out."""
+def clauses(text: str) -> tuple[list[tuple[str, int]], list[int] | None]:
+    """Clauses with their positions in the folded text, and the positions of its characters; what is no prose is left out."""
     plain, at = _fold(text)
-    found: list[list[tuple[str, int, int]]] = [[]]
-    for m in _TOKEN.finditer(plain):
-        if m.lastgroup == "word":
-            a, b = m.span()
-            found[-1].append((m.group(), a if at is None else at[a], b if at is None else at[b]))
-        elif m.lastgroup == "cut" or m.group()[0] == "<" or any(c.isdigit() for c in m.group()):
-            if found[-1]:
-                found.append([])
-    out = []
-    for clause in found:
-        if clause:
-            words = _mend([w for w, _, _ in clause])
-            out.append([(w.lower(), a, b) for w, (_, a, b) in zip(words, clause)])
-    return out
+    found, start = [], 0
+    for m in _BREAK.finditer(plain):
+        if m.start() - start > 3:
+            found.append((plain[start : m.start()], start))
+        start = m.end()
+    if len(plain) - start > 3:
+        found.append((plain[start:], start))
+    return found, at
+
+
+def words_of(clause: str) -> list[tuple[str, int, int]]:
+    """Words in lower case and in one script, with their positions in the clause."""
+    got = [(m.group(), *m.span()) for m in _WORD.finditer(clause)]
+    return [(w.lower(), a, b) for w, (_, a, b) in zip(_mend([g[0] for g in got]), got)]
 
 
 def _grams(word: str) -> set[str]:
@@ -145,89 +150,86 @@ class Model:
 
     def __init__(self, languages: list[str], index: dict[str, int], weights: np.ndarray) -> None:
         self.languages, self.index, self.weights = languages, index, weights
-        self._words: dict[str, tuple[np.ndarray, int, np.ndarray]] = {}
-        self._clauses: dict[tuple, list] = {}
+        self._words: dict[str, np.ndarray] = {}
+        self._clauses: dict[str, list] = {}
 
     def __getstate__(self) -> dict:
         return {"languages": self.languages, "index": self.index, "weights": self.weights, "_words": {}, "_clauses": {}}
 
-    def word(self, word: str) -> tuple[np.ndarray, int, np.ndarray]:
-        """Rows of the known n-grams, number of all n-grams, score of the word alone."""
+    def word(self, word: str) -> np.ndarray:
+        """The word's row of the score matrix, and the number of its n-grams."""
         got = self._words.get(word)
         if got is None:
             grams = _grams(word)
-            ids = np.fromiter((i for g in grams if (i := self.index.get(g)) is not None), np.int32)
-            got = (ids, len(grams), self.weights[ids].sum(0) / np.sqrt(max(1, len(grams))))
+            ids = [i for g in grams if (i := self.index.get(g)) is not None]
+            got = np.append(self.weights[ids].sum(0), max(1, len(grams)))
             if len(self._words) >= _CACHE:
                 self._words.clear()
             self._words[word] = got
         return got
 
-    def spans(self, words: tuple[str, ...]) -> list[tuple[int, int]]:
+    def path(self, e: np.ndarray) -> list[tuple[int, int]]:
         """Ranges of words of one language: the best path over word scores less SWITCH for each change."""
-        e = np.array([self.word(w)[2] for w in words])
-        if e.max(1).sum() - SWITCH <= e.sum(0).max():
-            return [(0, len(words))]
         score, back = e[0].copy(), np.zeros(e.shape, np.int32)
         stay = np.arange(e.shape[1])
-        for i in range(1, len(words)):
+        for i in range(1, len(e)):
             top = int(score.argmax())
-            change = score[top] - SWITCH > score
-            back[i] = np.where(change, top, stay)
+            back[i] = np.where(score[top] - SWITCH > score, top, stay)
             score = np.maximum(score, score[top] - SWITCH) + e[i]
-        path = [int(score.argmax())]
-        for i in range(len(words) - 1, 0, -1):
-            path.append(int(back[i][path[-1]]))
-        path.reverse()
-        cuts = [0, *(i for i in range(1, len(path)) if path[i] != path[i - 1]), len(path)]
+        way = [int(score.argmax())]
+        for i in range(len(e) - 1, 0, -1):
+            way.append(int(back[i][way[-1]]))
+        way.reverse()
+        cuts = [0, *(i for i in range(1, len(way)) if way[i] != way[i - 1]), len(way)]
         return list(zip(cuts[:-1], cuts[1:]))
 
-    def scores(self, segments: list[tuple[str, ...]]) -> np.ndarray:
-        """Segments x languages, in blocks of a sparse indicator matrix times the weights."""
-        out = np.zeros((len(segments), len(self.languages)))
-        for lo in range(0, len(segments), 512):
-            ids, starts, counts, at = [], [], [], []
-            size = 0
-            for k, words in enumerate(segments[lo : lo + 512], lo):
-                got = [self.word(w) for w in dict.fromkeys(words)]
-                row = np.unique(np.concatenate([g[0] for g in got]))
-                if len(row):
-                    ids.append(row)
-                    starts.append(size)
-                    counts.append(sum(g[1] for g in got))
-                    at.append(k)
-                    size += len(row)
-            if ids:
-                sums = np.add.reduceat(self.weights[np.concatenate(ids)], starts, axis=0)
-                out[at] = sums / np.sqrt(np.array(counts))[:, None]
-        return out
+    def label(self, parts: list[str]) -> None:
+        """Fills the cache with each clause's segments: start, end, language, confidence, words.
 
-    def label(self, parts: list[tuple[tuple[str, ...], ...]]) -> None:
-        """Fills the cache with each clause's segments: (first word, end, language, confidence)."""
+        All words of the batch are one matrix (indicator of the words times their rows), all segments sums of its rows.
+        """
         new = [p for p in dict.fromkeys(parts) if p not in self._clauses]
         if len(self._clauses) + len(new) > _CACHE:
             self._clauses.clear()
             new = list(dict.fromkeys(parts))
-        spans = [(p, a, b) for p in new for a, b in self.spans(p) if b - a > 1]
-        scores = self.scores([p[a:b] for p, a, b in spans])
+        kept, starts, flat = [], [], []
         for p in new:
             self._clauses[p] = []
-        for (p, a, b), s in zip(spans, scores):
-            best = int(s.argmax())
-            if s[best] >= LEAST_SCORE:
-                share = np.exp((s - s[best]) / TEMPERATURE)
-                self._clauses[p].append((a, b, self.languages[best], float(1 / share.sum())))
+            got = words_of(p)
+            if len(got) > 1:
+                kept.append((p, got))
+                starts.append(len(flat))
+                flat += [g[0] for g in got]
+        if not kept or not self.languages:
+            return
+        number = {w: i for i, w in enumerate(dict.fromkeys(flat))}
+        rows = np.array([self.word(w) for w in number])[[number[w] for w in flat]]
+        alone = rows[:, :-1] / np.sqrt(rows[:, -1:])
+        change = np.add.reduceat(alone.max(1), starts) - SWITCH > np.add.reduceat(alone, starts).max(1)
+        spans, froms = [], []
+        for (p, got), at, moves in zip(kept, starts, change):
+            for a, b in self.path(alone[at : at + len(got)]) if moves else [(0, len(got))]:
+                spans.append((p, got[a][1], got[b - 1][2], b - a))
+                froms.append(at + a)
+        sums = np.add.reduceat(rows, froms)
+        scores = sums[:, :-1] / np.sqrt(sums[:, -1:])
+        best = scores.argmax(1)
+        top = scores.max(1)
+        sure = 1 / np.exp((scores - top[:, None]) / TEMPERATURE).sum(1)
+        for (p, start, end, n), k, t, c in zip(spans, best.tolist(), top.tolist(), sure.tolist()):
+            if n > 1 and t >= LEAST_SCORE:
+                self._clauses[p].append((start, end, self.languages[k], c, n))
 
     def segments(self, texts: list[str | None]) -> list[list[tuple[int, int, str, float]]]:
         """Per text its segments: start and end position, language, confidence. Neighbours of one language are one segment."""
-        cut = [clauses(t) if t else [] for t in texts]
-        self.label([tuple(w for w, _, _ in c) for cs in cut for c in cs if len(c) > 1])
+        cut = [clauses(t) if t else ([], None) for t in texts]
+        self.label([c for cs, _ in cut for c, _ in cs])
         out = []
-        for cs in cut:
+        for cs, at in cut:
             found: list[tuple[int, int, str, float, int]] = []
-            for c in cs:
-                for a, b, lang, sure in self._clauses.get(tuple(w for w, _, _ in c), ()) if len(c) > 1 else ():
-                    start, end, n = c[a][1], c[b - 1][2], b - a
+            for c, off in cs:
+                for a, b, lang, sure, n in self._clauses[c]:
+                    start, end = (off + a, off + b) if at is None else (at[off + a], at[off + b])
                     if found and found[-1][2] == lang:
                         p = found[-1]
                         found[-1] = (p[0], end, lang, (p[3] * p[4] + sure * n) / (p[4] + n), p[4] + n)
@@ -241,18 +243,20 @@ def fit(samples: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: float
     """From (language, text) pairs; each text also trains without its accents. Deterministic."""
     texts = []
     for lang, text in samples:
-        words = [w for c in clauses(text) for w, _, _ in c]
+        words = [w for c, _ in clauses(text)[0] for w, _, _ in words_of(c)]
         texts += [(lang, words), (lang, [_strip(w) for w in words])]
-    texts = [(lang, set().union(*map(_grams, words))) for lang, words in texts if words]
+    texts = [(lang, Counter(g for w in words for g in _grams(w))) for lang, words in texts if words]
     languages = sorted({lang for lang, _ in texts})
     step = max(1, -(-len(texts) // landmarks))
     marks = [g for _, g in texts[::step]]
     index = {g: i for i, g in enumerate(sorted(set().union(*marks) if marks else set()))}
 
-    def rows(sets: list[set]) -> np.ndarray:
-        x = np.zeros((len(sets), len(index)), np.float32)
-        for i, s in enumerate(sets):
-            x[i, [index[g] for g in s if g in index]] = 1 / np.sqrt(max(1, len(s)))
+    def rows(counts: list[Counter]) -> np.ndarray:
+        x = np.zeros((len(counts), len(index)), np.float32)
+        for i, c in enumerate(counts):
+            known = [(index[g], n) for g, n in c.items() if g in index]
+            x[i, [k for k, _ in known]] = [n for _, n in known]
+            x[i] /= np.sqrt(max(1, c.total()))
         return x
 
     if not texts:
