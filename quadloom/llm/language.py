@@ -208,7 +208,10 @@ class Model:
         change = np.add.reduceat(alone.max(1), starts) - SWITCH > np.add.reduceat(alone, starts).max(1)
         spans, froms = [], []
         for (p, got), at, moves in zip(kept, starts, change):
-            for a, b in self.path(alone[at : at + len(got)]) if moves else [(0, len(got))]:
+            ways = self.path(alone[at : at + len(got)]) if moves else []
+            if all(b - a < 2 for a, b in ways):  # no change, or changes at every word: one phrase
+                ways = [(0, len(got))]
+            for a, b in ways:
                 spans.append((p, got[a][1], got[b - 1][2], b - a))
                 froms.append(at + a)
         sums = np.add.reduceat(rows, froms)

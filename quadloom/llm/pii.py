@@ -59,6 +59,7 @@ _NAMES = re.compile(  # empty matches at each place where a name may begin; the
 _LOCAL = re.compile(r"[^\W_](?:[\w.%+-]{0,63})\Z")
 _DOMAIN = re.compile(r"(?:[^\W\d_](?:[\w-]{0,61}\w)(?:\.|(?=\.)))(?:[\w-]{1,63}\.)*[^\W\d_]{2,24}(?![\w@])|[^\W\d_][\w-]{0,61}\w\.(?:[\w-]{1,63}\.)*[^\W\d_]{2,24}(?![\w-])")
 _AT = re.compile(r" ?[\[({<](?:at|AT|At)[\])}>] ?|&#64;|%40|＠| (?:at|AT|\(@\)|\[@\]) ")
+_SIGNS = ("(at", "[at", "{at", "<at", "(AT", "[AT", "At)", "At]", " dot ", " DOT ", "[dot", "(dot", "&#64;", "%40", "＠", "(@", "[@")
 _SPOKEN = re.compile(r"[^\W\d_][\w-]{0,61}\w(?:(?: ?[\[({](?:dot|DOT)[\])}] ?| (?:dot|DOT) |\.)[\w-]{2,63}){1,5}", re.A)
 _NUMBERS = re.compile(
     r"(?<![\w.+/=@-])(?:"
@@ -97,7 +98,7 @@ def _emails(text: str) -> list[tuple[int, int]]:
         if left and right and not re.search(rf"\.(?:{_FILES})\Z", right.group(), re.I):
             found.append((at - len(left.group()), right.end()))
         at = text.find("@", at + 1)
-    for m in _AT.finditer(text):
+    for m in _AT.finditer(text) if any(x in text for x in _SIGNS) else ():
         left, right = _LOCAL.search(_tail(text, m.start())), _SPOKEN.match(text, m.end())
         spoken = m.group().isspace() or m.group().strip().isalpha()
         if left and right and (not spoken or re.search(r"\bdot\b", right.group(), re.I)):
