@@ -47,46 +47,52 @@ def _class(test) -> str:
 
 
 _U, _L = _class(str.isupper), _class(lambda c: not c.isupper())
-_W = rf"(?:[{_U}][{_L}]+(?:['’][{_U}][{_L}]+)?|[{_U}]['’][{_U}][{_L}]+)(?:-[{_U}][{_L}]+)*"
+# The large patterns begin with a set of first characters, as the search skips to these; the rest looks behind at the one it met.
+_w = rf"(?:[{_L}]+(?:['’][{_U}][{_L}]+)?|['’][{_U}][{_L}]+)(?:-[{_U}][{_L}]+)*"  # a word of a name without its first letter
+_W = rf"[{_U}]{_w}"
 _I = rf"[{_U}]\."
 _P = rf"(?:(?:{_PARTICLE}|[Vv]an de[rn]?|de la) )"
-_NAMES = re.compile(  # empty matches at each place where a name may begin; the groups are what it may be
-    rf"(?<![\w@.\-])(?=[{_U}]|(?:{_PARTICLE}) [{_U}])"
-    rf"(?:(?=(?P<c>{_P}?(?P<c1>{_W}), (?:(?P<c2>{_W})(?: {_I})*|(?P<cd>{_I}(?: ?{_I})*)))(?![\w@])))?"
-    rf"(?:(?=(?P<a>(?P<a1>{_W})(?: {_I})* {_P}?{_P}?(?P<a2>{_W}))(?![\w@\-])))?"
-    rf"(?:(?=(?P<b>{_I}(?: ?{_I})* {_P}?{_P}?(?P<b2>{_W}))(?![\w@\-])))?"
+_NAMES = re.compile(  # each capital where a name may begin; the groups are what it may be, without the capital
+    rf"[{_U}](?<![\w@.\-][{_U}])"
+    rf"(?:(?=(?P<c>(?P<c1>{_w}), (?:(?P<c2>{_W})(?: {_I})*|(?P<cd>{_I}(?: ?{_I})*)))(?![\w@])))?"
+    rf"(?:(?=(?P<a>(?P<a1>{_w})(?: {_I})* {_P}?{_P}?(?P<a2>{_W}))(?![\w@\-])))?"
+    rf"(?:(?=(?P<b>\.(?: ?{_I})* {_P}?{_P}?(?P<b2>{_W}))(?![\w@\-])))?"
 )
+_BEFORE_NAME = re.compile(rf"(?<![\w@.\-]){_P}{{1,2}}\Z")
 _LOCAL = re.compile(r"[^\W_](?:[\w.%+-]{0,63})\Z")
 _DOMAIN = re.compile(r"(?:[^\W\d_](?:[\w-]{0,61}\w)(?:\.|(?=\.)))(?:[\w-]{1,63}\.)*[^\W\d_]{2,24}(?![\w@])|[^\W\d_][\w-]{0,61}\w\.(?:[\w-]{1,63}\.)*[^\W\d_]{2,24}(?![\w-])")
 _AT = re.compile(r" ?[\[({<](?:at|AT|At)[\])}>] ?|&#64;|%40|＠| (?:at|AT|\(@\)|\[@\]) ")
 _SIGNS = ("(at", "[at", "{at", "<at", "(AT", "[AT", "At)", "At]", " dot ", " DOT ", "[dot", "(dot", "&#64;", "%40", "＠", "(@", "[@")
 _SPOKEN = re.compile(r"[^\W\d_][\w-]{0,61}\w(?:(?: ?[\[({](?:dot|DOT)[\])}] ?| (?:dot|DOT) |\.)[\w-]{2,63}){1,5}", re.A)
 _NUMBERS = re.compile(
-    r"(?<![\w.+/=@-])(?:"
-    r"(?P<intl>\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,5}(?:[ .-]?\d{1,6}){1,6})"
-    r"|(?P<zeros>00\d{2}[ .-]\(?\d{1,5}\)?(?:[ .-]\d{2,7}){1,4})"
-    r"|(?P<parens>\(0?\d{2,4}\) ?\d{3,4}[ .-]?\d{3,5})"
-    r"|(?P<north>\d{3}(?P<sep>[.-])\d{3}(?P=sep)\d{4})"
-    r"|(?P<trunk>0[1-9]\d{1,3}[ /-]\d{3,8}(?:[ -]\d{3,5})?)"
-    r"|(?P<ssn>\d{3}-\d{2}-\d{4})"
-    r"|(?P<cpf>\d{3}\.\d{3}\.\d{3}-\d{2})"
-    r"|(?P<dni>\d{8}-?[A-HJ-NP-TV-Z])"
-    r"|(?P<nino>[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D])"
-    r"|(?P<passport>[A-Z]{2}\d{7})"
-    r"|(?P<nine>\d{9})"
+    r"[+(0-9A-Z](?<![\w.+/=@-][+(0-9A-Z])(?:"
+    r"(?P<intl>(?<=\+)\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,5}(?:[ .-]?\d{1,6}){1,6})"
+    r"|(?P<zeros>(?<=0)0\d{2}[ .-]\(?\d{1,5}\)?(?:[ .-]\d{2,7}){1,4})"
+    r"|(?P<parens>(?<=\()0?\d{2,4}\) ?\d{3,4}[ .-]?\d{3,5})"
+    r"|(?P<north>(?<=\d)\d{2}(?P<sep>[.-])\d{3}(?P=sep)\d{4})"
+    r"|(?P<trunk>(?<=0)[1-9]\d{1,3}[ /-]\d{3,8}(?:[ -]\d{3,5})?)"
+    r"|(?P<ssn>(?<=\d)\d{2}-\d{2}-\d{4})"
+    r"|(?P<cpf>(?<=\d)\d{2}\.\d{3}\.\d{3}-\d{2})"
+    r"|(?P<dni>(?<=\d)\d{7}-?[A-HJ-NP-TV-Z])"
+    r"|(?P<nino>(?<=[A-Z])[A-Z] ?\d{2} ?\d{2} ?\d{2} ?[A-D])"
+    r"|(?P<passport>(?<=[A-Z])[A-Z]\d{7})"
+    r"|(?P<nine>(?<=\d)\d{8})"
     r")(?![\w@+/=]|[.-]\d)"
 )
 _PHONES = {"intl", "zeros", "parens", "north", "trunk"}
 _NO = r"\d{1,4}(?: ?[a-z](?!\w))?(?:[-/]\d{1,4})?(?:[-/]\d{1,4})?"
 _S = rf"[{_U}][{_L}]+(?:[- ][{_U}][{_L}]+){{0,2}}"
+_KINDS_BEFORE = "|".join(f"(?<={k[0]}){k[1:]}" for k in _STREET_BEFORE.split("|"))
+_FIRST = "0-9" + _U + "".join(sorted({k[0] for k in _STREET_BEFORE.split("|") if k[0].islower()}))
 _STREETS = re.compile(
-    rf"(?<![\w.@/-])(?:(?:{_UNIT}) \d{{1,4}}[a-z]?, )?"
-    rf"(?:(?P<after>\d{{1,4}}[a-z]? {_S} (?:{_STREET_AFTER})\b)"
-    rf"|(?P<french>\d{{1,4}}(?: ?(?:bis|ter|quater))?,? (?:{_STREET_FRENCH}) (?:(?:du|de la|de|des|d['’]) ?)?{_S})"
-    rf"|(?P<before>(?:{_STREET_BEFORE}) {_S} {_NO}(?![\w.]\d|\w))"
-    rf"|(?P<ending>[{_U}][{_L}]+(?:{_STREET_ENDING}) {_NO}(?![\w.]\d|\w)))"
+    rf"[{_FIRST}](?<![\w.@/-][{_FIRST}])"
+    rf"(?:(?P<after>(?<=\d)\d{{0,3}}[a-z]? {_S} (?:{_STREET_AFTER})\b)"
+    rf"|(?P<french>(?<=\d)\d{{0,3}}(?: ?(?:bis|ter|quater))?,? (?:{_STREET_FRENCH}) (?:(?:du|de la|de|des|d['’]) ?)?{_S})"
+    rf"|(?P<before>(?:{_KINDS_BEFORE}) {_S} {_NO}(?![\w.]\d|\w))"
+    rf"|(?P<ending>(?<=[{_U}])[{_L}]+(?:{_STREET_ENDING}) {_NO}(?![\w.]\d|\w)))"
     rf"(?:,? (?:{_UNIT}) \d{{1,4}}[a-z]?\b)?"
 )
+_UNIT_BEFORE = re.compile(rf"(?<![\w.@/-])(?:{_UNIT}) \d{{1,4}}[a-z]?, \Z")
 
 
 def _emails(text: str) -> list[tuple[int, int]]:
@@ -160,6 +166,8 @@ def candidates(text: str) -> list[tuple]:
         out.append(("phone" if form in _PHONES else "id_number", form, a, b, None, None, False, False, _line(text, a), _cue(text, a)))
     for m in _STREETS.finditer(text):
         a, b = m.span()
+        if unit := _UNIT_BEFORE.search(text, max(0, a - 24), a):
+            a = unit.start()
         if free(a, b):
             out.append(("address", next(k for k, v in m.groupdict().items() if v), a, b, None, None, False, False, _line(text, a), _cue(text, a)))
 
@@ -176,12 +184,14 @@ def candidates(text: str) -> list[tuple]:
         out.append(("name", form, a, b, w1, w2, e1, e2, _line(text, a), None))
 
     for m in _NAMES.finditer(text):
+        at = m.start()
         if m["a"]:
-            name("given_family", *m.span("a"), m["a1"], m["a2"])
+            name("given_family", at, m.end("a"), text[at : m.end("a1")], m["a2"])
         if m["b"]:
-            name("initial_family", *m.span("b"), None, m["b2"])
+            name("initial_family", at, m.end("b"), None, m["b2"])
         if m["c"]:
-            name("family_given" if m["c2"] else "family_initial", *m.span("c"), m["c1"], m["c2"])
+            particle = _BEFORE_NAME.search(text, max(0, at - 16), at)
+            name("family_given" if m["c2"] else "family_initial", particle.start() if particle else at, m.end("c"), text[at : m.end("c1")], m["c2"])
     return out
 
 
