@@ -33,7 +33,7 @@ LANDMARKS = 900
 RIDGE = 0.3
 SWITCH = 0.8
 TEMPERATURE = 0.06
-LEAST_SCORE = 0.2
+LEAST_SCORE = 0.04
 _CACHE = 200_000
 
 # ISO 639-1 and ISO 639-3 codes.
@@ -50,12 +50,15 @@ _TO_CYRILLIC = {b: a for a, b in zip(_CYRILLIC, _CYRILLIC_LATIN, strict=True)}
 _TO_GREEK = {b: a for a, b in zip(_GREEK, _GREEK_LATIN, strict=True)}
 _PLAIN = str.maketrans({"ø": "o", "Ø": "O", "ł": "l", "Ł": "L", "æ": "ae", "Æ": "AE", "ß": "ss", "đ": "d", "œ": "oe"})
 
-_TAG = r"<[^<>\n]{0,200}>"
-_QUOTED = r'“[^“”\n]{0,200}”|"[^"\n]{0,200}"|«[^«»\n]{0,200}»|„[^„“”\n]{0,200}[“”]|‹[^‹›\n]{0,200}›'
-_IRI = r"\b(?:urn:|[a-z][a-z0-9+.-]*://|www\.)[^\s<>“”]*"
-_NUMBERED = r"(?:\b[^\W\d_]{1,4}\.?\s{0,3})?[^\W_]*\d[^\s,;()\[\]|=]*(?:\s?[^\W\d_]{1,2}\b)?"  # with a short word before it and a unit after it
+_IRI = re.compile(r"\b(?:urn:|[a-z][a-z0-9+.-]*://|www\.)[^\s<>“”]*")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
-_BREAK = re.compile(rf"{_IRI}|{_TAG}|{_QUOTED}|{_NUMBERED}|[.;|/=()\[\]{{}}:!?\n–—#×*]+")
+#: Mark-up, quoted titles, tokens with digits and the unit after them, strong punctuation. It begins with the set of first characters.
+_BREAK = re.compile(
+    r'[<“"«„‹0-9.;|/=()\[\]{}:!?\n–—#×*]'
+    r'(?:(?<=<)[^<>\n]{0,200}>|(?<=“)[^“”\n]{0,200}”|(?<=")[^"\n]{0,200}"|(?<=«)[^«»\n]{0,200}»|(?<=„)[^„“”\n]{0,200}[“”]|(?<=‹)[^‹›\n]{0,200}›'
+    r"|(?<=[0-9])[^\s,;()\[\]|=]*(?:\s?[^\W\d_]{1,2}\b)?)?"
+)
+_SHORT_END = re.compile(r"(?:^|(?<=[\s,]))[^\W\d_]{1,4}[-.]?\s{0,3}\Z")  # a short word before a number, as in "fol. 12"
 _INVISIBLE = re.compile("[" + "".join(re.escape(c) for c in map(chr, range(0x80, 0x10000)) if unicodedata.category(c) == "Cf") + "]")
 _LATIN = re.compile("[A-Za-zÀ-\u024f]")
 _OTHER = re.compile("[\u0370-\u052f\u1f00-\u1fff]")
@@ -123,20 +126,28 @@ def _strip(word: str) -> str:
 def clauses(text: str) -> tuple[list[tuple[str, int]], list[int] | None]:
     """Clauses with their positions in the folded text, and the positions of its characters; what is no prose is left out."""
     plain, at = _fold(text)
+    if "urn:" in plain or "://" in plain or "www." in plain:
+        plain = _IRI.sub(lambda m: ";" * len(m.group()), plain)
     found, start = [], 0
     for m in _BREAK.finditer(plain):
-        if m.start() - start > 3:
-            found.append((plain[start : m.start()], start))
+        end = m.start()
+        if end - start > 3:
+            clause = plain[start:end]
+            if plain[end].isdigit():
+                clause = _SHORT_END.sub("", clause)
+            found.append((clause, start))
         start = m.end()
     if len(plain) - start > 3:
         found.append((plain[start:], start))
     return found, at
 
 
-def words_of(clause: str) -> list[tuple[str, int, int]]:
-    """Words in lower case and in one script, with their positions in the clause."""
-    got = [(m.group(), *m.span()) for m in _WORD.finditer(clause)]
-    return [(w.lower(), a, b) for w, (_, a, b) in zip(_mend([g[0] for g in got]), got)]
+def words_of(clause: str) -> list[str]:
+    """Words in lower case and in one script."""
+    words = _WORD.findall(clause)
+    if not clause.isascii():
+        words = _mend(words)
+    return [w.lower() for w in words]
 
 
 def _grams(word: str) -> set[str]:
@@ -199,7 +210,7 @@ class Model:
             if len(got) > 1:
                 kept.append((p, got))
                 starts.append(len(flat))
-                flat += [g[0] for g in got]
+                flat += got
         if not kept or not self.languages:
             return
         number = {w: i for i, w in enumerate(dict.fromkeys(flat))}
@@ -211,8 +222,9 @@ class Model:
             ways = self.path(alone[at : at + len(got)]) if moves else []
             if all(b - a < 2 for a, b in ways):  # no change, or changes at every word: one phrase
                 ways = [(0, len(got))]
+            places = [m.span() for m in _WORD.finditer(p)] if len(ways) > 1 else [_WORD.search(p).span(), (0, len(p.rstrip(" ,\t'’")))]
             for a, b in ways:
-                spans.append((p, got[a][1], got[b - 1][2], b - a))
+                spans.append((p, places[a][0], places[b - 1 if len(ways) > 1 else 1][1], b - a))
                 froms.append(at + a)
         sums = np.add.reduceat(rows, froms)
         scores = sums[:, :-1] / np.sqrt(sums[:, -1:])
@@ -246,7 +258,7 @@ def fit(samples: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: float
     """From (language, text) pairs; each text also trains without its accents. Deterministic."""
     texts = []
     for lang, text in samples:
-        words = [w for c, _ in clauses(text)[0] for w, _, _ in words_of(c)]
+        words = [w for c, _ in clauses(text)[0] for w in words_of(c)]
         texts += [(lang, words), (lang, [_strip(w) for w in words])]
     texts = [(lang, Counter(g for w in words for g in _grams(w))) for lang, words in texts if words]
     languages = sorted({lang for lang, _ in texts})
