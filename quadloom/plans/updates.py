@@ -48,16 +48,17 @@ def apply(graph: QuadGraph, u: Update, engine) -> QuadGraph:
 def insert(graph: QuadGraph, quads: DataFrame) -> QuadGraph:
     """A quad that the table holds already is not added again."""
     new = quads.select(*KEYS, "g_line").dropDuplicates(KEYS)
-    held = graph.quads.select(*KEYS)
-    cond = [new[k].eqNullSafe(held[k]) for k in KEYS]
-    return graph.derive(graph.quads.union(new.join(held, cond, "left_anti")))
+    return graph.derive(graph.quads.union(_without(new, graph.quads, KEYS)))
+
+
+def _without(rows: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
+    """Anti-join that takes nulls as equal; the right side is renamed, as both may come from one table."""
+    gone = gone.select(*[F.col(k).alias(f"_{k}") for k in keys]).distinct()
+    return rows.join(gone, [rows[k].eqNullSafe(gone[f"_{k}"]) for k in keys], "left_anti")
 
 
 def delete(graph: QuadGraph, quads: DataFrame, any_graph: bool = False) -> QuadGraph:
-    keys = KEYS[:3] if any_graph else KEYS
-    gone = quads.select(*[F.col(k).alias(f"_{k}") for k in keys]).distinct()
-    cond = [graph.quads[k].eqNullSafe(gone[f"_{k}"]) for k in keys]
-    return graph.derive(graph.quads.join(gone, cond, "left_anti"))
+    return graph.derive(_without(graph.quads, quads, KEYS[:3] if any_graph else KEYS))
 
 
 def clear(graph: QuadGraph, target: str) -> QuadGraph:
@@ -143,9 +144,8 @@ def remove_matching(graph: QuadGraph, s=None, p: str | None = None, o=None) -> Q
 def difference(before: QuadGraph, after: QuadGraph) -> DataFrame:
     """The change log of an update: op ('add' or 'remove') and the quad."""
     a, b = before.quads.select(*KEYS).distinct(), after.quads.select(*KEYS).distinct()
-    cond = lambda x, y: [x[k].eqNullSafe(y[k]) for k in KEYS]
-    added = b.join(a, cond(b, a), "left_anti").select(F.lit("add").alias("op"), *KEYS)
-    return added.union(a.join(b, cond(a, b), "left_anti").select(F.lit("remove").alias("op"), *KEYS))
+    added = _without(b, a, KEYS).select(F.lit("add").alias("op"), *KEYS)
+    return added.union(_without(a, b, KEYS).select(F.lit("remove").alias("op"), *KEYS))
 
 
 def statistics(before: QuadGraph, after: QuadGraph) -> DataFrame:
