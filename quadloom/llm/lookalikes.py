@@ -27,7 +27,7 @@ _HYPHENS = "‐‑﹣⁃"
 
 def _tables() -> tuple[dict[str, str], dict[str, str], str]:
     """Single characters mapped to one, characters mapped to several, characters that vanish; by rule from the character database."""
-    one, many, gone = {}, {}, []
+    one, many, gone, private = {}, {}, [], 0xE000
     for code in range(0x80, 0x10000):
         c = chr(code)
         kind, name, parts = unicodedata.category(c), unicodedata.name(c, ""), unicodedata.decomposition(c)
@@ -40,6 +40,8 @@ def _tables() -> tuple[dict[str, str], dict[str, str], str]:
             (one if len(plain) == 1 else many)[c] = plain
         elif parts.startswith("<compat>") and "LATIN" in name and ("LIGATURE" in name or code in range(0x1C4, 0x1CD) or code in range(0x1F1, 0x1F4)):
             many[c] = "".join(unicodedata.normalize("NFKC", c))
+        elif kind == "Nd":
+            one[c], private = chr(private), private + 1  # digits of other scripts stay apart, which the collation takes as equal
     one |= dict.fromkeys(_HYPHENS, "-")
     return one, many, "".join(gone)
 

@@ -24,6 +24,9 @@ from quadloom.runtime import Spool, ship
 #: Bits by which a word, a form or a cue must raise the odds of a protected entity.
 WORD_BITS = 6.0
 LINE_BITS = 3.0
+#: P(entity) as measured, but no more than this: where the corpus is dense with persons, the base rate is no chance level.
+WORD_CHANCE = 1 / 1024
+LINE_CHANCE = 1 / 64
 #: Below so many candidates of a form the corpus says nothing, and the form alone decides.
 SUPPORT = 20
 NEAR = 90
@@ -224,8 +227,8 @@ def scan(df: DataFrame, key: str, text: str) -> DataFrame:
     return rows.mapInArrow(_scan, _SCHEMA.format(rows.schema["key"].dataType.simpleString()))
 
 
-def _bits(hit: Column, n: Column, prior: float) -> Column:
-    return F.log2(F.greatest(hit, F.lit(1e-9)) / n / F.lit(max(prior, 1e-9)))
+def _bits(hit: Column, n: Column, prior: float, chance: float) -> Column:
+    return F.log2(F.greatest(hit, F.lit(1e-9)) / n / F.lit(min(max(prior, 1e-9), chance)))
 
 
 def lexicon(cands: DataFrame, n_words: int) -> DataFrame:
@@ -236,7 +239,7 @@ def lexicon(cands: DataFrame, n_words: int) -> DataFrame:
     # equal words combine on the map side; the table of words follows the vocabulary
     seen = names.select(F.explode(F.array(first, last)).alias("t")).select("t.*").where("word IS NOT NULL").groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("e").cast("bigint")).alias("hit"))
     total = seen.agg(F.sum("hit").alias("hit")).first().hit or 0
-    known = seen.where((F.col("hit") >= 2) & (_bits(F.col("hit"), F.col("n"), total / max(1, n_words)) >= WORD_BITS)).select("word")
+    known = seen.where((F.col("hit") >= 2) & (_bits(F.col("hit"), F.col("n"), total / max(1, n_words), WORD_CHANCE) >= WORD_BITS)).select("word")
     pairs = names.where("form = 'given_family'").groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n"))
     pairs = pairs.join(known.select(F.col("word").alias("w1"), F.lit(1).alias("k1")), "w1", "left").join(known.select(F.col("word").alias("w2"), F.lit(1).alias("k2")), "w2", "left")
     both = pairs.where("k1 = 1 AND k2 = 1")
@@ -272,13 +275,13 @@ def _accepted_forms(cands: DataFrame, names: DataFrame, n_lines: int) -> DataFra
     others = cands.where("kind IN ('phone', 'id_number', 'address')")
     there = others.join(lines, others["key"].eqNullSafe(lines["key"]) & (others["h"] == lines["h"]) & (others["line"] == lines["line"]), "left").select(*[others[c] for c in cands.columns], F.coalesce("held", F.lit(0)).alias("held"))
     forms = there.groupBy("kind", "form").agg(F.count(F.lit(1)).alias("n"), F.sum("held").alias("hit"))
-    forms = forms.where((F.col("form") != "nine") & ((F.col("n") < SUPPORT) | (_bits(F.col("hit"), F.col("n"), prior) >= LINE_BITS))).select("kind", "form")
+    forms = forms.where((F.col("form") != "nine") & ((F.col("n") < SUPPORT) | (_bits(F.col("hit"), F.col("n"), prior, LINE_CHANCE) >= LINE_BITS))).select("kind", "form")
     sure = others.join(forms, ["kind", "form"], "left_semi")
     # nine digits alone say nothing; a cue does, that comes before sure forms or stands in persons' lines
     before = sure.where("kind = 'id_number'").groupBy("cue").agg(F.count(F.lit(1)).alias("n_sure"))
     bare = there.where("form = 'nine'")
     cues = bare.groupBy("cue").agg(F.count(F.lit(1)).alias("n"), F.sum("held").alias("hit")).join(before, "cue", "left")
-    cues = cues.where(~F.col("cue").isin("", *_OTHER_CUES) & (F.col("cue").isin(*_ID_CUES) | (_bits(F.col("hit"), F.col("n"), prior) >= LINE_BITS) | (F.coalesce("n_sure", F.lit(0)) >= 0.5 * F.col("n")))).select("cue")
+    cues = cues.where(~F.col("cue").isin("", *_OTHER_CUES) & (F.col("cue").isin(*_ID_CUES) | (_bits(F.col("hit"), F.col("n"), prior, LINE_CHANCE) >= LINE_BITS) | (F.coalesce("n_sure", F.lit(0)) >= 0.5 * F.col("n")))).select("cue")
     return sure.select(*cands.columns).union(bare.join(cues, "cue", "left_semi").select(*cands.columns))
 
 
