@@ -288,3 +288,15 @@ def path_from_named(triples: DataFrame, targets: DataFrame, max_steps: int = 20)
     if found is None:
         return targets.select("n", F.lit(0).alias("steps"), F.array().cast(f"array<{TERM}>").alias("path")).limit(0)
     return found.select("n", (F.size("path") - 1).alias("steps"), "path")
+
+
+# S21
+def extract(triples: DataFrame, schema_part: bool = True, data_part: bool = True, names=_same) -> DataFrame:
+    """The triples about classes and properties, those about all else, or both."""
+    kinds = [names(x) for x in (RDFS + "Class", OWL + "Class", RDF + "Property", OWL + "ObjectProperty", OWL + "DatatypeProperty")]
+    about = triples.where((F.col("p") == names(RDF + "type")) & F.col("o.lex").isin(kinds)).select("s").distinct()
+    if schema_part and data_part:
+        return triples
+    if not schema_part and not data_part:
+        return triples.limit(0)
+    return triples.join(about, "s", "left_semi" if schema_part else "left_anti").select("s", "p", "o")

@@ -45,15 +45,15 @@ STAR: dict[str, tuple[str, str]] = {
     ),
     "f6_from": ("SELECT (COUNT(*) AS ?n) FROM <urn:t:g/nation> FROM <urn:t:g/region> { ?s ?p ?o }", "SELECT 3 * (SELECT count(*) FROM nation) + 2 * (SELECT count(*) FROM region) AS n"),
     "f9_blank_and_lists": ("SELECT ?q { [] :l_quantity ?q ; :l_orderkey [ :o_orderpriority '1-URGENT' ] }", "SELECT l_quantity AS q FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderpriority = '1-URGENT'"),
-    "p1_filter": ("SELECT ?o ?p { ?o :o_totalprice ?p FILTER(?p > 300000 && ?p < 400000) }", "SELECT 'urn:t:orders/' || o_orderkey AS o, o_totalprice AS p FROM orders WHERE o_totalprice > 300000 AND o_totalprice < 400000"),
-    "p3_bind": ("SELECT ?p ?v { ?p :p_retailprice ?x ; :p_size ?s BIND(ROUND(?x * ?s) AS ?v) }", "SELECT 'urn:t:part/' || p_partkey AS p, CAST(floor(p_retailprice * p_size + 0.5) AS BIGINT) AS v FROM part"),
-    "p6_not_exists": ("SELECT ?c { ?c a :Customer FILTER NOT EXISTS { ?o :o_custkey ?c } }", "SELECT 'urn:t:customer/' || c_custkey AS c FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)"),
-    "p6_exists_or": (
+    "sel_p1_filter": ("SELECT ?o ?p { ?o :o_totalprice ?p FILTER(?p > 300000 && ?p < 400000) }", "SELECT 'urn:t:orders/' || o_orderkey AS o, o_totalprice AS p FROM orders WHERE o_totalprice > 300000 AND o_totalprice < 400000"),
+    "sel_p3_bind": ("SELECT ?p ?v { ?p :p_retailprice ?x ; :p_size ?s BIND(ROUND(?x * ?s) AS ?v) }", "SELECT 'urn:t:part/' || p_partkey AS p, CAST(floor(p_retailprice * p_size + 0.5) AS BIGINT) AS v FROM part"),
+    "sel_p6_not_exists": ("SELECT ?c { ?c a :Customer FILTER NOT EXISTS { ?o :o_custkey ?c } }", "SELECT 'urn:t:customer/' || c_custkey AS c FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)"),
+    "sel_p6_exists_or": (
         "SELECT ?c { ?c :c_acctbal ?b FILTER(?b < 0 || EXISTS { ?o :o_custkey ?c ; :o_orderstatus 'P' }) }",
         "SELECT 'urn:t:customer/' || c_custkey AS c FROM customer WHERE c_acctbal < 0 OR c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')",
     ),
-    "p7_in": ("SELECT ?e ?t { ?e :event_type ?t FILTER(?t IN ('click', 'error')) }", "SELECT 'urn:t:event/' || event_id AS e, event_type AS t FROM events WHERE event_type IN ('click','error')"),
-    "p7_not_in": ("SELECT (COUNT(?e) AS ?n) { ?e :event_type ?t FILTER(?t NOT IN ('click', 'error')) }", "SELECT count(*) AS n FROM events WHERE event_type NOT IN ('click','error')"),
+    "sel_p7_in": ("SELECT ?e ?t { ?e :event_type ?t FILTER(?t IN ('click', 'error')) }", "SELECT 'urn:t:event/' || event_id AS e, event_type AS t FROM events WHERE event_type IN ('click','error')"),
+    "sel_p7_not_in": ("SELECT (COUNT(?e) AS ?n) { ?e :event_type ?t FILTER(?t NOT IN ('click', 'error')) }", "SELECT count(*) AS n FROM events WHERE event_type NOT IN ('click','error')"),
     "j1_bgp_join": (
         "SELECT ?r (COUNT(?o) AS ?n) { ?o :o_custkey ?c . ?c :c_nationkey ?k . ?k :n_regionkey ?x . ?x :r_name ?r } GROUP BY ?r",
         "SELECT r_name AS r, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1",

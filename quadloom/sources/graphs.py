@@ -60,12 +60,13 @@ class QuadGraph(Graph):
     """A table s (TERM), p, o (TERM), g, g_line. Partition it by p for pruning. ``compact``: namespaces to the short forms it uses.
 
     A triple that several graphs hold, or one graph twice, counts once in the union of all graphs, and once in each graph.
-    ``merged`` states that no triple is held twice, which spares the scans a distinct.
+    ``merged`` states that no quad is held twice, which spares the scans a distinct; see ``store``.
     """
 
-    def __init__(self, quads: DataFrame, compact: dict[str, str] | None = None, merged: bool = False, predicate_counts: dict[str, int] | None = None) -> None:
+    def __init__(self, quads: DataFrame, compact: dict[str, str] | None = None, merged: bool = False, predicate_counts: dict[str, int] | None = None, triples: DataFrame | None = None) -> None:
         self.quads, self.spark, self.compact, self.merged = quads, quads.sparkSession, compact or {}, merged
         self.predicate_counts = predicate_counts or {}
+        self.triples = triples  # the union of all graphs, each triple once, where a store keeps it
 
     @classmethod
     def from_statements(cls, rdf: DataFrame, compact: dict[str, str] | None = None) -> QuadGraph:
@@ -76,6 +77,22 @@ class QuadGraph(Graph):
         )
         return cls(quads, compact or {RDF: "rdf:", "http://www.w3.org/2000/01/rdf-schema#": "rdfs:", "http://www.w3.org/2002/07/owl#": "owl:", "http://www.w3.org/2004/02/skos/core#": "skos:", XSD: "xsd:"})
 
+    def store(self, path: str) -> QuadGraph:
+        """Writes the graph for many queries: triples of the union and quads, each once, partitioned by predicate and sorted by subject.
+
+        Bound predicates then prune files, bound subjects row groups, and scans need no distinct.
+        """
+        put = lambda df, name: df.repartition("p", F.pmod(F.xxhash64("s"), F.lit(16))).sortWithinPartitions("p", "s").write.partitionBy("p").parquet(f"{path}/{name}")
+        put(self.quads.select("s", "p", "o").distinct(), "triples")
+        put(self.quads.select("s", "p", "o", "g").distinct().withColumn("g_line", F.lit(None).cast("bigint")), "quads")
+        return QuadGraph.open(self.spark, path, self.compact)
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str, compact: dict[str, str] | None = None) -> QuadGraph:
+        cols = ["s", "p", "o", "g", "g_line"]
+        read = lambda name, k: spark.read.schema(QUADS).parquet(f"{path}/{name}").select(*cols[:k])
+        return cls(read("quads", 5), compact, merged=True, triples=read("triples", 3))
+
     @classmethod
     def from_triples(cls, spark: SparkSession, triples: list[tuple], graph: str | None = "user") -> QuadGraph:
         """From (s, p, o) or (s, p, o, g) of strings and Lits; '_:x' is a blank node."""
@@ -113,6 +130,8 @@ class QuadGraph(Graph):
 
     def _of_graph(self, graph) -> DataFrame:
         q = self.quads
+        if graph is None and self.triples is not None:
+            return self.triples
         if isinstance(graph, Iri):
             return q.where(F.col("g") == self.encode(graph.value))
         if isinstance(graph, set):
@@ -147,7 +166,9 @@ class QuadGraph(Graph):
         for c in again:
             df = df.where(c)
         rel = bind(df, values)
-        if not self.merged:
+        # a store holds each quad once, so only sets of several graphs may still hold a triple twice
+        once = self.merged and not isinstance(graph, set) and (graph is not None or self.triples is not None)
+        if not once:
             rel = bind(rel.df.distinct(), rel.env) if values else Rel(rel.df.limit(1), {})
         return rel
 

@@ -1,0 +1 @@
+"""Streams over graphs."""

@@ -177,3 +177,24 @@ def test_profile_and_text(spark):
     two = spark.createDataFrame([(1,), (1,)], "x int")
     assert profile.unique_solution(two).count() == 1 and profile.unique_solution(two.union(spark.createDataFrame([(2,)], "x int"))).count() == 0
     assert profile.head_and_tail(spark.range(10).toDF("x"), "x", 2, 2).count() == 4
+
+
+def test_store_answers_alike(spark, tmp_path):
+    g = graph(spark, ("urn:a", "urn:p", "urn:b"), ("urn:a", "urn:p", "urn:b", "urn:g"), ("urn:b", "urn:p", Lit("x y", "", "en"), "urn:g"), ("urn:c", "urn:q/r?=1", "urn:a", None))
+    st = g.store(str(tmp_path / "store"))
+    for q in ("SELECT ?s ?p ?o { ?s ?p ?o }", "SELECT ?s ?o { ?s <urn:p> ?o }", "SELECT ?g ?s { GRAPH ?g { ?s <urn:p> ?o } }", "SELECT ?s FROM <urn:g> FROM <user> { ?s <urn:p> <urn:b> }", "SELECT ?x { ?x <urn:p>+ ?y }", "SELECT ?s { ?s <urn:q/r?=1> ?o }"):
+        rows = lambda e: sorted(map(str, e.sparql(q).collect()))
+        assert rows(Engine(st)) == rows(Engine(g)), q
+    plan = Engine(st).sparql("SELECT ?s ?o { ?s <urn:p> ?o }")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "PartitionFilters: [isnotnull(p" in plan
+    schema = graph(spark, ("urn:C", RDF + "type", RDFS + "Class"), ("urn:x", RDF + "type", "urn:C"))
+    assert flat(graphlib.extract(all_triples(schema), data_part=False)) == {("urn:C", RDF + "type", RDFS + "Class")}
+
+
+def test_service_runs_on_a_registered_endpoint(spark):
+    other = graph(spark, ("urn:a", "urn:name", Lit("Ann")))
+    e = Engine(graph(spark, ("urn:x", "urn:knows", "urn:a")), {"": "urn:"}, endpoints={"urn:far": other})
+    assert [tuple(r) for r in e.sparql("SELECT ?x ?n { ?x :knows ?y SERVICE <urn:far> { ?y :name ?n } }").collect()] == [("urn:x", "Ann")]
+    assert e.sparql("SELECT ?x { ?x :knows ?y SERVICE SILENT <urn:none> { ?y :name ?n } }").count() == 1
+    with pytest.raises(ValueError):
+        e.sparql("SELECT ?x { SERVICE <urn:none> { ?y :name ?n } }")
