@@ -48,12 +48,6 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: materialises df in the shared folder and forgets its lineage."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 class Spool:
     """Intermediate tables written as parquet to the shared folder; columnar, so re-reads prune columns."""
 
