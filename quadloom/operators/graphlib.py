@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from quadloom import terms as t
 from quadloom.operators.paths import components, reach
+from quadloom.operators.ranking import number
 from quadloom.plans.algebra import OWL, RDF, RDFS
 from quadloom.runtime import Spool
 from quadloom.terms import TERM
@@ -104,19 +105,18 @@ def merge_same_as(triples: DataFrame, names=_same) -> DataFrame:
 def bagify(triples: DataFrame, names=_same, bag_prefix: str = "_:bag_") -> tuple[DataFrame, DataFrame]:
     """(graph, members): resources alike in type and in all other edges become one bag; members are (bag, member).
 
-    The edges of a node are hashed as a sorted set; hash groups are confirmed on the set itself.
+    The edge set of a node is told by its size and 128 bits of commutative fingerprint, so a hub's edges are never gathered.
     """
     out_edges = triples.select(F.col("s").alias("n"), F.struct(F.lit("out").alias("d"), "p", F.col("o").alias("x")).alias("e"))
     in_edges = triples.where("o.k < 3").select(F.col("o").alias("n"), F.struct(F.lit("in").alias("d"), "p", F.col("s").alias("x")).alias("e"))
-    sets = out_edges.union(in_edges).groupBy("n").agg(F.sort_array(F.collect_set("e")).alias("es"))
-    groups = sets.groupBy(F.xxhash64("es").alias("h"), "es").agg(F.count(F.lit(1)).alias("size"), F.min("n.lex").alias("first")).where("size > 1")
-    bags = groups.select("es", iri(F.concat(F.lit(bag_prefix), F.sha2("first", 256).substr(1, 16))).alias("bag"))
-    bags = bags.withColumn("bag", t.struct(2, F.col("bag.lex")))
+    mark = lambda salt: F.bit_xor(F.xxhash64(F.lit(salt), "e"))
+    sets = out_edges.union(in_edges).distinct().groupBy("n").agg(F.struct(F.count(F.lit(1)).alias("c"), mark("a").alias("x"), mark("b").alias("y")).alias("es"))
+    groups = sets.groupBy("es").agg(F.count(F.lit(1)).alias("size"), F.min("n.lex").alias("first")).where("size > 1")
+    bags = groups.select("es", t.struct(2, F.concat(F.lit(bag_prefix), F.sha2("first", 256).substr(1, 16))).alias("bag"))
     members = Spool(triples.sparkSession).write(sets.join(bags, "es").select("bag", F.col("n").alias("member")))
     mapped = map_graph(triples, members.select(F.col("member").alias("a"), F.col("bag").alias("b")))
     typed = members.select(F.col("bag").alias("s"), F.lit(names(RDF + "type")).alias("p"), iri(names(RDF + "Bag")).alias("o")).distinct()
-    order = F.row_number().over(Window.partitionBy("bag").orderBy("member.lex"))
-    numbered = members.select(F.col("bag").alias("s"), F.concat(F.lit(names(RDF + "_")), order.cast("string")).alias("p"), F.col("member").alias("o"))
+    numbered = number(members, "bag", "member", "i").select(F.col("bag").alias("s"), F.concat(F.lit(names(RDF + "_")), F.col("i").cast("string")).alias("p"), F.col("member").alias("o"))
     return mapped.union(typed).union(numbered), members
 
 
@@ -178,8 +178,7 @@ def smash(triples: DataFrame, names=_same) -> DataFrame:
     comp = components(triples.where((F.col("p") == names(OWL + "sameAs")) & (F.col("o.k") < 3)).select(F.col("s").alias("a"), F.col("o").alias("b")))
     comp = Spool(triples.sparkSession).write(comp.select(F.col("node").alias("a"), t.struct(2, F.concat(F.lit("_:smash_"), F.sha2("component.lex", 256).substr(1, 16))).alias("b")))
     rest = map_graph(triples.where(F.col("p") != names(OWL + "sameAs")), comp)
-    order = F.row_number().over(Window.partitionBy("b").orderBy("a.lex"))
-    return rest.union(comp.select(F.col("b").alias("s"), F.concat(F.lit(names(RDF + "_")), order.cast("string")).alias("p"), F.col("a").alias("o")))
+    return rest.union(number(comp, "b", "a", "i").select(F.col("b").alias("s"), F.concat(F.lit(names(RDF + "_")), F.col("i").cast("string")).alias("p"), F.col("a").alias("o")))
 
 
 def combine_bags(members: DataFrame) -> DataFrame:
@@ -201,8 +200,8 @@ def blank_variables(triples: DataFrame) -> DataFrame:
     for k in sorted(counts):
         base[k], at = at, at + counts[k]
     offset = F.create_map(*[F.lit(x) for k, v in base.items() for x in (k, v)]) if base else F.create_map(F.lit(0), F.lit(0))
-    number = F.element_at(offset, F.col("part")) + F.row_number().over(Window.partitionBy("part").orderBy("n.lex"))
-    return map_graph(triples, ranged.select(F.col("n").alias("a"), t.struct(2, F.concat(F.lit("_:v"), number.cast("string"))).alias("b")))
+    place = F.element_at(offset, F.col("part")) + F.row_number().over(Window.partitionBy("part").orderBy("n.lex"))
+    return map_graph(triples, ranged.select(F.col("n").alias("a"), t.struct(2, F.concat(F.lit("_:v"), place.cast("string"))).alias("b")))
 
 
 # G15

@@ -120,8 +120,8 @@ def answer_pairs(df: DataFrame, key: str, value: str, keys: int, values: int) ->
 
 def unique_solution(df: DataFrame) -> DataFrame:
     """The only distinct solution; none if there are several."""
-    two = df.distinct().limit(2)
-    return two.join(two.agg(F.count(F.lit(1)).alias("_n")).where("_n = 1").select("_n"), F.lit(True)).drop("_n")
+    two = df.distinct().limit(2)  # so the window holds two rows at most
+    return two.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(F.lit(1)))).where("_n = 1").drop("_n")
 
 
 def head_and_tail(df: DataFrame, order: str, top: int, bottom: int) -> DataFrame:

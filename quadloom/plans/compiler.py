@@ -249,6 +249,8 @@ class Compiler:
             cond = cond & ((x == y) | x.isNull() | y.isNull() if n in rel.maybe or n in b.maybe else x == y)
         if inner is not None:
             cond = cond & F.coalesce(Scope({**env, **rel.env}, self.g.encode, self.base).test(inner), F.lit(False))
+        elif not set(rel.env) & set(env):
+            df = df.limit(1)  # nothing is shared: one row decides
         return rel.df.join(df, cond, how)
 
     def _flags(self, rel: Rel, e, graph) -> tuple[Rel, dict[int, Column]]:
@@ -311,16 +313,20 @@ class Compiler:
 
     # property paths
     def path_pattern(self, x: Triple, graph) -> Rel:
-        if isinstance(graph, tuple):
-            raise ValueError("a property path under GRAPH with a variable")
-        pairs = self.path(x.p, graph, x.s if not isinstance(x.s, Var) else None, x.o if not isinstance(x.o, Var) else None)
+        ends = [(x.s, Val("term", F.col("s"))), (x.o, Val("term", F.col("o")))]
+        if isinstance(graph, tuple):  # nodes carry their graph along the path
+            tagged = Compiler(Tagged(self.g, graph)).path(x.p, None)
+            pairs = tagged.select(F.col("s.n").alias("s"), F.col("o.n").alias("o"), F.col("s.g").alias("g"))
+            ends.append((graph[0], Val("iri", F.col("g"))))
+        else:
+            pairs = self.path(x.p, graph, x.s if not isinstance(x.s, Var) else None, x.o if not isinstance(x.o, Var) else None)
         values, tests = {}, []
-        for node, col in ((x.s, F.col("s")), (x.o, F.col("o"))):
-            v = Val("term", col)
+        for node, v in ends:
+            col = v.col
             if not isinstance(node, Var):
                 tests.append(col == t.as_term(t.constant(node, self.g.encode)))
             elif node.name in values:
-                tests.append(values[node.name].col == col)
+                tests.append(t.same_term(values[node.name], v))
             else:
                 values[node.name] = v
         for c in tests:
@@ -522,6 +528,31 @@ class Compiler:
         return out.where("s IS NOT NULL AND p IS NOT NULL AND o IS NOT NULL AND ok AND s.k < 3").select("s", "p", "o")
 
 
+class Tagged(Graph):
+    """A graph whose nodes are structs of graph and term, for paths under GRAPH with a variable."""
+
+    def __init__(self, graph: Graph, context: tuple) -> None:
+        self.inner, self.context, self.spark = graph, context, graph.spark
+
+    def encode(self, iri: str) -> str:
+        return self.inner.encode(iri)
+
+    def edges(self, predicates: list[str] | None, graph, negated: bool = False) -> DataFrame:
+        v = [Var("~ts"), Var("~tp"), Var("~to")]
+        rel = self.inner.scan([Triple(*v)], self.context)[0]
+        g, p = t.lexical(rel.env[self.context[0].name]), t.lexical(rel.env["~tp"])
+        df = rel.df
+        if predicates is not None:
+            inside = p.isin([self.encode(x) for x in predicates])
+            df = df.where(~inside if negated else inside)
+        node = lambda n: F.struct(g.alias("g"), t.as_term(rel.env[n]).alias("n"))
+        return df.select(node("~ts").alias("s"), node("~to").alias("o")).distinct()
+
+    def nodes(self, graph) -> DataFrame:
+        e = self.edges(None, None)
+        return e.select(F.col("s").alias("n")).union(e.where("o.n.k < 3").select("o")).distinct()
+
+
 def _is_iri(v: Val) -> Column:
     return v.col["k"] == 1 if v.kind == "term" else F.lit(t.is_resource(v))
 

@@ -57,6 +57,11 @@ GOLDEN = {
     "SELECT ?s ?v { VALUES (?s ?v) { (:a 1) (:b UNDEF) } ?s :n ?v }": [("urn:a", "1"), ("urn:b", "2.5")],
     "SELECT ?s ?m { ?s a :C { SELECT (MAX(?v) AS ?m) { ?x :n ?v FILTER(isNUMERIC(?v)) } } }": [("urn:a", "8"), ("urn:b", "8")],
     "SELECT ?x { :l1 list:member ?x }": [("urn:a",), ("urn:b",)],
+    "SELECT ?g ?o { GRAPH ?g { :a :p+ ?o } }": [("user", "urn:b"), ("user", "urn:c"), ("user", "urn:a"), ("urn:g1", "urn:b")],
+    "SELECT ?g { GRAPH ?g { :g :q/:q? :i } }": [("urn:g2",)],
+    "SELECT ?s { ?s :n 1 FILTER EXISTS { ?x :q ?y } }": [("urn:a",)],
+    "SELECT ?s { ?s :n 1 FILTER NOT EXISTS { ?x :none ?y } }": [("urn:a",)],
+    "SELECT ?x { ?s :n 1 . ?x apf:assign ?s }": [("urn:a",)],
     "SELECT ?i ?x { :l1 list:index (?i ?x) }": [(0, "urn:a"), (1, "urn:b")],
     "SELECT ?n { :l1 list:length ?n }": [(2,)],
     "SELECT ?x { :bag rdfs:member ?x }": [("urn:a",), ("urn:b",)],
