@@ -21,8 +21,9 @@ from quadloom.runtime import Spool
 UP = ("skos:broader", "urn:x:v/partOf", "rdfs:subClassOf")
 DOWN = ("skos:narrower", "urn:x:v/hasPart")
 
-#: Most links that one task peels alone: some 20 MB of names.
+#: Most links, and most characters of their names, that one task peels alone.
 FINISH_LINKS = 50_000
+FINISH_CHARS = 20_000_000
 _PATHS = "node string, parent string, path array<string>, state string"
 
 
@@ -46,12 +47,13 @@ class Peeled:
 
 def peel(links: DataFrame, spool: Spool, finish_links: int = FINISH_LINKS) -> Peeled:
     links = spool.write(links)
-    out, rest, n = Peeled(links), links, links.count()
-    while n > finish_links:
+    out, rest = Peeled(links), links
+    n, chars = _size(links)
+    while n > finish_links or chars > FINISH_CHARS:
         parents = rest.select(F.col("parent").alias("_p")).distinct()
         flagged = spool.write(rest.join(parents, rest["child"] == parents["_p"], "left").select("child", "parent", F.col("_p").isNull().alias("leaf")))
         rest = flagged.where("NOT leaf").drop("leaf")
-        left = rest.count()
+        left, chars = _size(rest)
         if left == n:
             out.small = False
             break
@@ -61,6 +63,11 @@ def peel(links: DataFrame, spool: Spool, finish_links: int = FINISH_LINKS) -> Pe
     return out
 
 
+def _size(links: DataFrame) -> tuple[int, int]:
+    r = links.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("child") + F.length("parent")).alias("c")).first()
+    return r.n, r.c or 0
+
+
 def _components(children: list[str], parents: list[str]) -> tuple[dict[str, list[str]], set[str]]:
     """(parents of each node, nodes on a cycle) of a bounded graph; Tarjan's algorithm without recursion."""
     up: dict[str, list[str]] = {}
