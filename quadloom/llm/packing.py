@@ -16,7 +16,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Ranks are counted per size and salt, so that a size which a third of all items have is spread.
+from quadloom.runtime import task_slots
+
+#: Ranks are counted per size and salt, so that a size which a third of all items have is spread; at least so many salts, and as
+#: many as the cluster has reduce tasks.
 SALTS = 64
 BLOCK = 1024
 
@@ -111,11 +114,12 @@ def pack(items: DataFrame, key: str, size: str, capacity: int, group: int = 64)
     if capacity < 1 or group < 1:
         raise ValueError("capacity and group must be positive")
     spark = items.sparkSession
+    salts = max(SALTS, task_slots(spark))
     n = F.greatest(F.coalesce(F.col(size), F.lit(0)).cast("bigint"), F.lit(0))
     last = F.greatest(F.ceil(F.col("n") / F.lit(capacity)) - 1, F.lit(0))
     pieces = items.select(F.col(key).alias("key"), n.alias("n"), F.xxhash64(F.col(key), F.col(size)).alias("h")).withColumn("piece_no", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
     start = F.col("piece_no") * capacity
-    pieces = pieces.select("key", "piece_no", start.alias("piece_start"), F.least(F.col("n") - start, F.lit(capacity)).cast("int").alias("size"), F.pmod(F.hash("h", "piece_no"), F.lit(SALTS)).alias("salt"))
+    pieces = pieces.select("key", "piece_no", start.alias("piece_start"), F.least(F.col("n") - start, F.lit(capacity)).cast("int").alias("size"), F.pmod(F.hash("h", "piece_no"), F.lit(salts)).alias("salt"))
     counts = pieces.groupBy("size", "salt").agg(F.count(F.lit(1)).alias("n"))
     by_size = {r.size: r.n for r in counts.groupBy("size").agg(F.sum("n").alias("n")).collect()}  # at most capacity + 1 rows
     patterns = plan(by_size, capacity)
