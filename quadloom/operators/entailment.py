@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadloom import terms as t
-from quadloom.operators.paths import reach
+from quadloom.operators import paths
 from quadloom.plans.algebra import RDF, RDFS
 from quadloom.runtime import Spool
 from quadloom.sources.graphs import Graph, QuadGraph
@@ -54,7 +54,7 @@ def closure(graph: QuadGraph, predicate: str) -> DataFrame:
     """(s, o) lexical forms: transitive and, for all terms it links, reflexive closure of a schema predicate."""
     edges = graph.quads.where(F.col("p") == graph.encode(predicate)).select(F.col("s.lex").alias("s"), F.col("o.lex").alias("o")).distinct()
     loops = edges.select("s").union(edges.select("o")).distinct().select("s", F.col("s").alias("o"))
-    return reach(edges, edges).union(loops).distinct()
+    return paths.closure(edges).union(loops).distinct()
 
 
 @regime("none")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quadloom import terms as t
-from quadloom.operators.paths import components, reach
+from quadloom.operators.paths import closure, components, reach
 from quadloom.operators.ranking import number
 from quadloom.plans.algebra import OWL, RDF, RDFS
 from quadloom.runtime import Spool
@@ -157,7 +157,7 @@ def abstract(triples: DataFrame, names=_same, merge: DataFrame | None = None) ->
 # G11
 def minimise(triples: DataFrame, schema: DataFrame, names=_same) -> DataFrame:
     """Drops edges that others imply: by a super-property, by symmetry (the greater subject goes), by an inverse property."""
-    sub = reach(_pairs(schema, names(RDFS + "subPropertyOf")), _pairs(schema, names(RDFS + "subPropertyOf"))).where("s <> o").select(F.col("s").alias("q"), F.col("o").alias("p"))
+    sub = closure(_pairs(schema, names(RDFS + "subPropertyOf"))).where("s <> o").select(F.col("s").alias("q"), F.col("o").alias("p"))
     implied = triples.select("s", F.col("p").alias("q"), "o").join(sub, "q").select("s", "p", "o")
     out = triples.join(implied, ["s", "p", "o"], "left_anti")
     sym = schema.where((F.col("p") == names(RDF + "type")) & (F.col("o.lex") == names(OWL + "SymmetricProperty"))).select(F.col("s.lex").alias("p"))

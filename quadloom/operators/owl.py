@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadloom import terms as t
-from quadloom.operators.paths import components, reach
+from quadloom.operators.paths import closure, components
 from quadloom.plans.algebra import OWL, RDF, RDFS
 from quadloom.runtime import Spool
 
@@ -201,7 +201,7 @@ def subclasses(sc: Schema, cls: str) -> set[str]:
 def direct_subclasses(triples: DataFrame, names=_SAME) -> DataFrame:
     """(s, o): sub-class links that no longer way implies."""
     edges = triples.where(F.col("p") == names(RDFS + "subClassOf")).where("s <> o").select("s", "o").distinct()
-    far = reach(edges.join(edges.select(F.col("s").alias("o"), F.col("o").alias("o2")), "o").select("s", F.col("o2").alias("o")), edges)
+    far = edges.join(closure(edges).select(F.col("s").alias("o"), F.col("o").alias("o2")), "o").select("s", F.col("o2").alias("o")).distinct()
     return edges.join(far, ["s", "o"], "left_anti")
 
 
@@ -236,7 +236,7 @@ def has(triples: DataFrame, sc: Schema, prop: str, names=_SAME) -> DataFrame:
     a, b = comp.select(F.col("node").alias("s"), F.col("component").alias("cs")), comp.select(F.col("node").alias("o"), F.col("component").alias("co"))
     canon = pairs.join(a, "s", "left").join(b, "o", "left").select(F.coalesce("cs", "s").alias("s"), F.coalesce("co", "o").alias("o")).distinct()
     if any(of(p, "TransitiveProperty") for p in subs):
-        canon = reach(canon, canon)
+        canon = closure(canon)
     back_s, back_o = comp.select(F.col("component").alias("s"), F.col("node").alias("s2")), comp.select(F.col("component").alias("o"), F.col("node").alias("o2"))
     return canon.join(back_s, "s", "left").join(back_o, "o", "left").select(F.coalesce("s2", "s").alias("s"), F.coalesce("o2", "o").alias("o")).distinct()
 

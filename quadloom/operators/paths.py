@@ -27,6 +27,23 @@ def reach(seed: DataFrame, edges: DataFrame, max_rounds: int | None = None, spoo
     return known
 
 
+def closure(edges: DataFrame, spool: Spool | None = None) -> DataFrame:
+    """(s, o): all pairs that edges (s, o) connect in one step or more, each once.
+
+    A round joins the pairs that the last one found with all pairs known, which doubles the length of the paths covered: the
+    pairs found last are those of more than half the length reached, so every longer shortest path splits at one of them.
+    """
+    spool = spool or Spool(edges.sparkSession)
+    known = front = spool.write(edges.select("s", "o").distinct())
+    while True:
+        tail = known.select(F.col("s").alias("_m"), F.col("o").alias("_o"))
+        new = front.join(tail, front["o"] == tail["_m"]).select("s", F.col("_o").alias("o")).distinct()
+        front = spool.write(new.join(known, ["s", "o"], "left_anti"))
+        if front.isEmpty():
+            return known
+        known = known.union(front)
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): connected components of undirected links; the component's name is its least node.
 

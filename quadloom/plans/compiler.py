@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quadloom import terms as t
 from quadloom.functions.expressions import Scope
-from quadloom.operators.paths import reach
+from quadloom.operators.paths import closure, reach
 from quadloom.plans.algebra import (
     RDF, Aggregate, Alt, Bgp, Call, Exists, Extend, Filter, InGraph, Inverse, Iri, Join, LeftJoin, Lit, Minus, Negated, PropertyFunction, Query, Repeat, Seq, Service, SubSelect, Triple, Union, Values, Var, expression_vars, has_aggregate, visible,
 )
@@ -77,6 +77,7 @@ class Compiler:
 
     def bgp(self, triples: list[Triple], graph) -> Rel:
         ctx = graph if graph is not None else self.default
+        triples = [y for x in triples for y in self.unfold(x)]
         plain = [x for x in triples if isinstance(x.p, Iri | Var)]
         rels = self.g.scan(plain, ctx) if plain else []
         sizes = []
@@ -101,6 +102,16 @@ class Compiler:
             out = self.join(out, rels[nxt])
         return out
 
+    def unfold(self, x: Triple) -> list[Triple]:
+        """Sequences and inverses of a path as plain patterns over hidden variables, which keep their native types."""
+        match x.p:
+            case Inverse(q):
+                return self.unfold(Triple(x.o, q, x.s))
+            case Seq(parts):
+                nodes = [x.s, *[Var(self.fresh("m")) for _ in parts[1:]], x.o]
+                return [y for a, q, b in zip(nodes, parts, nodes[1:]) for y in self.unfold(Triple(a, q, b))]
+        return [x]
+
     def apart(self, rel: Rel, names) -> tuple[DataFrame, dict[str, Val]]:
         """The Rel with some columns renamed, so that both sides of a join stay apart."""
         df, env = rel.df, dict(rel.env)
@@ -372,8 +383,7 @@ class Compiler:
             return self._repeat(Inverse(q), least, many, graph, o, None).select(F.col("o").alias("s"), F.col("s").alias("o"))
         if many:
             edges = self.path(q, graph)
-            seed = edges.where(F.col("s") == const(s)) if s is not None else edges
-            out = reach(seed, edges)
+            out = reach(edges.where(F.col("s") == const(s)), edges) if s is not None else closure(edges)
         else:
             out = self.path(q, graph, s)
         if least == 0:

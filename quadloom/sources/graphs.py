@@ -379,8 +379,18 @@ def map_table(name: str, df: DataFrame, prefix: str, key: str | None, links: dic
     return Mapping(name, prefix, key, columns, f"{base}{name.capitalize()}", f"{base}g/{name}")
 
 
+_CATALOG: dict[tuple[str, str], VirtualGraph] = {}
+
+
 def star_schema(spark: SparkSession, sf_dir: str) -> VirtualGraph:
-    """The test tables as one virtual graph; each table is a named graph urn:t:g/<table>."""
+    """The test tables as one virtual graph; each table is a named graph urn:t:g/<table>. Schemas are read once a session and folder."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _CATALOG:
+        _CATALOG[key] = _star_schema(spark, sf_dir)
+    return _CATALOG[key]
+
+
+def _star_schema(spark: SparkSession, sf_dir: str) -> VirtualGraph:
     from quadloom.runtime import table
 
     names = "region nation customer supplier part orders lineitem events documents embeddings".split()
