@@ -13,6 +13,8 @@ import unicodedata
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quadloom.runtime import Spool
+
 # Letters of other scripts drawn like Latin ones, and the Latin letters.
 _ALIKE = {
     "аеорсхуіѕјһԁԛԝӏ": "aeopcxyisjhdqwl",
@@ -28,13 +30,15 @@ _HYPHENS = "‐‑﹣⁃"
 def _tables() -> tuple[dict[str, str], dict[str, str], str]:
     """Single characters mapped to one, characters mapped to several, characters that vanish; by rule from the character database."""
     one, many, gone, private = {}, {}, [], 0xE000
-    for code in range(0x80, 0x10000):
+    for code in (*range(0x09), 0x0B, 0x0C, *range(0x0E, 0x20), *range(0x7F, 0x20000), *range(0xE0000, 0xE1000)):
         c = chr(code)
         kind, name, parts = unicodedata.category(c), unicodedata.name(c, ""), unicodedata.decomposition(c)
         if kind == "Zs":
             one[c] = " "
-        elif kind == "Cf" and not name.startswith(("ARABIC", "SYRIAC", "KAITHI")) or 0xFE00 <= code <= 0xFE0F or code == 0x034F:
+        elif kind == "Cc" or "FILLER" in name or kind == "Cf" and not name.startswith(("ARABIC", "SYRIAC", "KAITHI")) or 0xFE00 <= code <= 0xFE0F or code == 0x034F:
             gone.append(c)
+        elif parts and not parts.startswith("<") and " " not in parts:
+            one[c] = unicodedata.normalize("NFC", c)  # another code of the same character
         elif parts.startswith(("<wide>", "<narrow>")):
             plain = unicodedata.normalize("NFKC", c)
             (one if len(plain) == 1 else many)[c] = plain
@@ -56,26 +60,34 @@ def _mapped(text: Column, one: dict[str, str]) -> Column:
     return F.translate(text, "".join(one) + _GONE, "".join(one.values()))
 
 
+def plain(text: Column) -> Column:
+    """Printable ASCII: such texts look alike only if they are the same."""
+    return text.rlike(r"^[\x09\x0A\x0D\x20-\x7E]*$")
+
+
 def look(text: Column) -> Column:
-    """The text with characters drawn alike made equal. ASCII texts pass as they are."""
-    return F.when(text.rlike(r"^[\x00-\x7F]*$"), text).otherwise(_mapped(text, _ONE | _LETTERS))
+    """The text with characters drawn alike made equal. Plain texts pass as they are."""
+    return F.when(plain(text), text).otherwise(_mapped(text, _ONE | _LETTERS))
 
 
 def _oddities(text: Column) -> Column:
     odd = "".join(_ONE) + "".join(_MANY) + _GONE
     mixed = r"\p{IsLatin}[\p{IsCyrillic}\p{IsGreek}]|[\p{IsCyrillic}\p{IsGreek}]\p{IsLatin}|[\p{IsCyrillic}][\p{IsGreek}]|[\p{IsGreek}][\p{IsCyrillic}]"
-    return F.length(text) - F.length(F.translate(text, odd, "")) + F.regexp_count(text, F.lit(mixed)) + F.regexp_count(text, F.lit(r"\p{Mn}"))
+    return F.when(plain(text), 0).otherwise(F.length(text) - F.length(F.translate(text, odd, "")) + F.regexp_count(text, F.lit(mixed)) + F.regexp_count(text, F.lit(r"\p{Mn}")))
 
 
 def classes(literals: DataFrame) -> DataFrame:
-    """lex, canonical, n_rows, members: one row per distinct text; members counts the texts of its class.
+    """lex, canonical, n_rows, members: the distinct texts that other texts may look like; members counts the texts of a class.
 
     Null texts belong to no class. Equal texts combine before they move, so a text that fills a third of the rows is one row
-    per map task; a class then has one row per way of writing.
+    per map task; a class then has one row per way of writing. A plain text that no other text is mapped to is alone in its class
+    and is left out, which spares most texts the collation.
     """
     spark = literals.sparkSession
-    variants = literals.where("lex IS NOT NULL").groupBy("lex").agg(F.count(F.lit(1)).alias("n_rows"))
-    variants = variants.select("lex", "n_rows", look(F.col("lex")).alias("look"), _oddities(F.col("lex")).alias("odd"))
+    texts = literals.where("lex IS NOT NULL").groupBy("lex").agg(F.count(F.lit(1)).alias("n_rows"))
+    odd = Spool(spark).write(texts.where(~plain(F.col("lex"))).select("lex", "n_rows", look(F.col("lex")).alias("look"), _oddities(F.col("lex")).alias("odd")))
+    met = texts.where(plain(F.col("lex"))).join(odd.select(F.col("look").alias("_look")).distinct(), F.col("lex") == F.col("_look"), "left_semi")
+    variants = odd.union(met.select("lex", "n_rows", F.col("lex").alias("look"), F.lit(0).alias("odd")))
     grouped = spark.sql(
         """SELECT look COLLATE UNICODE AS look_key, min_by(lex, struct(odd, lex)) AS canonical, count(*) AS members
            FROM {variants} GROUP BY look COLLATE UNICODE""",
@@ -107,7 +119,7 @@ def same_look_pairs(literals: DataFrame, block: int = 20_000) -> DataFrame:
     Only classes with several writings are joined. A class with more than ``block`` rows is joined in as many parts, one side
     spread and the other copied, so no task gets more than a part.
     """
-    several = classes(literals).where("members > 1")
+    several = Spool(literals.sparkSession).write(classes(literals).where("members > 1"))
     sizes = several.groupBy("canonical").agg(F.sum("n_rows").alias("n"))
     several = several.join(sizes, "canonical").select(F.col("lex").alias("_lex"), F.col("canonical").alias("cls"), F.ceil(F.col("n") / block).cast("int").alias("parts"))
     rows = literals.where("literal_id IS NOT NULL").select("literal_id", "lex").distinct()

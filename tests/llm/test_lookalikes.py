@@ -11,6 +11,7 @@ SAME = [
     ["in-situ", "in‐situ", "in‑situ", "in－situ"],
     ["Список", "Cпиcoк"],
     ["ij", "ĳ"],
+    ["5 K; x", "5 K; x", "5 K; x", "5 K\x01; x", "5ㅤ K; x".replace(" K", " K")],
     [""],
 ]
 OTHER = ["the map", "cafe", "m²", "m2", "a–b", "a-b", "“x”", '"x"', "The map.", "Thе  map", "7", "٧"]
