@@ -25,9 +25,9 @@ _SERIES = 22
 def _register(value: Column) -> tuple[Column, Column]:
     digest = F.md5(value)
     slot = F.conv(F.substring(digest, 1, 3), 16, 10).cast("int")
-    rest = F.conv(F.substring(digest, 4, 13), 16, 10).cast("bigint")
-    rank = F.when(rest == 0, 53).otherwise(53 - F.length(F.bin(rest)))
-    return slot, rank.cast("tinyint")
+    rest = F.ltrim(F.substring(digest, 4, 13), F.lit("0"))
+    zeros = 4 * (13 - F.length(rest)) + F.translate(F.substring(rest, 1, 1), "123456789abcdef", "322111100000000").cast("int")  # of the first digit's four bits
+    return slot, F.when(rest == "", 53).otherwise(zeros + 1).cast("tinyint")
 
 
 def registers(rdf: DataFrame) -> DataFrame:
