@@ -33,7 +33,7 @@ NUM = "CASE WHEN dt IN ('xsd:integer','xsd:decimal','xsd:double') THEN TRY_CAST(
 STAR: dict[str, tuple[str, str]] = {
     "s1_scan_predicate": ("SELECT ?x ?name { ?x :n_name ?name }", "SELECT 'urn:t:nation/' || n_nationkey AS x, n_name AS name FROM nation"),
     "s2_graph_variable": ("SELECT ?g (COUNT(?s) AS ?n) { GRAPH ?g { ?s a ?c } } GROUP BY ?g", " UNION ALL ".join(f"SELECT 'urn:t:g/{t}' AS g, count(*) AS n FROM {t}" for t in "region nation customer supplier part orders lineitem events documents embeddings".split())),
-    "s2_graph_constant": ("SELECT ?p (COUNT(*) AS ?n) { GRAPH <urn:t:g/region> { ?s ?p ?o } } GROUP BY ?p", f"SELECT p, n FROM (VALUES ('urn:t:r_name', 5), ('{RDF}type', 5)) v(p, n)"),
+    "s2_graph_constant": ("SELECT ?p (COUNT(*) AS ?n) { GRAPH <urn:t:g/region> { ?s ?p ?o } } GROUP BY ?p", f"SELECT p, CAST(n AS BIGINT) AS n FROM (VALUES ('urn:t:r_name', 5), ('{RDF}type', 5)) v(p, n)"),
     "s3_plain_literal": ('SELECT ?c { ?c :c_mktsegment "BUILDING" }', "SELECT 'urn:t:customer/' || c_custkey AS c FROM customer WHERE c_mktsegment = 'BUILDING'"),
     "s7_values_one": ('SELECT ?n ?k { VALUES ?n { "NATION_1" "NATION_2" "none" } ?k :n_name ?n }', "SELECT n_name AS n, 'urn:t:nation/' || n_nationkey AS k FROM nation WHERE n_name IN ('NATION_1','NATION_2')"),
     "s8_values_undef": ('SELECT ?s ?f ?o { VALUES (?s ?f) { ("F" 1) (UNDEF 2) } ?o :o_orderstatus ?s }', "SELECT o_orderstatus AS s, f, 'urn:t:orders/' || o_orderkey AS o FROM orders JOIN (VALUES ('F', '1'), (NULL, '2')) v(s, f) ON s IS NULL OR s = o_orderstatus"),
@@ -79,7 +79,7 @@ STAR: dict[str, tuple[str, str]] = {
     "a10_avg": ("SELECT ?f (ROUND(AVG(?q) * 1000) AS ?m) { ?l :l_returnflag ?f ; :l_quantity ?q } GROUP BY ?f", "SELECT l_returnflag AS f, CAST(floor(avg(l_quantity) * 1000 + 0.5) AS BIGINT) AS m FROM lineitem GROUP BY 1"),
     "a12_group_concat": ("SELECT ?x (GROUP_CONCAT(DISTINCT ?n; separator='|') AS ?ns) { ?k :n_regionkey ?x ; :n_name ?n } GROUP BY ?x", "SELECT 'urn:t:region/' || n_regionkey AS x, string_agg(n_name, '|' ORDER BY n_name) AS ns FROM nation GROUP BY 1"),
     "a13_sum_distinct": ("SELECT (SUM(DISTINCT ?s) AS ?t) { ?p :p_size ?s }", "SELECT CAST(sum(DISTINCT p_size) AS BIGINT) AS t FROM part"),
-    "a14_empty_group": ("SELECT (COUNT(?x) AS ?n) (SUM(?x) AS ?s) (AVG(?x) AS ?a) (MIN(?x) AS ?m) { ?p :p_size ?x FILTER(?x < 0) }", "SELECT 0 AS n, 0 AS s, 0.0 AS a, CAST(NULL AS INTEGER) AS m"),
+    "a14_empty_group": ("SELECT (COUNT(?x) AS ?n) (SUM(?x) AS ?s) (AVG(?x) AS ?a) (MIN(?x) AS ?m) { ?p :p_size ?x FILTER(?x < 0) }", "SELECT CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS s, CAST(0 AS DOUBLE) AS a, CAST(NULL AS INTEGER) AS m"),
     "a15_post_expression": ("SELECT ?s (COUNT(?o) + 1 AS ?n) { ?o :o_orderstatus ?s } GROUP BY ?s", "SELECT o_orderstatus AS s, count(*) + 1 AS n FROM orders GROUP BY 1"),
     "o1_top_k": ("SELECT ?o ?p { ?o :o_totalprice ?p } ORDER BY DESC(?p) ?o LIMIT 10", "SELECT 'urn:t:orders/' || o_orderkey AS o, o_totalprice AS p FROM orders ORDER BY o_totalprice DESC, o LIMIT 10"),
     "o3_offset": ("SELECT ?c ?n { ?c :c_name ?n } ORDER BY ?n LIMIT 7 OFFSET 20", "SELECT 'urn:t:customer/' || c_custkey AS c, c_name AS n FROM customer ORDER BY n LIMIT 7 OFFSET 20"),
@@ -313,7 +313,7 @@ FUNCTION_SQL = {
     "u1_insert_delete": W + "SELECT p, count(*) AS n FROM t WHERE p <> 'urn:x:v/maker' GROUP BY 1 UNION ALL SELECT 'urn:x:v/made', count(*) FROM t WHERE p = 'urn:x:v/maker' AND o_k < 3",
     "u6_copy_clear": "WITH q AS (SELECT DISTINCT s_k, s_lex, p_lex, o_k, o_lex, CASE WHEN o_dt = 'xsd:string' THEN '' ELSE coalesce(o_dt, '') END, coalesce(o_lang, ''), g_iri FROM rdf WHERE o_lex IS NOT NULL) SELECT CASE g_iri WHEN 'urn:x:g/set01' THEN 'urn:g2' ELSE g_iri END AS g, count(*) AS n FROM q WHERE g_iri IN ('urn:x:g/set01','urn:x:g/set02') GROUP BY 1",
     "u13_remove_matching": "SELECT count(*) AS n FROM rdf WHERE s_lex IS NOT NULL AND o_lex IS NOT NULL AND NOT (p_lex = 'urn:x:v/subject' AND o_lex = 'urn:x:topic/001' AND o_k = 1)",
-    "u16_statistics": "WITH q AS (SELECT DISTINCT s_k, s_lex, o_k, o_lex, CASE WHEN o_dt = 'xsd:string' THEN '' ELSE coalesce(o_dt, '') END, coalesce(o_lang, ''), g_iri FROM rdf WHERE s_lex IS NOT NULL AND o_lex IS NOT NULL AND p_lex = 'urn:x:v/height') SELECT 1 AS triples_added, count(*) AS triples_removed, count(DISTINCT (s_k, s_lex)) + 1 AS subjects_touched FROM q",
+    "u16_statistics": "WITH q AS (SELECT DISTINCT s_k, s_lex, o_k, o_lex, CASE WHEN o_dt = 'xsd:string' THEN '' ELSE coalesce(o_dt, '') END, coalesce(o_lang, ''), g_iri FROM rdf WHERE s_lex IS NOT NULL AND o_lex IS NOT NULL AND p_lex = 'urn:x:v/height') SELECT CAST(1 AS BIGINT) AS triples_added, count(*) AS triples_removed, count(DISTINCT (s_k, s_lex)) + 1 AS subjects_touched FROM q",
     "profile_graphs": "SELECT g_iri AS g, count(*) AS n_triples FROM rdf WHERE s_lex IS NOT NULL AND o_lex IS NOT NULL GROUP BY 1",
     "profile_graph_summary": "SELECT g_iri AS g, count(DISTINCT p_lex) AS n_predicates, count(DISTINCT (s_k, s_lex)) AS n_subjects, count(DISTINCT CASE WHEN s_k = 2 THEN s_lex END) AS n_blank, count(DISTINCT CASE WHEN p_lex = 'rdf:type' THEN o_lex END) AS n_types FROM rdf WHERE s_lex IS NOT NULL AND o_lex IS NOT NULL GROUP BY 1",
     "profile_types": W + ", k AS (SELECT DISTINCT s_k, s, o FROM t WHERE p = 'rdf:type') SELECT coalesce(o, 'rdfs:Resource') AS type, count(*) AS n_instances FROM (SELECT DISTINCT s_k, s FROM t) x LEFT JOIN k ON x.s = k.s AND x.s_k = k.s_k GROUP BY 1",
