@@ -107,7 +107,7 @@ def oracle_sql() -> dict[str, str]:
     for keys in (("day", "g_iri", "p_lex"), ("day", "g_iri"), ("day", "p_lex"), ("g_iri", "p_lex"), ("day",), ("g_iri",), ("p_lex",), ()):
         cells = ", ".join(k if k in keys else f"CAST(NULL AS {'DATE' if k == 'day' else 'VARCHAR'}) AS {k}" for k in ("day", "g_iri", "p_lex"))
         inner = f"SELECT {''.join(k + ', ' for k in keys)}slot, max(rank) AS rank FROM regs GROUP BY ALL"
-        parts.append(f"SELECT '{'+'.join(keys) or 'all'}' AS grouping, {cells}, {_side('<')} AS n_subjects, {_side('>=')} AS n_objects, 0.01625 AS std_error FROM ({inner})" + (f" GROUP BY {', '.join(keys)}" if keys else ""))
+        parts.append(f"SELECT '{'+'.join(keys) or 'all'}' AS grouping, {cells}, {_side('<')} AS n_subjects, {_side('>=')} AS n_objects, CAST(0.01625 AS DOUBLE) AS std_error FROM ({inner})" + (f" GROUP BY {', '.join(keys)}" if keys else ""))
     return {
         "p3_distinct": f"WITH {_REGISTERS.strip()} " + " UNION ALL ".join(parts),
         "p3_late_merge": f"WITH {_REGISTERS.strip()} SELECT day, count(*) AS n_registers, CAST(sum(rank) AS BIGINT) AS sum_ranks FROM regs GROUP BY day",
