@@ -511,12 +511,12 @@ class Compiler:
             case "avg":
                 n = t.number(v).cast("double")
                 mean = F.sum_distinct(n) / F.count_distinct(n) if a.distinct else F.avg(n)
-                return F.coalesce(F.when(F.count(n) > 0, mean) if not a.distinct else F.when(F.count(n) > 0, mean), F.lit(0.0)), "num", "decimal" if v.dt != "double" else "double"
+                return F.coalesce(F.when(F.count(n) > 0, mean), F.lit(0.0)), "num", "decimal" if v.dt != "double" else "double"
             case "min" | "max":
-                best = (F.min if a.name == "min" else F.max)(t.order_value(v))
+                best = F.min if a.name == "min" else F.max
                 if v.kind == "term":
-                    return F.when(F.count(v.col) > 0, (F.min if a.name == "min" else F.max)(F.when(v.col.isNotNull(), t.order_value(v)))["t"]), "term", ""
-                return (best, v.kind, v.dt) if v.kind != "key" else ((F.min if a.name == "min" else F.max)(t.lexical(v)), "iri", "")
+                    return F.when(F.count(v.col) > 0, best(F.when(v.col.isNotNull(), t.order_value(v)))["t"]), "term", ""
+                return (best(t.lexical(v)), "iri", "") if v.kind == "key" else (best(t.order_value(v)), v.kind, v.dt)
             case "sample":
                 return F.min(v.col) if v.kind not in ("term", "key") else F.first(t.as_term(v), ignorenulls=True), v.kind if v.kind not in ("term", "key") else "term", v.dt
             case "group_concat":
