@@ -52,6 +52,11 @@ def _tables() -> tuple[dict[str, str], dict[str, str], str]:
 
 _ONE, _MANY, _GONE = _tables()
 _LETTERS = {a: b for x, y in _ALIKE.items() for a, b in zip(x, y, strict=True)}
+for _c in map(chr, range(0x370, 0x530)):  # accented letters follow their base, as the collation takes them apart
+    _base, _marks = unicodedata.normalize("NFD", _c)[0], unicodedata.normalize("NFD", _c)[1:]
+    if _marks and _base in _LETTERS and _c not in _LETTERS:
+        _plain = unicodedata.normalize("NFC", _LETTERS[_base] + _marks)
+        (_LETTERS if len(_plain) == 1 else _MANY)[_c] = _plain
 
 
 def _mapped(text: Column, one: dict[str, str]) -> Column:

@@ -8,6 +8,8 @@ SAME = [
     ["The map", "Тhе map", "Ｔｈｅ　ｍａｐ", "The map", "The m​ap", "The map­"],
     ["café", "café", "cаfé"],
     ["office", "oﬃce", "οffice"],
+    ["cr\u0450me", "cr\u0435\u0300me", "cr\u00e8me"],
+    ["\u03aasa", "\u0399\u0308sa", "\u00cfsa"],
     ["in-situ", "in‐situ", "in‑situ", "in－situ"],
     ["Список", "Cпиcoк"],
     ["ij", "ĳ"],
