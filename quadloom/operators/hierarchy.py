@@ -4,7 +4,8 @@ Each distributed round takes away the links of all nodes that have no child left
 (their number is counted in every round, so the bound holds), one task peels the rest in linear time; as the tail holds the
 tops of the trees and every cycle, it also settles the cycles and the first paths. Where more remain and no leaf is left,
 ``_core_cycles`` settles the cycles in distributed rounds. Paths are then given out in reverse order of peeling: a node's
-parents are always peeled after it, so their paths are known.
+parents are always peeled after it, so their paths are known. Descendants go the other way: each round sends the lists of its
+leaves to their parents, and what is left is settled by closure.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadloom.runtime import Spool
+from quadloom.runtime import Spool, task_slots
 
 UP = ("skos:broader", "urn:x:v/partOf", "rdfs:subClassOf")
 DOWN = ("skos:narrower", "urn:x:v/hasPart")
@@ -24,6 +25,7 @@ DOWN = ("skos:narrower", "urn:x:v/hasPart")
 #: Most links, and most characters of their names, that one task peels alone.
 FINISH_LINKS = 50_000
 FINISH_CHARS = 20_000_000
+_PAIRS = "node string, descendant string, distance int"
 _PATHS = "node string, parent string, path array<string>, state string"
 
 
@@ -117,7 +119,7 @@ def _components(children: list[str], parents: list[str]) -> tuple[dict[str, list
 
 def _whole(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
     got = [b for b in batches if len(b)]
-    return pd.concat(got, ignore_index=True) if got else pd.DataFrame({"child": [], "parent": []})
+    return pd.concat(got, ignore_index=True) if got else pd.DataFrame({"child": [], "parent": [], "share": []})
 
 
 def _finish_cycles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -231,14 +233,14 @@ def cycle_nodes(links: DataFrame, finish_links: int = FINISH_LINKS) -> DataFrame
     return _core_cycles(peeled.tail, spool)
 
 
-def hierarchy(links: DataFrame, finish_links: int = FINISH_LINKS) -> DataFrame:
+def hierarchy(links: DataFrame, finish_links: int = FINISH_LINKS, peeled: Peeled | None = None) -> DataFrame:
     """node, parent, path (array, root first, the node last), root, depth (0 for a root), state: one row per path of each node.
 
     In a tree that is one row per node; a node with several parents has a row for each way to a root. A node with no such way
     has one row without path, root and depth: state 'cycle' on a cycle, 'below_cycle' under one. Empty input gives no rows.
     """
     spool = Spool(links.sparkSession)
-    peeled = peel(links, spool, finish_links)
+    peeled = peeled or peel(links, spool, finish_links)
     all_links, rounds = peeled.links, list(peeled.rounds)
     children = all_links.select(F.col("child").alias("node")).distinct()
     roots = all_links.select(F.col("parent").alias("node")).distinct().join(children, "node", "left_anti")
@@ -286,10 +288,87 @@ def _core_paths(tail: DataFrame, cycle_rows: DataFrame, root_rows: DataFrame, sp
 
 
 def descendants(paths: DataFrame) -> DataFrame:
-    """(node_lex, descendant_lex, distance): one row per node and descendant, nearest way; lists stay rows, as a root may head a third of all nodes."""
+    """all_descendants of trees alone, from their paths: nodes without a path have no rows and are in none."""
     each = paths.where("path IS NOT NULL").select("node", F.posexplode("path").alias("at", "above"), F.size("path").alias("n"))
     return each.where("at < n - 1").groupBy(F.col("above").alias("node_lex"), F.col("node").alias("descendant_lex")).agg(F.min(F.col("n") - 1 - F.col("at")).alias("distance"))
 
 
-def subtree_sizes(paths: DataFrame) -> DataFrame:
-    return descendants(paths).groupBy("node_lex").agg(F.count(F.lit(1)).alias("n_descendants"))
+def all_descendants(links: DataFrame, finish_links: int = FINISH_LINKS, peeled: Peeled | None = None) -> DataFrame:
+    """(node_lex, descendant_lex, distance): one row per node and descendant, nearest way; lists stay rows, as a root may head a third of all nodes.
+
+    Each round of peeling sends the lists of its leaves, whole by then, to their parents. What peeling leaves, cycles and all
+    above them, is settled by closure. A node on a cycle is its own descendant, at the length of its shortest cycle.
+    """
+    spool = Spool(links.sparkSession)
+    peeled = peeled or peel(links, spool, finish_links)
+    parts: list[DataFrame] = []
+    waiting: DataFrame | None = None  # rows received by nodes that are not peeled yet
+    for leaves in peeled.rounds:
+        sent = leaves.select(F.col("parent").alias("node"), F.col("child").alias("descendant"), F.lit(1).alias("distance"))
+        if waiting is not None:
+            ready = leaves.select(F.col("child").alias("_c")).distinct()
+            flagged = spool.write(waiting.join(ready, waiting["node"] == ready["_c"], "left").select("node", "descendant", "distance", F.col("_c").isNotNull().alias("whole")))
+            parts.append(spool.write(_nearest(flagged.where("whole"))))
+            on = parts[-1].join(leaves, parts[-1]["node"] == leaves["child"]).select(F.col("parent").alias("node"), "descendant", (F.col("distance") + 1).alias("distance"))
+            sent = sent.union(on).union(flagged.where("NOT whole").drop("whole"))
+        waiting = sent
+    if peeled.small:
+        n = max(1, min(task_slots(links.sparkSession), peeled.tail_count // 5000))
+        copies = peeled.tail.select("child", "parent", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("share"), F.lit(n).alias("shares"))
+        core = copies.repartition(n, "share").mapInPandas(_finish_pairs, _PAIRS)
+    else:
+        core = _core_pairs(peeled.tail, spool)
+    if waiting is not None:
+        core, waiting = spool.write(core), spool.write(_nearest(waiting))
+        below = waiting.select(F.col("node").alias("_n"), F.col("descendant").alias("_d"), F.col("distance").alias("_k"))
+        through = core.join(below, core["descendant"] == below["_n"]).select("node", F.col("_d").alias("descendant"), (F.col("distance") + F.col("_k")).alias("distance"))
+        core = _nearest(core.union(waiting).union(through))
+    for x in parts:
+        core = core.union(x)
+    return core.select(F.col("node").alias("node_lex"), F.col("descendant").alias("descendant_lex"), "distance")
+
+
+def _nearest(pairs: DataFrame) -> DataFrame:
+    return pairs.groupBy("node", "descendant").agg(F.min("distance").alias("distance"))
+
+
+def _finish_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pairs of a bounded graph, level by level from each node of a share."""
+    for share, tail in _whole(batches).groupby("share"):
+        down: dict[str, list[str]] = {}
+        for c, p in zip(tail["child"], tail["parent"]):
+            down.setdefault(p, []).append(c)
+        rows: list[tuple] = []
+        for start in sorted(down)[share :: int(tail["shares"].iloc[0])]:
+            seen: set[str] = set()
+            front, distance = [start], 0
+            while front:
+                distance += 1
+                new = {c for x in front for c in down.get(x, ())} - seen
+                seen |= new
+                front = list(new)
+                rows += [(start, c, distance) for c in front]
+                if len(rows) > 100_000:
+                    yield pd.DataFrame(rows, columns=["node", "descendant", "distance"])
+                    rows = []
+        if rows:
+            yield pd.DataFrame(rows, columns=["node", "descendant", "distance"])
+
+
+def _core_pairs(links: DataFrame, spool: Spool) -> DataFrame:
+    """Pairs of a graph too large for one task. Each round doubles the distance covered: a longer shortest way splits where the
+    last distance ends, so only the pairs of exactly that distance are joined."""
+    known = front = spool.write(links.select(F.col("parent").alias("node"), F.col("child").alias("descendant"), F.lit(1).alias("distance")))
+    reached = 1
+    while True:
+        rest = known.select(F.col("node").alias("_n"), F.col("descendant").alias("_d"), F.col("distance").alias("_k"))
+        far = front.where(F.col("distance") == reached)
+        new = far.join(rest, far["descendant"] == rest["_n"]).select("node", F.col("_d").alias("descendant"), (F.col("distance") + F.col("_k")).alias("distance"))
+        front = spool.write(_nearest(new).join(known, ["node", "descendant"], "left_anti"))
+        if front.isEmpty():
+            return known
+        known, reached = known.union(front), reached * 2
+
+
+def subtree_sizes(pairs: DataFrame) -> DataFrame:
+    return pairs.groupBy("node_lex").agg(F.count(F.lit(1)).alias("n_descendants"))

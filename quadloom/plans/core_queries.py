@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadloom.operators import hierarchy, skew, wide
-from quadloom.runtime import table
+from quadloom.runtime import Spool, table
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -30,14 +30,16 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_paths(spark: SparkSession, d: str) -> DataFrame:
-    paths = hierarchy.hierarchy(hierarchy.statement_links(table(spark, d, "rdf")))
-    sizes = hierarchy.subtree_sizes(paths).withColumnRenamed("node_lex", "node")
+    links = hierarchy.statement_links(table(spark, d, "rdf"))
+    peeled = hierarchy.peel(links, Spool(spark))
+    paths = hierarchy.hierarchy(links, peeled=peeled)
+    sizes = hierarchy.subtree_sizes(hierarchy.all_descendants(links, peeled=peeled)).withColumnRenamed("node_lex", "node")
     out = paths.join(sizes, "node", "left")
-    return out.select(F.col("node").alias("node_lex"), F.col("parent").alias("parent_lex"), F.col("root").alias("root_lex"), F.col("depth").cast("bigint").alias("depth"), F.array_join("path", " > ").alias("path"), "state", F.when(F.col("path").isNotNull(), F.coalesce("n_descendants", F.lit(0))).alias("n_descendants"))
+    return out.select(F.col("node").alias("node_lex"), F.col("parent").alias("parent_lex"), F.col("root").alias("root_lex"), F.col("depth").cast("bigint").alias("depth"), F.array_join("path", " > ").alias("path"), "state", F.coalesce("n_descendants", F.lit(0)).alias("n_descendants"))
 
 
 def p6_descendants(spark: SparkSession, d: str) -> DataFrame:
-    rows = hierarchy.descendants(hierarchy.hierarchy(hierarchy.statement_links(table(spark, d, "rdf"))))
+    rows = hierarchy.all_descendants(hierarchy.statement_links(table(spark, d, "rdf")))
     return rows.withColumn("distance", F.col("distance").cast("bigint"))
 
 

@@ -6,6 +6,7 @@ from collections import defaultdict
 import pytest
 
 from quadloom.operators import hierarchy, skew, wide
+from quadloom.plans import core_queries
 
 RDF = "s_k int, s_lex string, p_lex string, o_k int, o_lex string, o_dt string, o_lang string, g_iri string, extra string, n bigint, _task int"
 PRED = "p_lex string, range_kind string, range_dt string, single_valued boolean, n bigint"
@@ -139,6 +140,34 @@ def test_hierarchy_matches_brute_force(spark, finish, multi):
         assert down == {(a, n) for a, n in pairs if n in rooted}
 
 
+@pytest.mark.parametrize("multi", [False, True])
+@pytest.mark.parametrize("finish", [0, 5, 10_000])
+def test_all_descendants_match_brute_force(spark, finish, multi):
+    links = random_links(3, multi=multi) + [(f"u{i}", f"u{i - 1}") for i in range(1, 9)] + [("u0", "c2")]
+    links += [("x", "c1"), ("y", "x"), ("c3", "y")] * multi  # a second cycle through c1, longer ways around
+    down = defaultdict(set)
+    for c, p in links:
+        down[p].add(c)
+    want = {}
+    for n in {x for e in links for x in e}:
+        front, distance = down[n], 1
+        while front:
+            want |= {(n, x): distance for x in front}
+            front, distance = {c for x in front for c in down[x] if (n, c) not in want}, distance + 1
+    assert set(want) == graph_truth(links)[1]
+    rows = hierarchy.all_descendants(spark.createDataFrame(links, "child string, parent string"), finish).collect()
+    assert len(rows) == len(want) and {(r.node_lex, r.descendant_lex): r.distance for r in rows} == want
+
+
+def test_sizes_of_nodes_on_and_below_cycles(spark, tmp_path):
+    links = [("a", "b"), ("b", "a"), ("c", "b"), ("d", "c"), ("e", "d"), ("r1", "r")]
+    rdf(spark, [(c, "skos:broader", 1, p, None) for c, p in links]).write.parquet(f"{tmp_path}/rdf.parquet")
+    sizes = {r.node_lex: (r.state, r.n_descendants) for r in core_queries.p6_paths(spark, str(tmp_path)).collect()}
+    assert sizes == {"a": ("cycle", 5), "b": ("cycle", 5), "c": ("below_cycle", 2), "d": ("below_cycle", 1), "e": ("below_cycle", 0), "r": ("tree", 1), "r1": ("tree", 0)}
+    pairs = core_queries.p6_descendants(spark, str(tmp_path)).collect()
+    assert len(pairs) == 14 and ("a", "e", 4) in {tuple(r) for r in pairs} and ("a", "a", 2) in {tuple(r) for r in pairs}
+
+
 def test_hierarchy_empty_and_statements(spark):
     none = rdf(spark, [])
     assert hierarchy.cycle_nodes(hierarchy.statement_links(none)).count() == 0
