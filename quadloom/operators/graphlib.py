@@ -147,16 +147,19 @@ def _depths(sub: DataFrame) -> DataFrame:
 
 # G8: instances to classes
 def abstract(triples: DataFrame, names=_same, merge: DataFrame | None = None) -> DataFrame:
-    """The graph with each typed node replaced by its class (the least of several), and classes by ``merge`` (a, b) where given."""
-    kind = triples.where(F.col("p") == names(RDF + "type")).groupBy(F.col("s").alias("a")).agg(F.min("o").alias("b"))
-    rest = triples.where(F.col("p") != names(RDF + "type"))
-    out = map_graph(rest, kind)
+    """The graph with each typed node replaced by its class (the least of several), and classes by ``merge`` (a, b) where given.
+    Literals stay as they are."""
+    typing = (F.col("p") == names(RDF + "type")) & (F.col("o.k") < 3)
+    kind = triples.where(typing).groupBy(F.col("s").alias("a")).agg(F.min("o").alias("b"))
+    out = map_graph(triples.where(~typing), kind)
     return map_graph(out, merge) if merge is not None else out
 
 
 # G11
 def minimise(triples: DataFrame, schema: DataFrame, names=_same) -> DataFrame:
-    """Drops edges that others imply: by a super-property, by symmetry (the greater subject goes), by an inverse property."""
+    """Drops edges that others imply: by a super-property, by symmetry (the greater subject goes), by an inverse property.
+    Edges to literals all stay."""
+    literals, triples = triples.where("o.k = 3"), triples.where("o.k < 3")
     sub = closure(_pairs(schema, names(RDFS + "subPropertyOf"))).where("s <> o").select(F.col("s").alias("q"), F.col("o").alias("p"))
     implied = triples.select("s", F.col("p").alias("q"), "o").join(sub, "q").select("s", "p", "o")
     out = triples.join(implied, ["s", "p", "o"], "left_anti")
@@ -165,7 +168,7 @@ def minimise(triples: DataFrame, schema: DataFrame, names=_same) -> DataFrame:
     out = out.join(twice, ["s", "p", "o"], "left_anti")
     inv = schema.where(F.col("p") == names(OWL + "inverseOf")).select(F.col("s.lex").alias("p"), F.col("o.lex").alias("q"))
     back = out.select(F.col("o").alias("s"), F.col("p").alias("q"), F.col("s").alias("o")).join(inv, "q").where("p <> q").select("s", "p", "o")
-    return out.join(back, ["s", "p", "o"], "left_anti").select("s", "p", "o")
+    return out.join(back, ["s", "p", "o"], "left_anti").select("s", "p", "o").union(literals.select("s", "p", "o"))
 
 
 def _pairs(schema: DataFrame, predicate: str) -> DataFrame:

@@ -251,11 +251,11 @@ def g5_merge_same_as(spark: SparkSession, d: str) -> DataFrame:
 
 
 def g8_abstract(spark: SparkSession, d: str) -> DataFrame:
-    return _flat(graphlib.abstract(all_triples(statements(spark, d).graph).where("o.k < 3"), _E))
+    return _flat(graphlib.abstract(all_triples(statements(spark, d).graph), _E))
 
 
 def g11_minimise(spark: SparkSession, d: str) -> DataFrame:
-    t_ = all_triples(statements(spark, d).graph).where("o.k < 3")
+    t_ = all_triples(statements(spark, d).graph)
     facts = [(("urn:x:v/partOf"), OWL + "inverseOf", "urn:x:v/hasPart"), ("skos:related", RDF + "type", OWL + "SymmetricProperty")]
     schema = all_triples(QuadGraph.from_triples(spark, facts))
     return graphlib.minimise(t_, schema).groupBy("p").agg(F.count(F.lit(1)).alias("n"))
