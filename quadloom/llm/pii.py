@@ -4,7 +4,7 @@
    streets or names take. Each carries its *terms*: the words of a name, or the form and the cue before it.
 2. The corpus tells how strongly a term reveals a protected entity: its disclosure is log2(P(entity | term) / P(entity)).
    For a word, the entity is an address of mail close by that is made of the word; then words join by standing with disclosing
-   ones. For forms and cues it is a line that holds an address of mail or a name.
+   ones. For forms and cues it is a line that holds an address of mail or a name; they matter where a cue names something else.
 3. Candidates whose terms disclose more than the thresholds are the findings; overlaps go to the stronger kind. All counts are
    over all texts; candidates are far fewer than words, so the joins move little.
 """
@@ -27,8 +27,6 @@ LINE_BITS = 3.0
 #: P(entity) as measured, but no more than this: where the corpus is dense with persons, the base rate is no chance level.
 WORD_CHANCE = 1 / 1024
 LINE_CHANCE = 1 / 64
-#: Below so many candidates of a form the corpus says nothing, and the form alone decides.
-SUPPORT = 20
 NEAR = 90
 
 KINDS = ("email", "address", "phone", "id_number", "name")  # the stronger first
@@ -207,15 +205,12 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for lo in range(0, whole.num_rows, 500):
             batch = whole.slice(lo, 500)
-            at, rows, words, lines = [], [], 0, 0
+            at, rows = [], []
             for i, text in enumerate(batch.column(2).to_pylist()):
-                words += text.count(" ") + 1
-                lines += text.count("\n") + 1
                 found = candidates(text)
-                at += [i] * len(found)
+                at += [i] * (len(found) + 1)
                 rows += [(*f, None, None) for f in found]
-            at.append(0)  # one row a batch counts words and lines
-            rows.append(("total", None, None, None, None, None, None, None, None, None, words, lines))
+                rows.append(("total", None, None, None, None, None, None, None, None, None, text.count(" ") + 1, text.count("\n") + 1))
             take = pa.array(at, pa.int64())
             cols = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), *cols], names=names)
@@ -269,18 +264,23 @@ def _accepted_names(cands: DataFrame, words: DataFrame) -> DataFrame:
 
 
 def _accepted_forms(cands: DataFrame, names: DataFrame, n_lines: int) -> DataFrame:
-    """Numbers and streets whose form, or form and cue, discloses persons."""
-    lines = cands.where("kind = 'email'").select("key", "h", "line").union(names.select("key", "h", "line")).distinct().withColumn("held", F.lit(1))
+    """Numbers and streets, each by its own context: its form stands unless the cue before it names something else. Then its line
+    must hold a person, or its form or its form and cue disclose persons. Each text counts once, whatever its copies."""
+    lines = cands.where("kind = 'email'").select("h", "line").union(names.select("h", "line")).distinct().withColumn("held", F.lit(1))
     prior = lines.count() / max(1, n_lines)
     others = cands.where("kind IN ('phone', 'id_number', 'address')")
-    there = others.join(lines, others["key"].eqNullSafe(lines["key"]) & (others["h"] == lines["h"]) & (others["line"] == lines["line"]), "left").select(*[others[c] for c in cands.columns], F.coalesce("held", F.lit(0)).alias("held"))
-    forms = there.groupBy("kind", "form").agg(F.count(F.lit(1)).alias("n"), F.sum("held").alias("hit"))
-    forms = forms.where((F.col("form") != "nine") & ((F.col("n") < SUPPORT) | (_bits(F.col("hit"), F.col("n"), prior, LINE_CHANCE) >= LINE_BITS))).select("kind", "form")
-    sure = others.join(forms, ["kind", "form"], "left_semi")
+    there = others.join(lines, ["h", "line"], "left").select(*cands.columns, F.coalesce("held", F.lit(0)).alias("held"))
+    once = there.dropDuplicates(["h", "kind", "form", "start_pos", "end_pos"])  # copies of a text are no further evidence
+    counts = once.where("form != 'nine'").groupBy("kind", "form", "cue").agg(F.count(F.lit(1)).alias("n"), F.sum("held").alias("hit"))
+    discloses = lambda: _bits(F.col("hit"), F.col("n"), prior, LINE_CHANCE) >= LINE_BITS
+    forms = counts.groupBy("kind", "form").agg(F.sum("n").alias("n"), F.sum("hit").alias("hit")).where(discloses()).select("kind", "form", F.lit(True).alias("by_form"))
+    groups = counts.where(discloses()).select("kind", "form", "cue", F.lit(True).alias("by_cue"))
+    sure = there.where("form != 'nine'").join(forms, ["kind", "form"], "left").join(groups, ["kind", "form", "cue"], "left")
+    sure = sure.where(~F.col("cue").isin(*_OTHER_CUES) | (F.col("held") == 1) | F.col("by_form") | F.col("by_cue"))
     # nine digits alone say nothing; a cue does, that comes before sure forms or stands in persons' lines
-    before = sure.where("kind = 'id_number'").groupBy("cue").agg(F.count(F.lit(1)).alias("n_sure"))
+    before = sure.where("kind = 'id_number'").dropDuplicates(["h", "start_pos", "end_pos"]).groupBy("cue").agg(F.count(F.lit(1)).alias("n_sure"))
     bare = there.where("form = 'nine'")
-    cues = bare.groupBy("cue").agg(F.count(F.lit(1)).alias("n"), F.sum("held").alias("hit")).join(before, "cue", "left")
+    cues = once.where("form = 'nine'").groupBy("cue").agg(F.count(F.lit(1)).alias("n"), F.sum("held").alias("hit")).join(before, "cue", "left")
     cues = cues.where(~F.col("cue").isin("", *_OTHER_CUES) & (F.col("cue").isin(*_ID_CUES) | (_bits(F.col("hit"), F.col("n"), prior, LINE_CHANCE) >= LINE_BITS) | (F.coalesce("n_sure", F.lit(0)) >= 0.5 * F.col("n")))).select("cue")
     return sure.select(*cands.columns).union(bare.join(cues, "cue", "left_semi").select(*cands.columns))
 
@@ -310,7 +310,7 @@ def find(df: DataFrame, key: str, text: str) -> DataFrame:
     """
     spool = Spool(df.sparkSession)
     cands = spool.write(scan(df, key, text))
-    totals = cands.where("kind = 'total'").agg(F.sum("n_words").alias("w"), F.sum("n_lines").alias("l")).first()
+    totals = cands.where("kind = 'total'").groupBy("h").agg(F.sum("n_words").alias("w"), F.max("n_lines").alias("l")).agg(F.sum("w").alias("w"), F.sum("l").alias("l")).first()
     cands = cands.drop("n_words", "n_lines")
     words = spool.write(lexicon(cands, totals.w or 0))
     names = spool.write(_accepted_names(cands, words))

@@ -88,3 +88,18 @@ def test_no_candidates_and_empty(spark):
     assert pii.find(df, "doc_id", "text").count() == 0
     assert pii.find(df.limit(0), "doc_id", "text").count() == 0
     assert pii.redact(df, "doc_id", "text").count() == 3
+
+
+def test_numbers_do_not_depend_on_the_size_of_the_corpus(spark):
+    text = "Call 01632 960497 now\nThen 961-29-1473\n"
+    for n in (1, 19, 40):  # copies, and other texts of the same form
+        rows = [(i, text if i < 3 else f"{text}{i}\n") for i in range(n)]
+        got = pii.find(spark.createDataFrame(rows, "doc_id int, text string"), "doc_id", "text").collect()
+        assert {(r.key, tuple((s.pii_kind, s.start_pos, s.end_pos) for s in r.spans)) for r in got} == {(i, (("phone", 5, 17), ("id_number", 27, 38))) for i in range(n)}
+
+
+def test_own_line_outweighs_the_form(spark):
+    other = [(i, f"order 961-29-{1000 + i}\n") for i in range(40)]
+    mine = [(99, "order 961-29-1473 by ann@lab.example\n")]
+    got = pii.find(spark.createDataFrame(other + mine, "doc_id int, text string"), "doc_id", "text").collect()
+    assert {r.key: [s.pii_kind for s in r.spans] for r in got} == {99: ["id_number", "email"]}
