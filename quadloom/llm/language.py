@@ -1,9 +1,9 @@
 """Language of documents and of their segments, with confidence, by string kernels.
 
-Model: blended-spectrum presence kernel (n-grams of 1 to ``N`` characters that words share, each counted once a word, divided by
-the root of both texts' numbers), Nystroem features on landmark texts, one-versus-rest kernel ridge regression. As the kernel is
-linear in the n-gram indicators, landmarks and regression weights fold into one matrix (n-gram x language); the words of a batch
-are scored by one matrix product with it, and segments by sums of their words' rows.
+Model: blended-spectrum presence kernel (n-grams of 1 to ``N`` characters that two texts share, however often either holds them,
+divided by the root of both texts' numbers), Nystroem features on landmark texts, one-versus-rest kernel ridge regression. As the
+kernel is linear in the n-gram indicators, landmarks and regression weights fold into one matrix (n-gram x language): the scores
+of a batch of words or of segments are the product of its indicator matrix (segment x n-gram) and that matrix.
 
 Segments: a text is cleaned (width forms, invisible characters, letters of other scripts drawn alike), mark-up, quoted titles,
 IRIs and tokens with digits are left out, and clauses are cut at strong punctuation. Within a clause the best path over the
@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,12 +34,20 @@ SWITCH = 0.8
 TEMPERATURE = 0.06
 LEAST_SCORE = 0.04
 _CACHE = 200_000
+_BATCH = 256
 
 # ISO 639-1 and ISO 639-3 codes.
-ISO_639_3 = {
-    "bg": "bul", "ca": "cat", "cs": "ces", "da": "dan", "de": "deu", "el": "ell", "en": "eng", "es": "spa", "et": "est", "eu": "eus", "fi": "fin", "fr": "fra", "ga": "gle", "hr": "hrv", "hu": "hun", "is": "isl", "it": "ita",
-    "la": "lat", "lt": "lit", "lv": "lav", "mt": "mlt", "nl": "nld", "no": "nor", "pl": "pol", "pt": "por", "ro": "ron", "ru": "rus", "sk": "slk", "sl": "slv", "sr": "srp", "sv": "swe", "tr": "tur", "uk": "ukr",
-}
+_CODES = """
+ab abk aa aar af afr ak aka sq sqi am amh ar ara an arg hy hye as asm av ava ae ave ay aym az aze bm bam ba bak eu eus be bel bn ben bi bis bs bos br bre bg bul my mya
+ca cat ch cha ce che ny nya zh zho cu chu cv chv kw cor co cos cr cre hr hrv cs ces da dan dv div nl nld dz dzo en eng eo epo et est ee ewe fo fao fj fij fi fin fr fra fy fry ff ful
+gd gla gl glg lg lug ka kat de deu el ell kl kal gn grn gu guj ht hat ha hau he heb hz her hi hin ho hmo hu hun is isl io ido ig ibo id ind ia ina ie ile iu iku ik ipk ga gle it ita
+ja jpn jv jav kn kan kr kau ks kas kk kaz km khm ki kik rw kin ky kir kv kom kg kon ko kor kj kua ku kur lo lao la lat lv lav li lim ln lin lt lit lu lub lb ltz mk mkd mg mlg ms msa
+ml mal mt mlt gv glv mi mri mr mar mh mah mn mon na nau nv nav nd nde nr nbl ng ndo ne nep no nor nb nob nn nno oc oci oj oji or ori om orm os oss pi pli ps pus fa fas pl pol pt por
+pa pan qu que ro ron rm roh rn run ru rus se sme sm smo sg sag sa san sc srd sr srp sn sna sd snd si sin sk slk sl slv so som st sot es spa su sun sw swa ss ssw sv swe tl tgl ty tah
+tg tgk ta tam tt tat te tel th tha bo bod ti tir to ton ts tso tn tsn tr tur tk tuk tw twi ug uig uk ukr ur urd uz uzb ve ven vi vie vo vol wa wln cy cym wo wol xh xho ii iii yi yid
+yo yor za zha zu zul
+""".split()
+ISO_639_3 = dict(zip(_CODES[::2], _CODES[1::2]))
 
 # Letters of other scripts drawn like Latin ones, and the Latin letters.
 _CYRILLIC, _CYRILLIC_LATIN = "аеорсхуіѕјһԁԛԝАВЕКМНОРСТХІЈЅУёїЁЇ", "aeopcxyisjhdqwABEKMHOPCTXIJSYëïËÏ"
@@ -53,9 +60,10 @@ _PLAIN = str.maketrans({"ø": "o", "Ø": "O", "ł": "l", "Ł": "L", "æ": "ae",
 _IRI = re.compile(r"\b(?:urn:|[a-z][a-z0-9+.-]*://|www\.)[^\s<>“”]*")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 #: Mark-up, quoted titles, tokens with digits and the unit after them, strong punctuation. It begins with the set of first characters.
+#: A search for the closing mark ends at the next opening one or at the end of the line, so it takes linear time.
 _BREAK = re.compile(
     r'[<“"«„‹0-9.;|/=()\[\]{}:!?\n–—#×*]'
-    r'(?:(?<=<)[^<>\n]{0,200}>|(?<=“)[^“”\n]{0,200}”|(?<=")[^"\n]{0,200}"|(?<=«)[^«»\n]{0,200}»|(?<=„)[^„“”\n]{0,200}[“”]|(?<=‹)[^‹›\n]{0,200}›'
+    r'(?:(?<=<)[^<>\n]*+>|(?<=“)[^“”\n]*+”|(?<=")[^"\n]*+"|(?<=«)[^«»\n]*+»|(?<=„)[^„“”\n]*+[“”]|(?<=‹)[^‹›\n]*+›'
     r"|(?<=[0-9])[^\s,;()\[\]|=]*(?:\s?[^\W\d_]{1,2}\b)?)?"
 )
 _SHORT_END = re.compile(r"(?:^|(?<=[\s,]))[^\W\d_]{1,4}[-.]?\s{0,3}\Z")  # a short word before a number, as in "fol. 12"
@@ -131,13 +139,13 @@ def clauses(text: str) -> tuple[list[tuple[str, int]], list[int] | None]:
     found, start = [], 0
     for m in _BREAK.finditer(plain):
         end = m.start()
-        if end - start > 3:
+        if end - start > 2:  # two words take three characters
             clause = plain[start:end]
             if plain[end].isdigit():
                 clause = _SHORT_END.sub("", clause)
             found.append((clause, start))
         start = m.end()
-    if len(plain) - start > 3:
+    if len(plain) - start > 2:
         found.append((plain[start:], start))
     return found, at
 
@@ -161,24 +169,53 @@ class Model:
 
     def __init__(self, languages: list[str], index: dict[str, int], weights: np.ndarray) -> None:
         self.languages, self.index, self.weights = languages, index, weights
-        self._words: dict[str, np.ndarray] = {}
+        self._words: dict[str, tuple[np.ndarray, int]] = {}
         self._clauses: dict[str, list] = {}
+        self._alone: dict[str, np.ndarray] = {}
+        self._place = np.zeros(len(index), np.int64)
 
     def __getstate__(self) -> dict:
-        return {"languages": self.languages, "index": self.index, "weights": self.weights, "_words": {}, "_clauses": {}}
+        return {"languages": self.languages, "index": self.index, "weights": self.weights, "_words": {}, "_clauses": {}, "_alone": {}, "_place": self._place}
 
-    def word(self, word: str) -> np.ndarray:
-        """The word's row of the score matrix, and the number of its n-grams."""
+    def ids(self, word: str) -> tuple[np.ndarray, int]:
+        """Columns of the word's n-grams, and how many of its n-grams no landmark holds."""
         got = self._words.get(word)
         if got is None:
             grams = _grams(word)
             ids = [i for g in grams if (i := self.index.get(g)) is not None]
-            got = np.append(self.weights[ids].sum(0), max(1, len(grams)))
+            got = (np.array(ids, np.int64), len(grams) - len(ids))
             if len(self._words) >= _CACHE:
                 self._words.clear()
             self._words[word] = got
         return got
 
+    def scores(self, groups: list[list[str]]) -> np.ndarray:
+        """Score of each group of words in each language: products of indicator matrices of ``_BATCH`` groups with the weights.
+
+        An n-gram counts once in a group. The matrix has columns for the n-grams that occur in the batch only. N-grams that no
+        landmark holds add to a group's number alone, once a word.
+        """
+        out = np.zeros((len(groups), len(self.languages)))
+        for lo in range(0, len(groups), _BATCH):
+            part = groups[lo : lo + _BATCH]
+            got = [[self.ids(w) for w in ws] for ws in part]
+            cols = np.concatenate([i for g in got for i, _ in g])
+            rows = np.repeat(np.arange(len(part)), [sum(len(i) for i, _ in g) for g in got])
+            used = self._mark(cols)
+            x = np.zeros((len(part), len(used)), np.float32)
+            x[rows, self._place[cols]] = 1
+            size = x.sum(1) + [sum(n for _, n in g) for g in got]
+            out[lo : lo + _BATCH] = (x @ self.weights[used]) / np.sqrt(np.maximum(1, size))[:, None]
+        return out
+
+    def _mark(self, cols: np.ndarray) -> np.ndarray:
+        """The columns that occur, each once, and their places in the batch's matrix."""
+        flags = np.zeros(len(self.index), bool)
+        flags[cols] = True
+        used = np.flatnonzero(flags)
+        self._place[used] = np.arange(len(used))
+        return used
+
     def path(self, e: np.ndarray) -> list[tuple[int, int]]:
         """Ranges of words of one language: the best path over word scores less SWITCH for each change."""
         score, back = e[0].copy(), np.zeros(e.shape, np.int32)
@@ -197,7 +234,7 @@ class Model:
     def label(self, parts: list[str]) -> None:
         """Fills the cache with each clause's segments: start, end, language, confidence, words.
 
-        All words of the batch are one matrix (indicator of the words times their rows), all segments sums of its rows.
+        The words' own scores, which show changes of language, and the segments' scores come from products over the whole batch.
         """
         new = [p for p in dict.fromkeys(parts) if p not in self._clauses]
         if len(self._clauses) + len(new) > _CACHE:
@@ -213,11 +250,14 @@ class Model:
                 flat += got
         if not kept or not self.languages:
             return
-        number = {w: i for i, w in enumerate(dict.fromkeys(flat))}
-        rows = np.array([self.word(w) for w in number])[[number[w] for w in flat]]
-        alone = rows[:, :-1] / np.sqrt(rows[:, -1:])
+        fresh = [w for w in dict.fromkeys(flat) if w not in self._alone]
+        if len(self._alone) + len(fresh) > _CACHE:
+            self._alone.clear()
+            fresh = list(dict.fromkeys(flat))
+        self._alone.update(zip(fresh, self.scores([[w] for w in fresh])))
+        alone = np.array([self._alone[w] for w in flat])
         change = np.add.reduceat(alone.max(1), starts) - SWITCH > np.add.reduceat(alone, starts).max(1)
-        spans, froms = [], []
+        spans, groups = [], []
         for (p, got), at, moves in zip(kept, starts, change):
             ways = self.path(alone[at : at + len(got)]) if moves else []
             if all(b - a < 2 for a, b in ways):  # no change, or changes at every word: one phrase
@@ -225,9 +265,8 @@ class Model:
             places = [m.span() for m in _WORD.finditer(p)] if len(ways) > 1 else [_WORD.search(p).span(), (0, len(p.rstrip(" ,\t'’")))]
             for a, b in ways:
                 spans.append((p, places[a][0], places[b - 1 if len(ways) > 1 else 1][1], b - a))
-                froms.append(at + a)
-        sums = np.add.reduceat(rows, froms)
-        scores = sums[:, :-1] / np.sqrt(sums[:, -1:])
+                groups.append(got[a:b])
+        scores = self.scores(groups)
         best = scores.argmax(1)
         top = scores.max(1)
         sure = 1 / np.exp((scores - top[:, None]) / TEMPERATURE).sum(1)
@@ -260,22 +299,20 @@ def fit(samples: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: float
     for lang, text in samples:
         words = [w for c, _ in clauses(text)[0] for w in words_of(c)]
         texts += [(lang, words), (lang, [_strip(w) for w in words])]
-    texts = [(lang, Counter(g for w in words for g in _grams(w))) for lang, words in texts if words]
+    texts = [(lang, set().union(*map(_grams, words))) for lang, words in texts if words]
     languages = sorted({lang for lang, _ in texts})
     step = max(1, -(-len(texts) // landmarks))
     marks = [g for _, g in texts[::step]]
     index = {g: i for i, g in enumerate(sorted(set().union(*marks) if marks else set()))}
 
-    def rows(counts: list[Counter]) -> np.ndarray:
-        x = np.zeros((len(counts), len(index)), np.float32)
-        for i, c in enumerate(counts):
-            known = [(index[g], n) for g, n in c.items() if g in index]
-            x[i, [k for k, _ in known]] = [n for _, n in known]
-            x[i] /= np.sqrt(max(1, c.total()))
+    def rows(grams: list[set[str]]) -> np.ndarray:
+        x = np.zeros((len(grams), len(index)), np.float32)
+        for i, c in enumerate(grams):
+            x[i, [index[g] for g in c if g in index]] = 1 / np.sqrt(max(1, len(c)))
         return x
 
     if not texts:
-        return Model([], {}, np.zeros((0, 0)))
+        return Model([], {}, np.zeros((0, 0), np.float32))
     xl = rows(marks)
     k_mm = (xl @ xl.T).astype(np.float64)
     k_nm = np.vstack([rows([g for _, g in texts[lo : lo + 128]]) @ xl.T for lo in range(0, len(texts), 128)]).astype(np.float64)
@@ -285,7 +322,7 @@ def fit(samples: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: float
     phi = k_nm @ root
     y = np.array([[float(lang == x) for x in languages] for lang, _ in texts])
     w = np.linalg.solve(phi.T @ phi + ridge * np.eye(phi.shape[1]), phi.T @ y)
-    return Model(languages, index, (xl.T @ (root @ w).astype(np.float32)).astype(np.float64))
+    return Model(languages, index, xl.T @ (root @ w).astype(np.float32))
 
 
 def _first(df: DataFrame, by: str, order: list[Column], n: int) -> DataFrame:
@@ -294,6 +331,28 @@ def _first(df: DataFrame, by: str, order: list[Column], n: int) -> DataFrame:
     return df.withColumn("_r", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("_r") <= n)
 
 
+def _draw(texts: DataFrame, n: int) -> list:
+    """The n distinct texts of each language whose hash is least (all if there are fewer), in that order.
+
+    The first n of a language lie below some bound of the hash, so only rows below a bound are made distinct; where repeats leave
+    a language short of n, its bound rises until it has them or takes in every row.
+    """
+    counts = {r.lang: r.n for r in texts.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per language of the model
+    share = {lang: min(1.0, 8 * n / k) for lang, k in counts.items()}
+    done: dict[str, list] = {}
+    while len(done) < len(counts):
+        left = sorted(set(counts) - set(done))
+        bound = F.create_map(*[F.lit(x) for lang in left for x in (lang, int(share[lang] * 2**64) - 2**63 if share[lang] < 1 else 2**63 - 1)])
+        below = texts.where(F.col("lang").isin(left)).where(F.xxhash64("text") <= F.element_at(bound, F.col("lang"))).distinct()
+        rows = _first(below, "lang", [F.xxhash64("text"), F.col("text")], n).orderBy("lang", "_r").collect()
+        for lang in left:
+            own = [r for r in rows if r.lang == lang]
+            if len(own) == n or share[lang] >= 1:
+                done[lang] = own
+            share[lang] = min(1.0, 64 * share[lang])
+    return [r for lang in sorted(done) for r in done[lang]]
+
+
 def fit_table(samples: DataFrame, labelled: DataFrame | None = None) -> Model:
     """Two fits. The first on samples (lang, sample_text), at most SAMPLES_PER_LANGUAGE a language, the first by sample_id.
 
@@ -302,11 +361,12 @@ def fit_table(samples: DataFrame, labelled: DataFrame | None = None) -> Model:
     """
     rows = _first(samples.where("lang IS NOT NULL AND sample_text IS NOT NULL"), "lang", [F.col("sample_id"), F.col("sample_text")], SAMPLES_PER_LANGUAGE)
     known = [(r.lang, r.sample_text) for r in rows.select("lang", "sample_text", "_r").orderBy("lang", "_r").collect()]
+    if strange := sorted({lang for lang, _ in known} - set(ISO_639_3)):
+        raise ValueError(f"samples of languages that labels can't name: {', '.join(strange)}; the codes must be ISO 639-1")
     model = fit(known)
     if labelled is None or not known:
         return model
-    texts = labelled.select(named(F.col("label")).alias("lang"), "text").where(F.length("text").between(40, 400) & F.col("lang").isin(model.languages)).distinct()
-    drawn = _first(texts, "lang", [F.xxhash64("text"), F.col("text")], 2 * AGREED_PER_LANGUAGE).orderBy("lang", "_r").collect()
+    drawn = _draw(labelled.select(named(F.col("label")).alias("lang"), "text").where(F.length("text").between(40, 400) & F.col("lang").isin(model.languages)), 2 * AGREED_PER_LANGUAGE)
     found = model.segments([r.text for r in drawn])
     agreed = [(r.lang, r.text) for r, f in zip(drawn, found) if len(f) == 1 and f[0][2] == r.lang and f[0][3] > 0.8]
     kept, count = [], dict.fromkeys(model.languages, 0)

@@ -13,7 +13,7 @@ import unicodedata
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quadloom.runtime import Spool
+from quadloom.runtime import Spool, task_slots
 
 # Letters of other scripts drawn like Latin ones, and the Latin letters.
 _ALIKE = {
@@ -26,6 +26,10 @@ _ALIKE = {
 }
 _HYPHENS = "‐‑﹣⁃"
 
+# The code points that Unicode lists as default-ignorable, as ranges.
+_IGNORABLE = "AD-AD 34F-34F 61C-61C 115F-1160 17B4-17B5 180B-180F 200B-200F 202A-202E 2060-206F 3164-3164 FE00-FE0F FEFF-FEFF FFA0-FFA0 FFF0-FFF8 1BCA0-1BCA3 1D173-1D17A E0000-E0FFF"
+_INVISIBLE = {c for r in _IGNORABLE.split() for c in range(int(r.split("-")[0], 16), int(r.split("-")[1], 16) + 1)}
+
 
 def _tables() -> tuple[dict[str, str], dict[str, str], str]:
     """Single characters mapped to one, characters mapped to several, characters that vanish; by rule from the character database."""
@@ -35,7 +39,7 @@ def _tables() -> tuple[dict[str, str], dict[str, str], str]:
         kind, name, parts = unicodedata.category(c), unicodedata.name(c, ""), unicodedata.decomposition(c)
         if kind == "Zs":
             one[c] = " "
-        elif kind == "Cc" or "FILLER" in name or kind == "Cf" and not name.startswith(("ARABIC", "SYRIAC", "KAITHI")) or 0xFE00 <= code <= 0xFE0F or code == 0x034F:
+        elif kind == "Cc" or "FILLER" in name or kind == "Cf" and not name.startswith(("ARABIC", "SYRIAC", "KAITHI")) or code in _INVISIBLE:
             gone.append(c)
         elif parts and not parts.startswith("<") and " " not in parts:
             one[c] = unicodedata.normalize("NFC", c)  # another code of the same character
@@ -91,7 +95,11 @@ def classes(literals: DataFrame) -> DataFrame:
     spark = literals.sparkSession
     texts = literals.where("lex IS NOT NULL").groupBy("lex").agg(F.count(F.lit(1)).alias("n_rows"))
     odd = Spool(spark).write(texts.where(~plain(F.col("lex"))).select("lex", "n_rows", look(F.col("lex")).alias("look"), _oddities(F.col("lex")).alias("odd")))
-    met = texts.where(plain(F.col("lex"))).join(odd.select(F.col("look").alias("_look")).distinct(), F.col("lex") == F.col("_look"), "left_semi")
+    met = spark.sql(
+        """SELECT t.lex, t.n_rows FROM {plain_texts} t LEFT SEMI JOIN {looks} o ON t.lex COLLATE UNICODE = o.look COLLATE UNICODE""",
+        plain_texts=texts.where(plain(F.col("lex"))),
+        looks=odd.select("look").distinct(),
+    )
     variants = odd.union(met.select("lex", "n_rows", F.col("lex").alias("look"), F.lit(0).alias("odd")))
     grouped = spark.sql(
         """SELECT look COLLATE UNICODE AS look_key, min_by(lex, struct(odd, lex)) AS canonical, count(*) AS members
@@ -105,31 +113,49 @@ def classes(literals: DataFrame) -> DataFrame:
     )
 
 
-def canonical_texts(literals: DataFrame, salts: int = 32) -> DataFrame:
+def _salted(rows: DataFrame, per_text: DataFrame, salts: int, how: str) -> DataFrame:
+    """rows joined with per_text (_lex, ...) by text; a text that any share of the rows has meets ``salts`` copies of its row."""
+    copies = per_text.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    spread = rows.withColumn("_s", F.pmod(F.xxhash64("literal_id", F.monotonically_increasing_id()), F.lit(salts)).cast("int"))
+    return spread.join(copies, (spread["lex"] == copies["_lex"]) & (spread["_s"] == copies["_salt"]), how)
+
+
+def canonical_texts(literals: DataFrame, salts: int | None = None) -> DataFrame:
     """literal_id, lex, canonical: equal looks get equal canonical texts, different looks keep different ones; null stays null.
 
     Texts that are the only writing of their class are their own canonical form and take no part in the join back; the hot
-    texts among the rest are spread over ``salts`` copies of their class row.
+    texts among the rest are spread over ``salts`` copies of their class row, by default as many as there are reduce tasks.
     """
     several = classes(literals).where("lex <> canonical").select(F.col("lex").alias("_lex"), "canonical")
-    several = several.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    rows = literals.select("literal_id", "lex").withColumn("_s", F.pmod(F.xxhash64("literal_id", F.monotonically_increasing_id()), F.lit(salts)).cast("int"))
-    joined = rows.join(several, (rows["lex"] == several["_lex"]) & (rows["_s"] == several["_salt"]), "left")
+    joined = _salted(literals.select("literal_id", "lex"), several, salts or max(32, task_slots(literals.sparkSession)), "left")
     return joined.select("literal_id", "lex", F.coalesce("canonical", "lex").alias("canonical"))
 
 
-def same_look_pairs(literals: DataFrame, block: int = 20_000) -> DataFrame:
+def look_classes(literals: DataFrame) -> DataFrame:
+    """canonical, n_writings, n_rows: the classes of several writings. With canonical_texts it holds all that the pairs of rows
+    say, in a size that follows the rows."""
+    several = classes(literals).where("members > 1")
+    return several.groupBy("canonical").agg(F.count(F.lit(1)).alias("n_writings"), F.sum("n_rows").alias("n_rows"))
+
+
+def same_look_pairs(literals: DataFrame, block: int = 1000, salts: int | None = None) -> DataFrame:
     """literal_id_a < literal_id_b: rows whose texts look the same and differ in their characters. Rows without an id take no part.
 
-    Only classes with several writings are joined. A class with more than ``block`` rows is joined in as many parts, one side
-    spread and the other copied, so no task gets more than a part.
+    Only classes with several writings are joined. The rows of each writing are cut into blocks of about ``block`` rows, each
+    block of a writing meets each block of the class's other writings, and a join key is one block: no task gets more than a
+    few blocks, and rows are copied no more often than they have partners. Rows that share an id and have several writings of a
+    class may give a pair more than once.
     """
-    several = Spool(literals.sparkSession).write(classes(literals).where("members > 1"))
-    sizes = several.groupBy("canonical").agg(F.sum("n_rows").alias("n"))
-    several = several.join(sizes, "canonical").select(F.col("lex").alias("_lex"), F.col("canonical").alias("cls"), F.ceil(F.col("n") / block).cast("int").alias("parts"))
+    spark = literals.sparkSession
+    spool = Spool(spark)
+    several = spool.write(classes(literals).where("members > 1").select("lex", F.col("canonical").alias("cls"), F.ceil(F.col("n_rows") / block).cast("int").alias("parts")))
     rows = literals.where("literal_id IS NOT NULL").select("literal_id", "lex").distinct()
-    rows = rows.join(several, rows["lex"] == several["_lex"]).select("literal_id", "lex", "cls", "parts")
-    a = rows.select(F.col("literal_id").alias("literal_id_a"), F.col("lex").alias("lex_a"), F.col("cls").alias("cls_a"), F.pmod(F.xxhash64("literal_id", "lex"), F.col("parts")).cast("int").alias("part_a"))
-    b = rows.select(F.col("literal_id").alias("literal_id_b"), F.col("lex").alias("lex_b"), F.col("cls").alias("cls_b"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part_b"))
-    on = (F.col("cls_a") == F.col("cls_b")) & (F.col("part_a") == F.col("part_b")) & (F.col("literal_id_a") < F.col("literal_id_b")) & (F.col("lex_a") != F.col("lex_b"))
-    return a.join(b, on).select("literal_id_a", "literal_id_b")
+    found = _salted(rows, several.select(F.col("lex").alias("_lex"), "parts"), salts or max(32, task_slots(spark)), "inner")
+    placed = spool.write(found.select("literal_id", "lex", F.pmod(F.xxhash64("literal_id"), F.col("parts")).cast("int").alias("part")))
+    blocks = several.select("lex", "cls", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    one, two = (blocks.select(F.col("cls").alias(f"cls_{x}"), F.col("lex").alias(f"lex_{x}"), F.col("part").alias(f"part_{x}")) for x in "ab")
+    meet = one.join(two, (F.col("cls_a") == F.col("cls_b")) & (F.col("lex_a") < F.col("lex_b"))).drop("cls_a", "cls_b")
+    a, b = (placed.select(F.col("literal_id").alias(f"id_{x}"), F.col("lex").alias(f"l_{x}"), F.col("part").alias(f"p_{x}")) for x in "ab")
+    half = a.join(meet, (F.col("l_a") == F.col("lex_a")) & (F.col("p_a") == F.col("part_a"))).select("id_a", "lex_b", "part_b")
+    pairs = half.join(b, (F.col("lex_b") == F.col("l_b")) & (F.col("part_b") == F.col("p_b"))).where("id_a <> id_b")
+    return pairs.select(F.least("id_a", "id_b").alias("literal_id_a"), F.greatest("id_a", "id_b").alias("literal_id_b"))

@@ -1,10 +1,13 @@
 """Personal information in free text: where it lies, and the text with typed placeholders, by information-theoretic sanitisation.
 
 1. One pass over the texts yields *candidates*: addresses of mail in any way of writing, and strings of a form that numbers,
-   streets or names take. Each carries its *terms*: the words of a name, or the form and the cue before it.
+   streets or names take. Each carries its *terms*: the words of a name, or the form and the cue before it. An address of mail is
+   a protected entity itself, the seed of all estimates, so it needs none.
 2. The corpus tells how strongly a term reveals a protected entity: its disclosure is log2(P(entity | term) / P(entity)).
    For a word, the entity is an address of mail close by that is made of the word; then words join by standing with disclosing
    ones. For forms and cues it is a line that holds an address of mail or a name; they matter where a cue names something else.
+   P(entity) is the share measured over the corpus, but no more than a chance level (WORD_CHANCE, LINE_CHANCE): in a corpus full of
+   persons the share would be no measure of chance, and the thresholds are then a share of hits.
 3. Candidates whose terms disclose more than the thresholds are the findings; overlaps go to the stronger kind. All counts are
    over all texts; candidates are far fewer than words, so the joins move little.
 """
@@ -12,6 +15,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -44,7 +48,8 @@ _FILES = "png|jpg|jpeg|gif|svg|csv|txt|json|py|ipynb|md|html|xml|pdf|zip|gz|parq
 
 
 def _class(test) -> str:
-    return "".join(c for c in map(chr, range(0x41, 0x530)) if c.isalpha() and test(c))
+    """Letters of the scripts that have capitals, as a set for a pattern."""
+    return "".join(c for c in map(chr, (*range(0x41, 0x590), *range(0x1C90, 0x1CC0), *range(0x1E00, 0x2000))) if c.isalpha() and test(c))
 
 
 _U, _L = _class(str.isupper), _class(lambda c: not c.isupper())
@@ -62,9 +67,12 @@ _NAMES = re.compile(  # each capital where a name may begin; the groups are what
 _BEFORE_NAME = re.compile(rf"(?<![\w@.\-]){_P}{{1,2}}\Z")
 _LOCAL = re.compile(r"[^\W_](?:[\w.%+-]{0,63})\Z")
 _DOMAIN = re.compile(r"(?:[^\W\d_](?:[\w-]{0,61}\w)(?:\.|(?=\.)))(?:[\w-]{1,63}\.)*[^\W\d_]{2,24}(?![\w@])|[^\W\d_][\w-]{0,61}\w\.(?:[\w-]{1,63}\.)*[^\W\d_]{2,24}(?![\w-])")
-_AT = re.compile(r" ?[\[({<](?:at|AT|At)[\])}>] ?|&#64;|%40|＠| (?:at|AT|\(@\)|\[@\]) ")
-_SIGNS = ("(at", "[at", "{at", "<at", "(AT", "[AT", "At)", "At]", " dot ", " DOT ", "[dot", "(dot", "&#64;", "%40", "＠", "(@", "[@")
-_SPOKEN = re.compile(r"[^\W\d_][\w-]{0,61}\w(?:(?: ?[\[({](?:dot|DOT)[\])}] ?| (?:dot|DOT) |\.)[\w-]{2,63}){1,5}", re.A)
+_OPEN, _CLOSE = "[({<", "])}>"
+_AT_WORDS, _DOT_WORDS = ("at", "AT", "At"), ("dot", "DOT", "Dot")
+_AT = re.compile(rf" ?[{re.escape(_OPEN)}](?:{'|'.join(_AT_WORDS)})[{re.escape(_CLOSE)}] ?|&#64;|%40|＠| (?:at|AT|At|\(@\)|\[@\]) ")
+_SPOKEN = re.compile(rf"[^\W\d_][\w-]{{0,61}}\w(?:(?: ?[{re.escape(_OPEN)}](?:{'|'.join(_DOT_WORDS)})[{re.escape(_CLOSE)}] ?| (?:{'|'.join(_DOT_WORDS)}) |\.)[\w-]{{2,63}}){{1,5}}", re.A)
+# a spoken address has one of these: the at in brackets or as a code, or the dot as a word
+_SIGNS = (*(b + w for b in _OPEN for w in _AT_WORDS), *(b + w for b in (*_OPEN, " ") for w in _DOT_WORDS), "&#64;", "%40", "＠", "(@)", "[@]")
 _NUMBERS = re.compile(
     r"[+(0-9A-Z](?<![\w.+/=@-][+(0-9A-Z])(?:"
     r"(?P<intl>(?<=\+)\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,5}(?:[ .-]?\d{1,6}){1,6})"
@@ -121,6 +129,18 @@ def _tail(text: str, end: int) -> str:
     return text[start:end].lstrip("._%+-")
 
 
+_NO_LETTER = re.compile(r"[\W\d_]+")
+_ENDS_LOCAL = re.compile(r" ?[\[({<]at|@|%40|&#64;| at |＠")
+_PLAIN = str.maketrans({"ø": "o", "ł": "l", "æ": "ae", "ß": "ss", "đ": "d", "œ": "oe", "ı": "i", "þ": "th", "ð": "d"})
+
+
+def _folded(word: str) -> str:
+    """Without accents, as addresses write names."""
+    if word.isascii():
+        return word
+    return "".join(c for c in unicodedata.normalize("NFD", word.translate(_PLAIN)) if not unicodedata.combining(c))
+
+
 def _matches(word: str, pieces: list[str]) -> bool:
     """Whether a piece of a mail address is the word, or an initial and the word."""
     return any(p == word or len(word) > 2 and len(p) == len(word) + 1 and p.endswith(word) for p in pieces)
@@ -151,7 +171,7 @@ def candidates(text: str) -> list[tuple]:
     out: list[tuple] = []
     mails = _emails(text)
     ends = [b for _, b in mails]
-    parts = [[p for p in re.split(r"[^a-z]+", re.split(r"@|\[at|\(at|%40|&#64;| at |＠", text[a:b].lower())[0]) if p] for a, b in mails]
+    parts = [[p for p in _NO_LETTER.split(_folded(_ENDS_LOCAL.split(text[a:b].lower())[0])) if p] for a, b in mails]
     for a, b in mails:
         out.append(("email", "mail", a, b, None, None, False, False, _line(text, a), None))
 
@@ -181,7 +201,7 @@ def candidates(text: str) -> list[tuple]:
             if mails[i][0] > b + NEAR:
                 break
             near += parts[i]
-        e1, e2 = bool(w1 and near and _matches(w1, near)), bool(w2 and near and _matches(w2, near))
+        e1, e2 = bool(w1 and near and _matches(_folded(w1), near)), bool(w2 and near and _matches(_folded(w2), near))
         out.append(("name", form, a, b, w1, w2, e1, e2, _line(text, a), None))
 
     for m in _NAMES.finditer(text):
@@ -229,12 +249,14 @@ def _bits(hit: Column, n: Column, prior: float, chance: float) -> Column:
 def lexicon(cands: DataFrame, n_words: int) -> DataFrame:
     """word, role ('given', 'family' or null): words that reveal persons. First by mail addresses, then by the words they stand with."""
     names = cands.where("kind = 'name'")
-    first = F.struct(F.col("w1").alias("word"), F.col("e1").alias("e"))
-    last = F.struct(F.col("w2").alias("word"), F.col("e2").alias("e"))
+    full = F.col("e1") & F.col("e2")
+    first = F.struct(F.col("w1").alias("word"), F.col("e1").alias("e"), full.alias("full"))
+    last = F.struct(F.col("w2").alias("word"), F.col("e2").alias("e"), full.alias("full"))
     # equal words combine on the map side; the table of words follows the vocabulary
-    seen = names.select(F.explode(F.array(first, last)).alias("t")).select("t.*").where("word IS NOT NULL").groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("e").cast("bigint")).alias("hit"))
+    seen = names.select(F.explode(F.array(first, last)).alias("t")).select("t.*").where("word IS NOT NULL").groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("e").cast("bigint")).alias("hit"), F.max("full").alias("full"))
     total = seen.agg(F.sum("hit").alias("hit")).first().hit or 0
-    known = seen.where((F.col("hit") >= 2) & (_bits(F.col("hit"), F.col("n"), total / max(1, n_words), WORD_CHANCE) >= WORD_BITS)).select("word")
+    # once is enough where the address beside it is made of both words of the name
+    known = seen.where(((F.col("hit") >= 2) | F.col("full")) & (_bits(F.col("hit"), F.col("n"), total / max(1, n_words), WORD_CHANCE) >= WORD_BITS)).select("word")
     pairs = names.where("form = 'given_family'").groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n"))
     pairs = pairs.join(known.select(F.col("word").alias("w1"), F.lit(1).alias("k1")), "w1", "left").join(known.select(F.col("word").alias("w2"), F.lit(1).alias("k2")), "w2", "left")
     both = pairs.where("k1 = 1 AND k2 = 1")

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from quadloom.runtime import ship, task_slots
+from quadloom.runtime import Spool, ship, task_slots
 
 CHUNK = 65_536
 OVERLAP = 2_048
@@ -138,7 +138,8 @@ def _long_texts(rows: DataFrame, shared, chunk: int, overlap: int, counting: boo
     spark = rows.sparkSession
     key = rows.schema["key"].dataType
     tasks = task_slots(spark)
-    uids = rows.select(F.monotonically_increasing_id().alias("uid"), "key", "text")
+    # long texts are written once: numbers given again in another run of the plan could name other rows
+    uids = Spool(spark).write(rows.select(F.monotonically_increasing_id().alias("uid"), "key", "text"))
     schema = T.StructType([T.StructField("uid", T.LongType()), T.StructField("key", key), T.StructField("no", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("body", T.StringType())])
     chunks = uids.mapInArrow(_cutter(chunk, overlap), schema).repartition(tasks, "uid", "no")
     ends = chunks.select("uid", "no", "start", "body").mapInArrow(_boundaries(shared, chunk, overlap), "uid bigint, no int, start bigint, head array<bigint>, tail array<bigint>")

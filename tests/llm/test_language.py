@@ -47,6 +47,44 @@ def test_altered_characters_do_not_matter(spark):
         assert x[f[0][0] : f[0][1]].strip("<p>") and 0 <= f[0][0] < f[0][1] <= len(x)
 
 
+def test_long_titles_and_short_words(spark):
+    m = model(spark)
+    base = "The small museum keeps the letters of the mill"
+    title = "Das kleine Museum bewahrt die Briefe aus der alten Mühle am Fluss und zeigt sie jedem Gast " * 8
+    for a, b in ("“”", '""', "«»", "„“", "‹›", "<>"):
+        assert [x[2] for x in m.segments([f"{base} {a}{title}{b} {base}"])[0]] == ["en"], a
+    assert language.clauses("e o; x")[0] == [("e o", 0)]
+
+
+def test_drawn_texts_are_the_first_by_hash(spark):
+    from pyspark.sql import functions as F
+
+    rows = [("en", f"text number {i % 700}" if i % 3 else "one text that a third of the rows hold") for i in range(30_000)] + [("de", f"Satz {i}") for i in range(7)]
+    df = spark.createDataFrame(rows, "lang string, text string")
+    got = [(r.lang, r.text) for r in language._draw(df, 40)]
+    hashed = df.distinct().withColumn("h", F.xxhash64("text")).collect()
+    want = [(lang, r.text) for lang in ("de", "en") for r in sorted((r for r in hashed if r.lang == lang), key=lambda r: r.h)[:40]]
+    assert got == want
+
+
+def test_an_unknown_language_is_refused(spark):
+    import pytest
+
+    df = spark.createDataFrame([(1, "xx", "some words of it")], "sample_id bigint, lang string, sample_text string")
+    with pytest.raises(ValueError):
+        language.fit_table(df)
+
+
+def test_scores_are_those_of_the_presence_kernel(spark):
+    m = language.fit([("en", "the mill and the museum"), ("de", "die Mühle und das Museum")])
+    words = ["the", "the", "museum"]
+    grams = set().union(*map(language._grams, words))
+    unknown = sum(sum(g not in m.index for g in language._grams(w)) for w in words)
+    known = [m.index[g] for g in grams if g in m.index]
+    want = m.weights[known].sum(0) / (len(known) + unknown) ** 0.5
+    assert abs(m.scores([words, ["mill"]])[0] - want).max() < 1e-5
+
+
 def test_labels(spark):
     labels = {"en": "en", "EN": "en", "eng": "en", "en-US": "en", "en_GB": "en", "e": None, "english": None, "": None, None: None, "und": None, "x-none": None, "-": None, "deu-x": "de", "ger": None}
     df = spark.createDataFrame([(k,) for k in labels], "l string")

@@ -13,6 +13,7 @@ SAME = [
     ["in-situ", "in‐situ", "in‑situ", "in－situ"],
     ["Список", "Cпиcoк"],
     ["ij", "ĳ"],
+    ["A lamp", "A lamp\U000e0100", "A\u180b lamp", "A lamp\u2069"],
     ["5 K; x", "5 K; x", "5 K; x", "5 K\x01; x", "5ㅤ K; x".replace(" K", " K")],
     [""],
 ]
@@ -25,7 +26,7 @@ def test_pairs_and_canonical_texts(spark):
     df = spark.createDataFrame(rows, SCHEMA)
     cls = {x: k for k, g in enumerate(SAME) for x in g} | {x: 100 + k for k, x in enumerate(OTHER)}
     want = {(i, j) for (i, a, *_), (j, b, *_) in itertools.combinations(rows[: 2 * len(texts)], 2) if a != b and cls[a] == cls[b]} | {(901, 902)}
-    for block in (20_000, 3):
+    for block in (20_000, 3, 1):
         got = [tuple(r) for r in lookalikes.same_look_pairs(df, block).collect()]
         assert len(got) == len(set(got)) and set(got) == want
     out = {r.literal_id: r for r in lookalikes.canonical_texts(df).collect() if r.literal_id is not None}
@@ -35,6 +36,15 @@ def test_pairs_and_canonical_texts(spark):
     assert out[0].canonical == "The map" and unicodedata.is_normalized("NFC", out[texts.index("café")].canonical)
 
 
+def test_hot_text_and_classes(spark):
+    rows = [(i, "The m\u200bap" if i % 50 else "The map", "c", "l") for i in range(3000)] + [(5000, "alone", "c", "l"), (5001, "th\u200be", "c", "l")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = [tuple(r) for r in lookalikes.same_look_pairs(df, block=100).collect()]
+    want = {(i, j) for i in range(0, 3000, 50) for j in range(3000) if j % 50 and i < j} | {(j, i) for i in range(0, 3000, 50) for j in range(3000) if j % 50 and j < i}
+    assert len(got) == len(want) and set(got) == want
+    assert [tuple(r) for r in lookalikes.look_classes(df).collect()] == [("The map", 2, 3000)]
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert lookalikes.same_look_pairs(df).count() == 0 and lookalikes.canonical_texts(df).count() == 0

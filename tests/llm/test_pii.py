@@ -103,3 +103,16 @@ def test_own_line_outweighs_the_form(spark):
     mine = [(99, "order 961-29-1473 by ann@lab.example\n")]
     got = pii.find(spark.createDataFrame(other + mine, "doc_id int, text string"), "doc_id", "text").collect()
     assert {r.key: [s.pii_kind for s in r.spans] for r in got} == {99: ["id_number", "email"]}
+
+
+def test_addresses_in_every_bracket_and_case():
+    for x in ("john {AT} lab.example", "john <At> lab.example", "john at lab [DOT] example", "john at lab {dot} example", "john at lab (Dot) example", "john(@)lab.example".replace("(@)", " (@) "), "john at lab dot example"):
+        text = f"see {x} now"
+        assert [text[a:b] for a, b in pii._emails(text)] == [x], x
+
+
+def test_names_with_accents_and_of_other_scripts(spark):
+    texts = ["Write to José Núñez <jose.nunez@example.org> today", "Từ Nguyễn <tu.nguyen@example.org>", "Ответ: Анна Ковальчук <анна.ковальчук@пример.рф>", "the Random Forest of the Harbour Lights"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {(r.key, s.pii_kind, texts[r.key][s.start_pos : s.end_pos]) for r in pii.find(df, "doc_id", "text").collect() for s in r.spans}
+    assert {x for x in got if x[1] == "name"} == {(0, "name", "José Núñez"), (1, "name", "Từ Nguyễn"), (2, "name", "Анна Ковальчук")}
