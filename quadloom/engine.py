@@ -27,7 +27,7 @@ class Engine:
 
     def compiler(self, entail: str = "none") -> Compiler:
         graph = entailment.apply(self.graph, entail) if entail != "none" else self.graph
-        return Compiler(graph, self.base, self.endpoints, self.functions)
+        return Compiler(graph, self.base, self.endpoints, self.functions, self.graph)
 
     def parse(self, text: str) -> Query:
         return sparql.parse_query(text, base=self.base, prefixes=self.prefixes, property_functions=set(self.functions))

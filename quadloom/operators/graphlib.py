@@ -157,17 +157,19 @@ def abstract(triples: DataFrame, names=_same, merge: DataFrame | None = None) ->
 
 # G11
 def minimise(triples: DataFrame, schema: DataFrame, names=_same) -> DataFrame:
-    """Drops edges that others imply: by a super-property, by symmetry (the greater subject goes), by an inverse property.
-    Edges to literals all stay."""
+    """Drops edges that others imply: by a super-property, by symmetry (the greater subject goes), by an inverse property (the
+    greater property goes). Of properties that are each other's sub-properties the least stays. Edges to literals all stay."""
     literals, triples = triples.where("o.k = 3"), triples.where("o.k < 3")
-    sub = closure(_pairs(schema, names(RDFS + "subPropertyOf"))).where("s <> o").select(F.col("s").alias("q"), F.col("o").alias("p"))
+    below = closure(_pairs(schema, names(RDFS + "subPropertyOf"))).where("s <> o").select(F.col("s").alias("q"), F.col("o").alias("p"))
+    mutual = below.select(F.col("p").alias("q"), F.col("q").alias("p")).where("p < q")
+    sub = below.join(mutual, ["q", "p"], "left_anti")
     implied = triples.select("s", F.col("p").alias("q"), "o").join(sub, "q").select("s", "p", "o")
     out = triples.join(implied, ["s", "p", "o"], "left_anti")
     sym = schema.where((F.col("p") == names(RDF + "type")) & (F.col("o.lex") == names(OWL + "SymmetricProperty"))).select(F.col("s.lex").alias("p"))
     twice = out.join(sym, "p", "left_semi").select(F.col("o").alias("s"), "p", F.col("s").alias("o")).where("s.lex > o.lex")
     out = out.join(twice, ["s", "p", "o"], "left_anti")
-    inv = schema.where(F.col("p") == names(OWL + "inverseOf")).select(F.col("s.lex").alias("p"), F.col("o.lex").alias("q"))
-    back = out.select(F.col("o").alias("s"), F.col("p").alias("q"), F.col("s").alias("o")).join(inv, "q").where("p <> q").select("s", "p", "o")
+    inv = schema.where(F.col("p") == names(OWL + "inverseOf")).select(F.least("s.lex", "o.lex").alias("q"), F.greatest("s.lex", "o.lex").alias("p")).where("p <> q").distinct()
+    back = out.select(F.col("o").alias("s"), F.col("p").alias("q"), F.col("s").alias("o")).join(inv, "q").select("s", "p", "o")
     return out.join(back, ["s", "p", "o"], "left_anti").select("s", "p", "o").union(literals.select("s", "p", "o"))
 
 
@@ -257,8 +259,11 @@ def descriptions(triples: DataFrame, nodes: DataFrame, names=_same) -> DataFrame
 
 
 # G19
-def context(triples: DataFrame, seeds: DataFrame, transitive: list[str], related: list[str], steps: int = 3) -> DataFrame:
-    """Up to ``steps`` links to parents over the transitive properties, and the related resources of the seeds."""
+def context(triples: DataFrame, seeds: DataFrame, transitive: list[str], related: list[str], steps: int = 3, schema: DataFrame | None = None, bags: bool = False, names=_same) -> DataFrame:
+    """Up to ``steps`` links to parents over the transitive properties, and the related resources of the seeds.
+
+    With a schema, edges that others imply are left out (see minimise); with ``bags``, resources alike become bags (see bagify).
+    """
     spool = Spool(triples.sparkSession)
     up = triples.where(F.col("p").isin(transitive) & (F.col("o.k") < 3))
     front = seeds.select(F.col("n").alias("s")).distinct()
@@ -267,21 +272,30 @@ def context(triples: DataFrame, seeds: DataFrame, transitive: list[str], related
         step = spool.write(up.join(front, "s", "left_semi").select("s", "p", "o"))
         out = out.union(step)
         front = step.select(F.col("o").alias("s")).distinct()
-    return out.distinct()
+    out = out.distinct()
+    out = minimise(out, schema, names) if schema is not None else out
+    return bagify(out, names)[0] if bags else out
 
 
 # G20
-def path_from_named(triples: DataFrame, targets: DataFrame, max_steps: int = 20) -> DataFrame:
-    """n, steps, path (array of resources, a named node first): shortest ways from a named node to each blank target."""
+def path_from_named(triples: DataFrame, targets: DataFrame, max_steps: int | None = None) -> DataFrame:
+    """n, steps, path (array of resources, a named node first): shortest ways from a named node to each blank target, of any length.
+
+    ``max_steps`` raises rather than leaving longer ways out. A target that no named node leads to has no row.
+    """
     spool = Spool(triples.sparkSession)
     back = spool.write(triples.where("o.k = 2").select(F.col("o").alias("at"), F.col("s").alias("up")).distinct())
     front = spool.write(targets.where("n.k = 2").select("n", F.col("n").alias("at"), F.array("n").alias("path")))
     seen, found = front.select("n", "at"), None
-    for _ in range(max_steps):
+    steps = 0
+    while True:
+        steps += 1
         step = front.join(back, "at").groupBy("n", F.col("up").alias("at")).agg(F.min(F.concat(F.array("up"), "path")).alias("path"))
         step = spool.write(step.join(seen, ["n", "at"], "left_anti").select("n", "at", "path"))
         if step.isEmpty():
             break
+        if max_steps is not None and steps > max_steps:
+            raise RuntimeError(f"there are ways of more than {max_steps} steps")
         hits = step.where("at.k = 1").groupBy("n").agg(F.min("path").alias("path"))
         found = hits if found is None else found.union(hits.join(found, "n", "left_anti"))
         found = spool.write(found)
@@ -293,8 +307,11 @@ def path_from_named(triples: DataFrame, targets: DataFrame, max_steps: int = 20)
 
 
 # S21
-def extract(triples: DataFrame, schema_part: bool = True, data_part: bool = True, names=_same) -> DataFrame:
-    """The triples about classes and properties, those about all else, or both."""
+def extract(triples: DataFrame, schema_part: bool = True, data_part: bool = True, names=_same, inferred: DataFrame | None = None) -> DataFrame:
+    """The triples about classes and properties, those about all else, or both. ``inferred``: triples that a regime adds; without
+    them the extract holds explicit triples only."""
+    if inferred is not None:
+        triples = triples.select("s", "p", "o").union(inferred.select("s", "p", "o")).distinct()
     kinds = [names(x) for x in (RDFS + "Class", OWL + "Class", RDF + "Property", OWL + "ObjectProperty", OWL + "DatatypeProperty")]
     about = triples.where((F.col("p") == names(RDF + "type")) & F.col("o.lex").isin(kinds)).select("s").distinct()
     if schema_part and data_part:

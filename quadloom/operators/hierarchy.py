@@ -1,11 +1,12 @@
 """Parent-child links of unknown depth: paths, depths, roots, descendants and cycles, by bottom-up leaf peeling.
 
-Each distributed round takes away the links of all nodes that have no child left. When at most ``finish_links`` links remain
-(their number is counted in every round, so the bound holds), one task peels the rest in linear time; as the tail holds the
-tops of the trees and every cycle, it also settles the cycles and the first paths. Where more remain and no leaf is left,
-``_core_cycles`` settles the cycles in distributed rounds. Paths are then given out in reverse order of peeling: a node's
-parents are always peeled after it, so their paths are known. Descendants go the other way: each round sends the lists of its
-leaves to their parents, and what is left is settled by closure.
+Each round takes away the links of all nodes that have no child left. When at most ``finish_links`` links remain (their number is
+counted in every round, so the bound holds), one task goes on peeling them in linear time, by the same rule; otherwise the rounds
+stay distributed. What neither way can peel holds every cycle and what lies above one: it is trimmed from the top likewise, and an
+exact test for strong components tells the nodes on a cycle from those between two cycles (``_core_cycles`` in distributed rounds).
+
+Paths are given out in reverse order of peeling: a node's parents are always peeled after it, so their paths are known.
+Descendants go the other way: each round sends the lists of its leaves to their parents, and what is left is settled by closure.
 """
 
 from __future__ import annotations
@@ -70,14 +71,44 @@ def _size(links: DataFrame) -> tuple[int, int]:
     return r.n, r.c or 0
 
 
-def _components(children: list[str], parents: list[str]) -> tuple[dict[str, list[str]], set[str]]:
-    """(parents of each node, nodes on a cycle) of a bounded graph; Tarjan's algorithm without recursion."""
+@dataclass
+class Core:
+    """A bounded graph after peeling in one task."""
+
+    up: dict[str, list[str]]  # parents of each node
+    peeled: list[str]  # nodes with parents, children before parents
+    cyclic: set[str]
+
+
+def _peel_core(children: list[str], parents: list[str]) -> Core:
+    """Leaves go until none is left; of the rest, tops go until none is left; what stays is tested for strong components."""
     up: dict[str, list[str]] = {}
-    cyclic = set()
+    down: dict[str, list[str]] = {}
     for c, p in zip(children, parents):
         up.setdefault(c, []).append(p)
-        if c == p:
-            cyclic.add(c)
+        down.setdefault(p, []).append(c)
+    order, left = _strip(up, down, set(up) | set(down))
+    _, core = _strip(down, up, left)
+    inner = {n: [p for p in up.get(n, ()) if p in core] for n in core}
+    return Core(up, [n for n in order if n in up], _on_cycles(inner))
+
+
+def _strip(towards: dict[str, list[str]], behind: dict[str, list[str]], nodes: set[str]) -> tuple[list[str], set[str]]:
+    """Takes away nodes with no node of ``nodes`` behind them, again and again: those taken, in order, and those left."""
+    waits = {n: sum(m in nodes for m in behind.get(n, ())) for n in nodes}
+    taken = [n for n, k in waits.items() if not k]
+    for n in taken:  # grows while it is read
+        for m in towards.get(n, ()):
+            if m in waits:
+                waits[m] -= 1
+                if not waits[m]:
+                    taken.append(m)
+    return taken, nodes.difference(taken)
+
+
+def _on_cycles(up: dict[str, list[str]]) -> set[str]:
+    """Nodes of strong components with a link inside; Tarjan's algorithm without recursion."""
+    cyclic = {n for n, ps in up.items() if n in ps}
     order: dict[str, int] = {}
     low: dict[str, int] = {}
     on: set[str] = set()
@@ -114,7 +145,7 @@ def _components(children: list[str], parents: list[str]) -> tuple[dict[str, list
                             break
                     if len(group) > 1:
                         cyclic.update(group)
-    return up, cyclic
+    return cyclic
 
 
 def _whole(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
@@ -124,37 +155,39 @@ def _whole(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
 
 def _finish_cycles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     tail = _whole(batches)
-    yield pd.DataFrame({"node_lex": sorted(_components(list(tail["child"]), list(tail["parent"]))[1])}, dtype=object)
+    yield pd.DataFrame({"node_lex": sorted(_peel_core(list(tail["child"]), list(tail["parent"])).cyclic)}, dtype=object)
 
 
 def _finish_paths(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     tail = _whole(batches)
-    up, cyclic = _components(list(tail["child"]), list(tail["parent"]))
-    # a node is sound if some way up ends at a root; settled from the top, in reverse order of peeling
-    sound: dict[str, bool] = {}
-    for start in up:
-        work = [start]
-        while work:
-            node = work[-1]
-            if node in sound:
-                work.pop()
-            elif node in cyclic:
-                sound[node] = False
-            elif node not in up:
-                sound[node] = True
-            elif unknown := [p for p in up[node] if p not in sound and p not in cyclic]:
-                work += unknown
-            else:
-                sound[node] = any(sound.get(p, False) for p in up[node])
+    core = _peel_core(list(tail["child"]), list(tail["parent"]))
+    up, cyclic = core.up, core.cyclic
+    # what was not peeled comes first, from the top; then the peeled nodes in reverse order
+    rest = set(up).difference(core.peeled, cyclic)
+    above = {n: [p for p in up[n] if p in rest] for n in rest}
+    below: dict[str, list[str]] = {}
+    for n, ps in above.items():
+        for p in ps:
+            below.setdefault(p, []).append(n)
+    order = _strip(below, above, rest)[0] + core.peeled[::-1]
+    # each node's own way up is kept as its first step and its length; a root has length 0
+    first: dict[str, tuple[int, str | None]] = {p: (0, None) for ps in up.values() for p in ps if p not in up}
+    for n in order:
+        ways = [(first[p][0] + 1, p) for p in up[n] if p in first]
+        if ways:
+            first[n] = min(ways)
+
+    def path(n: str) -> list[str]:
+        out = [n]
+        while (p := first[out[-1]][1]) is not None:
+            out.append(p)
+        return out[::-1]
+
     rows: list[tuple] = []
     size = 0
-    for node in up:
-        if node in cyclic:
-            ways = [(node, None, None, "cycle")]
-        elif not sound[node]:
-            ways = [(node, None, None, "below_cycle")]
-        else:
-            ways = ((node, w[-2], w, "tree") for w in _ways(node, up, sound))
+    for n in (*sorted(cyclic), *order):
+        sound = [p for p in up[n] if p in first] if n not in cyclic else []
+        ways = [(n, p, [*path(p), n], "tree") for p in sound] or [(n, None, None, "cycle" if n in cyclic else "below_cycle")]
         for w in ways:
             rows.append(w)
             size += len(w[2] or ())
@@ -164,17 +197,6 @@ def _finish_paths(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield _frame(rows)
 
 
-def _ways(node: str, up: dict[str, list[str]], sound: dict[str, bool]) -> Iterator[list[str]]:
-    """All paths from a root to the node, root first."""
-    work = [[node]]
-    while work:
-        way = work.pop()
-        above = [p for p in up.get(way[-1], ()) if sound.get(p)]
-        if not above:
-            yield way[::-1]
-        work += [[*way, p] for p in above]
-
-
 def _frame(rows: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["node", "parent", "path", "state"], dtype=object)
 
@@ -190,7 +212,9 @@ def _core_cycles(links: DataFrame, spool: Spool) -> DataFrame:
         while True:  # links to nodes without parents end outside any cycle
             children = rest.select(F.col("child").alias("_c")).distinct()
             n = rest.count()
-            rest = spool.write(rest.join(children, rest["parent"] == children["_c"], "left_semi"))
+            was, rest = rest, spool.write(rest.join(children, rest["parent"] == children["_c"], "left_semi"))
+            if was is not links:  # the caller's
+                spool.forget(was)
             if rest.count() == n:
                 break
         if n == 0:
@@ -199,6 +223,7 @@ def _core_cycles(links: DataFrame, spool: Spool) -> DataFrame:
         while True:
             above = rest.join(color.select(F.col("v").alias("parent"), F.col("c").alias("pc")), "parent").groupBy(F.col("child").alias("v")).agg(F.max("pc").alias("pc"))
             new = spool.write(color.join(above, "v", "left").select("v", F.greatest("c", "pc").alias("c"), (F.col("pc") > F.col("c")).alias("moved")))
+            spool.forget(color)
             color = new.drop("moved")
             if new.where("moved").isEmpty():
                 break
@@ -234,10 +259,13 @@ def cycle_nodes(links: DataFrame, finish_links: int = FINISH_LINKS) -> DataFrame
 
 
 def hierarchy(links: DataFrame, finish_links: int = FINISH_LINKS, peeled: Peeled | None = None) -> DataFrame:
-    """node, parent, path (array, root first, the node last), root, depth (0 for a root), state: one row per path of each node.
+    """node, parent, path (array, root first, the node last), root, depth (0 for a root), state: one row per link of each node.
 
-    In a tree that is one row per node; a node with several parents has a row for each way to a root. A node with no such way
-    has one row without path, root and depth: state 'cycle' on a cycle, 'below_cycle' under one. Empty input gives no rows.
+    In a tree that is one row per node. A node with several parents has a row for each parent that has a way up, whose path goes
+    on along the parent's own: the shortest way to a root, through the least name where several are as short. So a graph that is
+    no tree has as many rows as links, however many ways lead through it. Ways that pass a cycle are none: a node on a cycle has
+    one row without path, root and depth (state 'cycle'), also if it has an exit to a root, and so has a node whose ways all
+    pass a cycle ('below_cycle'). Empty input gives no rows.
     """
     spool = Spool(links.sparkSession)
     peeled = peeled or peel(links, spool, finish_links)
@@ -254,7 +282,7 @@ def hierarchy(links: DataFrame, finish_links: int = FINISH_LINKS, peeled: Peeled
     known = spool.write(root_rows.union(tail_rows))
     parts = [known]
     for leaves in reversed(rounds):
-        above = known.select(F.col("node").alias("parent"), F.col("path").alias("up"))
+        above = _own_path(known).select(F.col("node").alias("parent"), F.col("path").alias("up"))
         rows = leaves.join(above, "parent", "left").select(
             F.col("child").alias("node"),
             F.when(F.col("up").isNotNull(), F.col("parent")).alias("parent"),
@@ -269,30 +297,27 @@ def hierarchy(links: DataFrame, finish_links: int = FINISH_LINKS, peeled: Peeled
     return whole.union(broken).select("node", "parent", "path", F.element_at("path", 1).alias("root"), (F.size("path") - 1).alias("depth"), "state").withColumn("depth", F.when(F.col("path").isNotNull(), F.col("depth")))
 
 
+def _own_path(rows: DataFrame) -> DataFrame:
+    """(node, path): of each node's rows the one of the shortest path, the least parent at a tie."""
+    return rows.where("path IS NOT NULL").groupBy("node").agg(F.min_by("path", F.struct(F.size("path").alias("n"), "parent")).alias("path"))
+
+
 def _core_paths(tail: DataFrame, cycle_rows: DataFrame, root_rows: DataFrame, spool: Spool) -> DataFrame:
     """Paths of a leafless core too large for one task, level by level from the top; what no level reaches lies under a cycle."""
-    off = tail.join(cycle_rows.select(F.col("node").alias("child")), "child", "left_anti")
-    front, parts = root_rows.select("node", "path"), [cycle_rows]
+    off = spool.write(tail.join(cycle_rows.select(F.col("node").alias("child")), "child", "left_anti"))
+    up = lambda rows: rows.select(F.col("node").alias("parent"), F.col("path").alias("up"))
+    below = lambda rows: off.join(up(rows), "parent").select(F.col("child").alias("node"), "parent", F.concat("up", F.array("child")).alias("path"), F.lit("tree").alias("state"))
+    own = front = root_rows.select("node", "path")
     while True:
-        above = front.select(F.col("node").alias("parent"), F.col("path").alias("up"))
-        step = spool.write(off.join(above, "parent").select(F.col("child").alias("node"), "parent", F.concat("up", F.array("child")).alias("path"), F.lit("tree").alias("state")))
-        if step.isEmpty():
+        front = spool.write(_own_path(below(front)).join(own.select("node"), "node", "left_anti"))
+        if front.isEmpty():
             break
-        parts.append(step)
-        front = step.select("node", "path")
-    out = parts[0]
-    for x in parts[1:]:
-        out = out.union(x)
+        own = own.union(front)
+    out = cycle_rows.union(below(own))
     left = off.select(F.col("child").alias("node")).distinct().join(out.select("node"), "node", "left_anti")
     return out.union(left.select("node", F.lit(None).cast("string").alias("parent"), F.lit(None).cast("array<string>").alias("path"), F.lit("below_cycle").alias("state")))
 
 
-def descendants(paths: DataFrame) -> DataFrame:
-    """all_descendants of trees alone, from their paths: nodes without a path have no rows and are in none."""
-    each = paths.where("path IS NOT NULL").select("node", F.posexplode("path").alias("at", "above"), F.size("path").alias("n"))
-    return each.where("at < n - 1").groupBy(F.col("above").alias("node_lex"), F.col("node").alias("descendant_lex")).agg(F.min(F.col("n") - 1 - F.col("at")).alias("distance"))
-
-
 def all_descendants(links: DataFrame, finish_links: int = FINISH_LINKS, peeled: Peeled | None = None) -> DataFrame:
     """(node_lex, descendant_lex, distance): one row per node and descendant, nearest way; lists stay rows, as a root may head a third of all nodes.
 

@@ -18,10 +18,12 @@ _SAME = lambda x: x
 
 @dataclass
 class Restriction:
+    """all_from, some_from: classes, all of which must hold; has_value: values (k, lex), all of which must be there."""
+
     on: str
-    all_from: str | None = None
-    some_from: str | None = None
-    has_value: tuple | None = None
+    all_from: tuple[str, ...] = ()
+    some_from: tuple[str, ...] = ()
+    has_value: tuple[tuple[int, str], ...] = ()
     least: int | None = None
     most: int | None = None
 
@@ -68,9 +70,8 @@ def restriction(sc: Schema, cls: str) -> Restriction | None:
     on = sc.one(cls, OWL + "onProperty")
     if on is None:
         return None
-    r = Restriction(on, sc.one(cls, OWL + "allValuesFrom"), sc.one(cls, OWL + "someValuesFrom"))
-    value = sc.get(cls, OWL + "hasValue")
-    r.has_value = value[0] if value else None
+    names = lambda p: tuple(sorted({x for _, x in sc.get(cls, p)}))
+    r = Restriction(on, names(OWL + "allValuesFrom"), names(OWL + "someValuesFrom"), tuple(sorted(set(sc.get(cls, OWL + "hasValue")))))
     exact = sc.one(cls, OWL + "cardinality")
     low, high = exact or sc.one(cls, OWL + "minCardinality"), exact or sc.one(cls, OWL + "maxCardinality")
     r.least, r.most = int(low) if low else None, int(high) if high else None
@@ -95,7 +96,8 @@ def merged_restriction(sc: Schema, cls: str, prop: str) -> Restriction:
         if r and r.on == prop:
             out.least = max(x for x in (out.least, r.least, 0) if x is not None) if r.least is not None or out.least is not None else None
             out.most = min((x for x in (out.most, r.most) if x is not None), default=None)
-            out.all_from, out.some_from, out.has_value = r.all_from or out.all_from, r.some_from or out.some_from, r.has_value or out.has_value
+            both = lambda a, b: tuple(sorted({*a, *b}))
+            out.all_from, out.some_from, out.has_value = both(out.all_from, r.all_from), both(out.some_from, r.some_from), both(out.has_value, r.has_value)
     return out
 
 
@@ -110,13 +112,13 @@ def satisfies_restriction(triples: DataFrame, sc: Schema, r: Restriction, depth:
     subjects = triples.select(F.col("s").alias("n")).distinct()
     values = triples.where(F.col("p") == r.on).select(F.col("s").alias("n"), F.col("o").alias("v")).distinct()
     out = subjects
-    if r.has_value is not None:
-        out = out.join(values.where((F.col("v.k") == r.has_value[0]) & (F.col("v.lex") == r.has_value[1])), "n", "left_semi")
-    if r.some_from is not None:
-        good = satisfies(triples, sc, r.some_from, depth + 1).select(F.col("n").alias("v"))
+    for k, lex in r.has_value:
+        out = out.join(values.where((F.col("v.k") == k) & (F.col("v.lex") == lex)), "n", "left_semi")
+    for c in r.some_from:
+        good = satisfies(triples, sc, c, depth + 1).select(F.col("n").alias("v"))
         out = out.join(values.join(good, "v", "left_semi"), "n", "left_semi")
-    if r.all_from is not None:
-        good = satisfies(triples, sc, r.all_from, depth + 1).select(F.col("n").alias("v"))
+    for c in r.all_from:
+        good = satisfies(triples, sc, c, depth + 1).select(F.col("n").alias("v"))
         out = out.join(values.join(good, "v", "left_anti"), "n", "left_anti")
     if r.least is not None or r.most is not None:
         counts = values.groupBy("n").agg(F.count(F.lit(1)).alias("c"))
@@ -128,9 +130,13 @@ def satisfies_restriction(triples: DataFrame, sc: Schema, r: Restriction, depth:
 
 # W5
 def description(sc: Schema, cls: str, depth: int = 0):
-    """A tree: ('union'|'intersection', [..]), ('complement', x), ('one_of', [..]), ('restriction', r), ('class', name)."""
+    """A tree: ('union'|'intersection', [..]), ('complement', x), ('one_of', [..]), ('restriction', r), ('class', name), ('thing',), ('nothing',)."""
     if depth > 50:
         raise ValueError("a class expression that contains itself")
+    if cls in (sc.names(OWL + "Thing"), sc.names(RDFS + "Resource")):
+        return ("thing",)
+    if cls == sc.names(OWL + "Nothing"):
+        return ("nothing",)
     for p, kind in ((OWL + "unionOf", "union"), (OWL + "intersectionOf", "intersection")):
         if head := sc.one(cls, p):
             return (kind, [description(sc, c, depth + 1) for c in sc.items(head)])
@@ -164,6 +170,10 @@ def _satisfies(triples: DataFrame, sc: Schema, tree, depth: int) -> DataFrame:
             for x in parts[1:]:
                 out = out.join(_satisfies(triples, sc, x, depth + 1), "n", "left_semi")
             return out
+        case ("thing",):
+            return nodes
+        case ("nothing",):
+            return nodes.limit(0)
         case ("complement", x):
             return nodes.join(_satisfies(triples, sc, x, depth + 1), "n", "left_anti")
         case ("one_of", items):
@@ -230,7 +240,8 @@ def has(triples: DataFrame, sc: Schema, prop: str, names=_SAME) -> DataFrame:
         r = restriction(sc, s)
         if r and r.on in subs and r.has_value:
             members = triples.where((F.col("p") == names(RDF + "type")) & F.col("o.lex").isin(sorted(subclasses(sc, s)))).select("s")
-            pairs = pairs.union(members.select("s", t.struct(r.has_value[0], F.lit(r.has_value[1])).alias("o")))
+            for k, lex in r.has_value:
+                pairs = pairs.union(members.select("s", t.struct(k, F.lit(lex)).alias("o")))
     pairs = pairs.distinct()
     comp = Spool(triples.sparkSession).write(same_as(triples, names))
     a, b = comp.select(F.col("node").alias("s"), F.col("component").alias("cs")), comp.select(F.col("node").alias("o"), F.col("component").alias("co"))

@@ -58,6 +58,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         new = labels.join(near, "node").select("node", F.least("c", "near").alias("l"), "c")
         far = labels.select(F.col("node").alias("l"), F.col("c").alias("jump"))
         new = spool.write(new.join(far, "l", "left").select("node", F.least("l", F.coalesce("jump", "l")).alias("c"), (F.least("l", F.coalesce("jump", "l")) < F.col("c")).alias("moved")))
+        spool.forget(labels)
         labels = new.drop("moved")
         if new.where("moved").isEmpty():
             return labels.select("node", F.col("c").alias("component"))

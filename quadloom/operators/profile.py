@@ -44,10 +44,30 @@ def predicates(quads: DataFrame, type_p: str = RDF + "type") -> DataFrame:
     return base.join(dom, "p", "left").join(rng, "p", "left").fillna(0, ["n_domains", "n_ranges"])
 
 
-def frequencies(quads: DataFrame, predicate: str, side: str = "o") -> DataFrame:
-    """Q6: values of one side of a predicate by frequency, over distinct triples."""
+def frequencies(quads: DataFrame, predicate: str, side: str = "o", type_p: str = RDF + "type", by_label: list[str] | None = None) -> DataFrame:
+    """Q6: values of one side of a predicate by frequency, over distinct triples. side: 's', 'o', 'domain' or 'range' (the types of
+    subjects and of objects). ``by_label``: label properties; then the values are in the order of their labels, column ``label``."""
     rows = quads.where(F.col("p") == predicate).select("s", "p", "o").distinct()
-    return rows.groupBy(F.col(f"{side}.lex").alias("value")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "value")
+    if side in ("domain", "range"):
+        kind = quads.where(F.col("p") == type_p).select(F.col("s").alias("n"), F.col("o").alias("value")).distinct()
+        end = "s" if side == "domain" else "o"
+        values = rows.join(kind, rows[end] == kind["n"]).select("value")
+    else:
+        values = rows.select(F.col(side).alias("value"))
+    counts = values.groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+    if by_label is None:
+        return counts.select("value.lex", "n").toDF("value", "n").orderBy(F.desc("n"), "value")
+    return sorted_by_label(counts, "value", quads, by_label).select(F.col("value.lex").alias("value"), "label", "n")
+
+
+def sorted_by_label(rows: DataFrame, column: str, quads: DataFrame, label_properties: list[str], language: str = "") -> DataFrame:
+    """O10: rows in the order of the labels of a column of terms, in any case; adds ``label``. Ties keep the order of their names."""
+    from quadloom.operators.graphlib import labels
+
+    triples = quads.select("s", "p", "o").distinct()
+    named = labels(triples, rows.select(F.col(column).alias("n")), language, label_properties)
+    out = rows.join(named, rows[column] == named["n"], "left").drop("n") if "n" not in rows.columns else rows.join(named.withColumnRenamed("n", "_n"), rows[column] == F.col("_n"), "left").drop("_n")
+    return out.orderBy(F.lower("label"), F.col("label"), F.col(f"{column}.lex"))
 
 
 def concepts_of(quads: DataFrame, text: str, label_properties: list[str]) -> DataFrame:
@@ -78,9 +98,10 @@ def list_triples(quads: DataFrame, predicate: str | None = None, graph: str | No
     return rows.select("s", "p", "o").distinct()
 
 
-def triples_with_object(quads: DataFrame, lex: str, literal: bool = False) -> DataFrame:
-    """Q10: triples with a resource or a literal of any tag as object."""
-    return quads.where((F.col("o.lex") == lex) & ((F.col("o.k") == 3) if literal else (F.col("o.k") < 3))).select("s", "p", "o").distinct().orderBy("s.lex", "p")
+def triples_with_object(quads: DataFrame, lex: str, literal: bool = False, by_label: list[str] | None = None) -> DataFrame:
+    """Q10: triples with a resource or a literal of any tag as object, by subject or, with ``by_label``, by the subject's label."""
+    rows = quads.where((F.col("o.lex") == lex) & ((F.col("o.k") == 3) if literal else (F.col("o.k") < 3))).select("s", "p", "o").distinct()
+    return rows.orderBy("s.lex", "p") if by_label is None else sorted_by_label(rows, "s", quads, by_label)
 
 
 def namespaces(quads: DataFrame) -> DataFrame:
@@ -125,7 +146,10 @@ def unique_solution(df: DataFrame) -> DataFrame:
 
 
 def head_and_tail(df: DataFrame, order: str, top: int, bottom: int) -> DataFrame:
-    """The first and the last rows in an order, for long listings."""
-    first = df.orderBy(order).limit(top).withColumn("part", F.lit("top"))
-    last = df.orderBy(F.desc(order)).limit(bottom).withColumn("part", F.lit("bottom"))
-    return first.union(last.join(first.select(order), order, "left_anti").select(*first.columns))
+    """The first and the last rows in an order, for long listings; all of a listing that is no longer than both. Rows that tie in
+    the order are placed by their other columns; rows alike in all of them count one by one."""
+    others = [c for c in df.columns if c != order]
+    first = df.orderBy(order, *others).limit(top)
+    rest = df.exceptAll(first)
+    last = rest.orderBy(*[F.desc(c) for c in (order, *others)]).limit(bottom)
+    return first.withColumn("part", F.lit("top")).union(last.withColumn("part", F.lit("bottom")))

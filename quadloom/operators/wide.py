@@ -110,6 +110,10 @@ def _string(lex: str) -> str:
 def _to_decimal(digits: int, scale: int) -> Callable:
     def encode(v):
         v = Decimal(v)
+        _, ds, exponent = v.as_tuple()
+        beyond = -scale - exponent  # digits after the last that the column holds
+        if beyond > 0 and any(ds[-beyond:]):
+            return None
         return v if abs(v) < Decimal(10) ** (digits - scale) else None
 
     return encode
@@ -171,7 +175,9 @@ class Slots:
         if b == _NONE or a == _CLASH:
             return a
         part = _CODECS[self.types[slot]][1]
-        return a if part(a[0]) == part(b[0]) else _CLASH
+        if part(a[0]) != part(b[0]):
+            return _CLASH
+        return min(a, b)  # one instant in several zones: the least stands, whatever order the rows come in
 
     def put(self, register: dict, cell: tuple[int, str | None]) -> dict:
         slot, lex = cell
@@ -227,7 +233,8 @@ def to_wide(rdf: DataFrame, predicates: DataFrame) -> DataFrame:
     """One row per subject that has any single-valued statement, one typed column per single-valued predicate.
 
     A cell is null where the statements give no value, more than one value, or a value that the column's type can't hold
-    (decimal(38,0), decimal(38,10), years 1 to 9999 for dates). Time stamps with a zone are in UTC, those without as written.
+    whole (decimal(38,0), decimal(38,10), years 1 to 9999 for dates). One date or year written in several zones that begin at
+    one instant is the one of the westernmost zone. Time stamps with a zone are in UTC, those without as written.
     Null subjects form one row. Repeated statements and other spellings of a value are one value. Empty input gives no rows.
     """
     combined, slots = registers(rdf, predicates)

@@ -6,6 +6,7 @@ unbound (plain or null-compatible join), EXISTS as semi or anti join, property p
 
 from __future__ import annotations
 
+import dataclasses
 import itertools
 from collections.abc import Callable
 
@@ -18,13 +19,16 @@ from quadloom.operators.paths import closure, reach
 from quadloom.plans.algebra import (
     RDF, Aggregate, Alt, Bgp, Call, Exists, Extend, Filter, InGraph, Inverse, Iri, Join, LeftJoin, Lit, Minus, Negated, PropertyFunction, Query, Repeat, Seq, Service, SubSelect, Triple, Union, Values, Var, expression_vars, has_aggregate, visible,
 )
+from quadloom.plans import serql
 from quadloom.sources.graphs import Graph, Rel, bind, union_rels
 from quadloom.terms import TERM, Val
 
 
 class Compiler:
-    def __init__(self, graph: Graph, base: str = "", endpoints: dict[str, Graph] | None = None, property_functions: dict[str, Callable] | None = None) -> None:
+    def __init__(self, graph: Graph, base: str = "", endpoints: dict[str, Graph] | None = None, property_functions: dict[str, Callable] | None = None, asserted: Graph | None = None) -> None:
+        """``asserted``: the graph without entailment, where graph has some."""
         self.g, self.spark, self.base = graph, graph.spark, base
+        self.asserted = asserted or graph
         self.endpoints, self.functions = endpoints or {}, property_functions or {}
         self.counter = itertools.count()
         self.default: set[str] | None = None
@@ -79,7 +83,9 @@ class Compiler:
         ctx = graph if graph is not None else self.default
         triples = [y for x in triples for y in self.unfold(x)]
         plain = [x for x in triples if isinstance(x.p, Iri | Var)]
-        rels = self.g.scan(plain, ctx) if plain else []
+        direct = [x for x in plain if isinstance(x.p, Iri) and x.p.value in serql.DIRECT]
+        rels = self.g.scan(entailed, ctx) if (entailed := [x for x in plain if x not in direct]) else []
+        rels += self.asserted.scan([Triple(x.s, Iri(serql.DIRECT[x.p.value]), x.o) for x in direct], ctx) if direct else []
         sizes = []
         for r in rels:
             own = [x for x in plain if all(not isinstance(n, Var) or n.name in r.env for n in (x.s, x.p, x.o))]
@@ -132,7 +138,7 @@ class Compiler:
                 return a
             return self._cross(a, b)
         loose = [n for n in shared if n in a.maybe or n in b.maybe]
-        if loose and len(loose) == len(shared) and len(loose) <= 2:
+        if len(loose) == len(shared):  # no key is always bound
             return self._split_join(a, b, loose)
         df, env = self.apart(b, shared)
         left = a.df
@@ -164,77 +170,140 @@ class Compiler:
         maybe = {n for n in (a.maybe | b.maybe) if not (n in shared and not (n in a.maybe and n in b.maybe))}
         return bind(df, values, maybe)
 
-    def _split_join(self, a: Rel, b: Rel, loose: list[str]) -> Rel:
-        """Null-compatible join without a nested loop: one equi-join per pattern of bound and unbound variables."""
+    def _parts(self, a: Rel, b: Rel, loose: list[str]):
+        """Null-compatible matching without nested loops: a's rows by the loose variables that they leave unbound, and for each part
+        the ways in which rows of b may agree with it: b's rows, renamed, its variables, and the condition (None: all agree)."""
+        sides = lambda names, rel: itertools.product(*[(False, True) if n in rel.maybe else (False,) for n in names])
+        for unbound in sides(loose, a):
+            left, held = a.df, [n for n, u in zip(loose, unbound) if not u]
+            for n, u in zip(loose, unbound):
+                if n in a.maybe:
+                    left = left.where(a.env[n].col.isNull() if u else a.env[n].col.isNotNull())
+            ways = []
+            for free in sides(held, b):
+                right = b.df
+                for n, f in zip(held, free):
+                    if n in b.maybe:
+                        right = right.where(b.env[n].col.isNull() if f else b.env[n].col.isNotNull())
+                df, env = self.apart(Rel(right, b.env), b.df.columns)
+                cond = None
+                for x, y in (t.unify(a.env[n], env[n]) for n, f in zip(held, free) if not f):
+                    cond = x == y if cond is None else cond & (x == y)
+                ways.append((df, env, cond))
+            yield left, ways
+
+    def _split_join(self, a: Rel, b: Rel, loose: list[str], extra: Callable | None = None) -> Rel:
+        """One equi-join for each way in which the variables are bound. ``extra``: variables of b to a further condition."""
         parts = []
-        for pattern in itertools.product(("both", "left", "right"), repeat=len(loose)):
-            x, y = a.df, b.df
-            keys = []
-            for n, how in zip(loose, pattern):
-                if how == "both":
-                    x, y = x.where(a.env[n].col.isNotNull()), y.where(b.env[n].col.isNotNull())
-                    keys.append(n)
-                elif how == "left":  # unbound on the left
-                    x = x.where(a.env[n].col.isNull())
-                else:
-                    x, y = x.where(a.env[n].col.isNotNull()), y.where(b.env[n].col.isNull())
-            ra, rb = Rel(x, a.env), Rel(y, b.env)
-            df, env = self.apart(rb, loose)
-            cond = F.lit(True)
-            for n in keys:
-                p, q = t.unify(ra.env[n], env[n])
-                cond = cond & (p == q)
-            joined = x.join(df, cond) if keys else x.crossJoin(df)
-            parts.append(self._merge(joined, a, env, b, loose, loose))
+        for left, ways in self._parts(a, b, loose):
+            for df, env, cond in ways:
+                if extra is not None:
+                    cond = extra(env) if cond is None else cond & extra(env)
+                joined = left.join(df, cond) if cond is not None else left.crossJoin(df)  # unbound on one side: each row has each partner
+                parts.append(self._merge(joined, Rel(left, a.env), env, b, loose, loose))
         out = union_rels(parts)
         out.maybe = {n for n in (a.maybe | b.maybe) if not (n in loose and not (n in a.maybe and n in b.maybe))}
         return out
 
+    def _select(self, a: Rel, b: Rel, loose: list[str], keep: bool, extra: Callable | None = None, overlap: bool = False) -> DataFrame:
+        """a's rows that have (``keep``) or lack a row of b that agrees with them. ``overlap``: some variable must be bound on both sides."""
+        out: list[DataFrame] = []
+        for rest, ways in self._parts(a, b, loose):
+            for df, env, cond in ways:
+                if cond is None and overlap:
+                    continue
+                if cond is None and extra is None:  # any row of b will do
+                    hit, rest = rest.where(df.exists()), rest.where(~df.exists())
+                else:
+                    cond = cond if extra is None else extra(env) if cond is None else cond & extra(env)
+                    hit, rest = rest.join(df, cond, "left_semi"), rest.join(df, cond, "left_anti")
+                if keep:
+                    out.append(hit)
+            if not keep:
+                out.append(rest)
+        whole = out[0] if out else a.df.limit(0)
+        for x in out[1:]:
+            whole = whole.union(x)
+        return whole
+
+    def _again(self, df: DataFrame, rel: Rel) -> Rel:
+        """The Rel over rows of its own columns that went through a union."""
+        return Rel(df, {n: Val(v.kind, df[n], v.prefix, v.dt) for n, v in rel.env.items()}, rel.maybe)
+
     def left_join(self, a: Rel, node, condition, graph) -> Rel:
         if isinstance(node, Filter) and condition is None:
             condition, node = node.condition, node.child
         b = self.pattern(node, graph)
         shared = [n for n in a.env if n in b.env]
+        tests = []
+        for e in _conjuncts(condition) if condition is not None else ():
+            if expression_vars(e) | _named(_exists(e)) <= (set(b.env) | (_named(_exists(e)) - set(a.env))) - set(shared):
+                b = self.filter(b, e, graph)  # says nothing of a
+            else:
+                tests.append(e)
+        if any(_exists(e) for e in tests):
+            return self._left_join_numbered(a, b, tests, graph)
         loose = [n for n in shared if n in a.maybe or n in b.maybe]
-        clash = [n for n in b.df.columns if n in a.df.columns]
-        df, env = self.apart(b, clash)
+
+        def holds(env: dict[str, Val]) -> Column:
+            merged = {**env, **{n: self._either(v, env[n]) if n in loose else v for n, v in a.env.items()}}
+            scope, out = Scope(merged, self.g.encode, self.base), F.lit(True)
+            for e in tests:
+                out = out & F.coalesce(scope.test(e), F.lit(False))
+            return out
+
+        new = [n for n in b.env if n not in a.env]
+        maybe = a.maybe | set(new)
+        if shared and len(loose) == len(shared):
+            extra = holds if tests else None
+            matched = self._split_join(a, b, loose, extra)
+            alone = self._again(self._select(a, b, loose, False, extra), a)
+            out = union_rels([matched, alone])
+            return Rel(out.df, out.env, maybe)
+        df, env = self.apart(b, [n for n in b.df.columns if n in a.df.columns])
         cond = F.lit(True)
         for n in shared:
             x, y = t.unify(a.env[n], env[n])
             cond = cond & ((x == y) | x.isNull() | y.isNull() if n in loose else x == y)
-        if condition is not None:
-            if _exists(condition):
-                raise ValueError("EXISTS in the filter of an OPTIONAL")
-            both = {**env, **a.env}
-            cond = cond & F.coalesce(Scope(both, self.g.encode, self.base).test(condition), F.lit(False))
-        values = {}
-        joined = a.df.join(df, cond, "left")
-        for n, v in a.env.items():
-            if n in loose:
-                w = env[n]
-                v = Val(v.kind, F.coalesce(v.col, w.col), v.prefix, v.dt) if (v.kind, v.prefix, v.dt) == (w.kind, w.prefix, w.dt) else Val("term", F.coalesce(t.as_term(v), t.as_term(w)))
-            values[n] = v
-        new = [n for n in env if n not in values]
-        values |= {n: env[n] for n in new}
-        return bind(joined, values, a.maybe | set(new))
+        joined = a.df.join(df, cond & holds(env) if tests else cond, "left")
+        values = {n: self._either(v, env[n]) if n in loose else v for n, v in a.env.items()}
+        return bind(joined, values | {n: env[n] for n in new}, maybe)
+
+    def _left_join_numbered(self, a: Rel, b: Rel, tests: list, graph) -> Rel:
+        """OPTIONAL whose filter holds EXISTS over variables of both sides: rows are numbered once, solved, and joined back."""
+        from quadloom.runtime import Spool
+
+        row = self.fresh("row")
+        a = self._again(Spool(self.spark).write(bind(a.df, a.env, a.maybe).df.withColumn(row, F.monotonically_increasing_id())), a)
+        inner = self.join(Rel(a.df, {**a.env, row: Val("num", a.df[row], dt="integer")}, a.maybe), b)
+        for e in tests:
+            inner = self.filter(inner, e, graph)
+        df, env = self.apart(inner, inner.df.columns)
+        joined = a.df.join(df, a.df[row] == env[row].col, "left")
+        values = {n: self._either(v, env[n]) if n in a.maybe else v for n, v in a.env.items()}
+        new = [n for n in b.env if n not in a.env]
+        return bind(joined, values | {n: env[n] for n in new}, a.maybe | set(new))
+
+    @staticmethod
+    def _either(v: Val, w: Val) -> Val:
+        """The value of a variable that one side may leave unbound."""
+        if (v.kind, v.prefix, v.dt) == (w.kind, w.prefix, w.dt):
+            return Val(v.kind, F.coalesce(v.col, w.col), v.prefix, v.dt)
+        return Val("term", F.coalesce(t.as_term(v), t.as_term(w)))
 
     def minus(self, a: Rel, b: Rel) -> Rel:
         shared = [n for n in a.env if n in b.env]
         if not shared:
             return a
+        loose = [n for n in shared if n in a.maybe or n in b.maybe]
+        if len(loose) == len(shared):
+            return self._again(self._select(a, b, loose, False, overlap=True), a)
         df, env = self.apart(b, b.df.columns)
-        cond, some = F.lit(True), F.lit(False)
-        loose = False
+        cond = F.lit(True)
         for n in shared:
             x, y = t.unify(a.env[n], env[n])
-            if n in a.maybe or n in b.maybe:
-                loose = True
-                cond = cond & ((x == y) | x.isNull() | y.isNull())
-                some = some | (x.isNotNull() & y.isNotNull())
-            else:
-                cond = cond & (x == y)
-                some = F.lit(True)
-        return Rel(a.df.join(df, cond & some if loose else cond, "left_anti"), a.env, a.maybe)
+            cond = cond & ((x == y) | x.isNull() | y.isNull() if n in loose else x == y)
+        return Rel(a.df.join(df, cond, "left_anti"), a.env, a.maybe)
 
     def filter(self, rel: Rel, condition, graph) -> Rel:
         for part in _conjuncts(condition):
@@ -242,44 +311,59 @@ class Compiler:
             while isinstance(part, Call) and part.name == "!" and isinstance(part.args[0], Exists):
                 part, negated = part.args[0], not negated
             if isinstance(part, Exists):
-                rel = Rel(self._exists_join(rel, part, graph, "left_anti" if part.negated != negated else "left_semi"), rel.env, rel.maybe)
+                rel = self._exists_join(rel, part, graph, part.negated == negated)
             else:
                 rel, flags = self._flags(rel, part, graph)
                 rel = Rel(rel.df.where(self.scope(rel, flags).test(part)), rel.env, rel.maybe)
         return rel
 
-    def _exists_join(self, rel: Rel, e: Exists, graph, how: str) -> DataFrame:
+    def _exists_join(self, rel: Rel, e: Exists, graph, keep: bool) -> Rel:
+        """The solutions for which the pattern has a solution (``keep``), or has none; negation of e is up to the caller."""
         node, inner = e.pattern, None
         if isinstance(node, Filter) and not expression_vars(node.condition) <= set(visible(node.child)):
             node, inner = node.child, node.condition  # the filter sees variables of the outer solution
         b = self.pattern(node, graph)
+        holds = None
+        if inner is not None:
+            if _exists(inner):
+                raise ValueError("EXISTS within EXISTS over variables of the outer solution")
+            holds = lambda env: F.coalesce(Scope({**env, **rel.env}, self.g.encode, self.base).test(inner), F.lit(False))
+        shared = [n for n in rel.env if n in b.env]
+        loose = [n for n in shared if n in rel.maybe or n in b.maybe]
+        if len(loose) == len(shared):
+            return self._again(self._select(rel, b, loose, keep, holds), rel)
         df, env = self.apart(b, b.df.columns)
         cond = F.lit(True)
-        for n in [n for n in rel.env if n in env]:
+        for n in shared:
             x, y = t.unify(rel.env[n], env[n])
-            cond = cond & ((x == y) | x.isNull() | y.isNull() if n in rel.maybe or n in b.maybe else x == y)
-        if inner is not None:
-            cond = cond & F.coalesce(Scope({**env, **rel.env}, self.g.encode, self.base).test(inner), F.lit(False))
-        elif not set(rel.env) & set(env):
-            df = df.limit(1)  # nothing is shared: one row decides
-        return rel.df.join(df, cond, how)
+            cond = cond & ((x == y) | x.isNull() | y.isNull() if n in loose else x == y)
+        cond = cond & holds(env) if holds else cond
+        return Rel(rel.df.join(df, cond, "left_semi" if keep else "left_anti"), rel.env, rel.maybe)
 
     def _flags(self, rel: Rel, e, graph) -> tuple[Rel, dict[int, Column]]:
-        """For EXISTS inside a larger expression: a flag column per pattern, by outer join with its distinct shared variables."""
+        """For EXISTS inside a larger expression: a flag column per pattern, by outer join with its distinct shared variables; where
+        these may be unbound or the pattern's filter sees the outer solution, by a semi and an anti join."""
         flags = {}
         for x in _exists(e):
+            flag = self.fresh("f")
             b = self.pattern(x.pattern, graph)
             shared = [n for n in rel.env if n in b.env]
-            df, env = self.apart(b, b.df.columns)
-            flag = self.fresh("f")
-            keys = [t.unify(rel.env[n], env[n]) for n in shared]
-            right = df.select(*[y.alias(f"{flag}{i}") for i, (_, y) in enumerate(keys)]).distinct().withColumn(flag, F.lit(True)) if keys else df.limit(1).select(F.lit(True).alias(flag))
-            cond = F.lit(True)
-            for i, (y, _) in enumerate(keys):
-                cond = cond & (y == right[f"{flag}{i}"])
-            joined = rel.df.join(right, cond, "left")
-            rel = Rel(joined.drop(*[f"{flag}{i}" for i in range(len(keys))]), rel.env, rel.maybe)
-            hit = rel.df[flag].isNotNull()
+            outer = isinstance(x.pattern, Filter) and not expression_vars(x.pattern.condition) <= set(visible(x.pattern.child))
+            if outer or not shared or any(n in rel.maybe or n in b.maybe for n in shared):
+                rel = bind(rel.df, rel.env, rel.maybe)
+                yes, no = (self._exists_join(rel, x, graph, k).df.withColumn(flag, F.lit(k)) for k in (True, False))
+                rel = self._again(yes.union(no), rel)
+                hit = rel.df[flag]
+            else:
+                df, env = self.apart(b, b.df.columns)
+                keys = [t.unify(rel.env[n], env[n]) for n in shared]
+                right = df.select(*[y.alias(f"{flag}{i}") for i, (_, y) in enumerate(keys)]).distinct().withColumn(flag, F.lit(True))
+                cond = F.lit(True)
+                for i, (y, _) in enumerate(keys):
+                    cond = cond & (y == right[f"{flag}{i}"])
+                joined = rel.df.join(right, cond, "left")
+                rel = Rel(joined.drop(*[f"{flag}{i}" for i in range(len(keys))]), rel.env, rel.maybe)
+                hit = rel.df[flag].isNotNull()
             flags[id(x)] = ~hit if x.negated else hit
         return rel, flags
 
@@ -573,6 +657,17 @@ def _conjuncts(e) -> list:
     return [e]
 
 
+def _named(x) -> set[str]:
+    """Every variable named anywhere in a pattern or expression."""
+    if isinstance(x, Var):
+        return {x.name}
+    if isinstance(x, tuple | list):
+        return set().union(*map(_named, x)) if x else set()
+    if dataclasses.is_dataclass(x):
+        return set().union(*[_named(getattr(x, f.name)) for f in dataclasses.fields(x)])
+    return set()
+
+
 def _exists(e) -> list[Exists]:
     match e:
         case Exists():

@@ -72,9 +72,14 @@ WITH RECURSIVE """ + _LINKS.strip() + """,
 nodes AS (SELECT child AS n FROM links UNION SELECT parent FROM links),
 roots AS (SELECT n FROM nodes WHERE n NOT IN (SELECT child FROM links)),
 up AS (SELECT child AS n, parent AS a FROM links UNION SELECT u.n, l.parent FROM up u JOIN links l ON u.a = l.child),
+cyc AS (SELECT DISTINCT n FROM up WHERE n = a),
 paths AS (SELECT n AS node, CAST(NULL AS VARCHAR) AS parent, [n] AS path FROM roots
   UNION ALL SELECT l.child, l.parent, list_append(p.path, l.child) FROM paths p JOIN links l ON l.parent = p.node
-  WHERE NOT list_contains(p.path, l.child))"""
+  WHERE l.child NOT IN (SELECT n FROM cyc)),
+walks AS (SELECT parent AS n, child AS d, [child] AS way FROM links
+  UNION ALL SELECT w.n, l.child, list_append(w.way, l.child) FROM walks w JOIN links l ON l.parent = w.d WHERE NOT list_contains(w.way, l.child)),
+pairs AS (SELECT n, d, CAST(min(len(way)) AS BIGINT) AS distance FROM walks GROUP BY n, d),
+sizes AS (SELECT n, count(*) AS k FROM pairs GROUP BY n)"""
 
 _KINDS = ("xsd:integer", "xsd:decimal", "xsd:date", "xsd:boolean", "xsd:string")
 _COLUMNS = [("pageCount", "xsd:integer"), ("height", "xsd:decimal"), ("issued", "xsd:date"), ("lastSeen", "xsd:dateTime"), ("onLoan", "xsd:boolean"), ("madeIn", "xsd:gYear"), ("shelfMark", "xsd:string"), ("price", "xsd:decimal"), ("copies", "xsd:integer"), ("checkedOn", "xsd:date")] + [(f"extra{i:02d}", _KINDS[i % 5]) for i in range(40)]
@@ -96,9 +101,9 @@ def oracle_sql() -> dict[str, str]:
         "p5_found": f"WITH {_VALUE.strip()} SELECT s_lex, p_lex FROM vals GROUP BY s_lex, p_lex HAVING count(DISTINCT c) <> 1",
         "p5_wide": f"WITH {_VALUE.strip()} SELECT s_lex, " + ", ".join(f"{_SQL_CAST[t].format(cell(n))} AS \"{n}\"" for n, t in _COLUMNS) + " FROM vals GROUP BY s_lex",
         "p6_found": f"WITH RECURSIVE {_LINKS.strip()}, up AS (SELECT child AS n, parent AS a FROM links UNION SELECT u.n, l.parent FROM up u JOIN links l ON u.a = l.child) SELECT DISTINCT n AS node_lex FROM up WHERE n = a",
-        "p6_paths": _PATHS_SQL + """, sizes AS (SELECT a, count(DISTINCT node) AS k FROM (SELECT node, unnest(path) AS a FROM paths) WHERE a <> node GROUP BY a)
+        "p6_paths": _PATHS_SQL + """
             SELECT node AS node_lex, parent AS parent_lex, path[1] AS root_lex, CAST(len(path) - 1 AS BIGINT) AS depth, array_to_string(path, ' > ') AS path, 'tree' AS state, coalesce(k, 0) AS n_descendants
-            FROM paths LEFT JOIN sizes ON a = node
-            UNION ALL SELECT n, NULL, NULL, NULL, NULL, CASE WHEN n IN (SELECT n FROM up WHERE n = a) THEN 'cycle' ELSE 'below_cycle' END, NULL FROM nodes WHERE n NOT IN (SELECT node FROM paths)""",
-        "p6_descendants": _PATHS_SQL + " SELECT path[i] AS node_lex, node AS descendant_lex, CAST(min(len(path) - i) AS BIGINT) AS distance FROM (SELECT node, path, unnest(range(1, len(path))) AS i FROM paths) GROUP BY 1, 2",
+            FROM paths LEFT JOIN sizes ON n = node
+            UNION ALL SELECT x.n, NULL, NULL, NULL, NULL, CASE WHEN x.n IN (SELECT n FROM cyc) THEN 'cycle' ELSE 'below_cycle' END, coalesce(k, 0) FROM nodes x LEFT JOIN sizes s ON x.n = s.n WHERE x.n NOT IN (SELECT node FROM paths)""",
+        "p6_descendants": _PATHS_SQL + " SELECT n AS node_lex, d AS descendant_lex, distance FROM pairs",
     }

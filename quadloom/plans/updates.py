@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,7 +22,11 @@ def apply(graph: QuadGraph, u: Update, engine) -> QuadGraph:
         case "insert_data":
             return insert(graph, _data(graph, u.insert))
         case "delete_data":
-            return delete(graph, _data(graph, u.delete), {g is None for g, _ in u.delete} == {True})
+            out = graph
+            for everywhere in (True, False):  # a triple without a graph goes from every graph, whatever stands beside it
+                part = [(g, x) for g, x in u.delete if (g is None) == everywhere]
+                out = delete(out, _data(graph, part), everywhere) if part else out
+            return out
         case "modify":
             return modify(graph, u, engine)
         case "clear" | "drop":
@@ -77,9 +83,12 @@ def add(graph: QuadGraph, source: str, target: str) -> QuadGraph:
 
 
 def _data(graph: QuadGraph, quads: list) -> DataFrame:
+    """Blank nodes are fresh in each request, one per label."""
+    request = uuid.uuid4().hex[:16]
+
     def cell(x):
         if isinstance(x, Var):
-            return (2, f"_:d_{x.name.strip('~')}", "", "")
+            return (2, f"_:d{request}_{x.name.strip('~')}", "", "")
         if isinstance(x, Iri):
             return (1, graph.encode(x.value), "", "")
         return (3, x.lex, "" if x.dt in t.STRINGS else graph.encode(x.dt), x.lang)
@@ -130,6 +139,11 @@ def _with_graph(c: Compiler, rel, triples: list) -> DataFrame:
     return rows.where("s IS NOT NULL AND p IS NOT NULL AND o IS NOT NULL AND g IS NOT NULL")
 
 
+def remove_all(graph: QuadGraph, triples: DataFrame) -> QuadGraph:
+    """Removes uploaded triples (s, p, o) from every graph."""
+    return graph.derive(_without(graph.quads, triples, KEYS[:3]))
+
+
 def remove_matching(graph: QuadGraph, s=None, p: str | None = None, o=None) -> QuadGraph:
     """Removes the statements that fit all given terms (Iri, Lit, or None for any)."""
     hit = F.lit(True)
@@ -154,6 +168,51 @@ def statistics(before: QuadGraph, after: QuadGraph) -> DataFrame:
     return d.agg(F.count(F.when(F.col("op") == "add", 1)).alias("triples_added"), F.count(F.when(F.col("op") == "remove", 1)).alias("triples_removed"), F.count_distinct("s").alias("subjects_touched"))
 
 
+def record(before: QuadGraph, after: QuadGraph, txn: int, ts, user: str) -> DataFrame:
+    """The change log of one transaction: txn, ts, user, op, and the quad. A quad that was there before, or never was, leaves no entry."""
+    changes = difference(before, after)
+    return changes.select(F.lit(txn).cast("bigint").alias("txn"), F.lit(ts).cast("timestamp").alias("ts"), F.lit(user).alias("user"), "op", *KEYS)
+
+
+class Tracked:
+    """A graph whose updates are logged with their user and time, and can be taken back.
+
+    ``engine``: over the graph as it is; ``log``: all changes so far (see record), ready for history().
+    """
+
+    def __init__(self, engine, log: DataFrame | None = None, txn: int = 0) -> None:
+        self.engine, self.txn = engine, txn
+        spark = engine.spark
+        self.log = log if log is not None else spark.createDataFrame([], f"txn bigint, ts timestamp, user string, op string, {QUADS.rsplit(',', 1)[0]}")
+
+    def _next(self, engine, user: str, ts) -> Tracked:
+        from quadloom.runtime import Spool
+
+        new = Spool(self.engine.spark).write(record(self.engine.graph, engine.graph, self.txn + 1, ts, user))
+        return Tracked(engine, self.log.union(new), self.txn + 1)
+
+    def update(self, text: str, user: str, ts) -> Tracked:
+        return self._next(self.engine.update(text), user, ts)
+
+    def with_graph(self, graph: QuadGraph, user: str, ts) -> Tracked:
+        engine = type(self.engine)(graph, self.engine.prefixes, self.engine.base, self.engine.endpoints)
+        engine.functions = self.engine.functions
+        return self._next(engine, user, ts)
+
+    def assert_(self, quads: DataFrame, user: str, ts) -> Tracked:
+        return self.with_graph(insert(self.engine.graph, quads.select(*KEYS, F.lit(None).cast("bigint").alias("g_line"))), user, ts)
+
+    def retract(self, quads: DataFrame, user: str, ts) -> Tracked:
+        return self.with_graph(delete(self.engine.graph, quads), user, ts)
+
+    def take_back(self, txn: int, user: str, ts) -> Tracked:
+        """Undoes one transaction, as a new one: what it added goes, what it removed comes back."""
+        of = self.log.where(F.col("txn") == txn)
+        graph = delete(self.engine.graph, of.where("op = 'add'"))
+        back = of.where("op = 'remove'").select(*KEYS, F.lit(None).cast("bigint").alias("g_line"))
+        return self.with_graph(insert(graph, back), user, ts)
+
+
 def history(log: DataFrame, until, user: str | None = None) -> DataFrame:
     """Quads as of a time from a change log (txn, ts, user, op, s, p, o, g): the last change of each quad decides."""
     rows = log.where(F.col("ts") <= F.lit(until))

@@ -48,6 +48,9 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+_OPEN: set[Spool] = set()
+
+
 class Spool:
     """Intermediate tables written as parquet to the shared folder; columnar, so re-reads prune columns."""
 
@@ -55,6 +58,7 @@ class Spool:
         ship(spark)
         self.spark, self.root = spark, f"{shared_dir(spark).rstrip('/')}/quadloom-{uuid.uuid4().hex}"
         self.n = 0
+        _OPEN.add(self)
         atexit.register(_delete, spark, self.root)
 
     def write(self, df: DataFrame) -> DataFrame:
@@ -63,8 +67,21 @@ class Spool:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def forget(self, df: DataFrame) -> None:
+        """Deletes a table of this spool that no later plan reads; tables from elsewhere are left alone."""
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if "/".join(self.root.rsplit("/", 1)[1:]) in path:
+                _delete(self.spark, path)
+
     def drop(self) -> None:
         _delete(self.spark, self.root)
+        _OPEN.discard(self)
+
+
+def release() -> None:
+    """Deletes what all queries so far have spooled. Results that were not consumed can't be read any more."""
+    for spool in list(_OPEN):
+        spool.drop()
 
 
 def _delete(spark: SparkSession, path: str) -> None:

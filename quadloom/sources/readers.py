@@ -23,8 +23,15 @@ from quadloom.sources.graphs import QUADS, QuadGraph
 from quadloom.sources.turtle import parse_rdfxml, parse_turtle
 
 FORMATS = {".nt": "ntriples", ".ntriples": "ntriples", ".nq": "nquads", ".ttl": "turtle", ".n3": "turtle", ".rdf": "rdfxml", ".rdfs": "rdfxml", ".owl": "rdfxml", ".xml": "rdfxml"}
-#: Members of archives that hold no data.
-SKIP = re.compile(r"\.(pdf|txt|md|doc|docx|html?)$|(^|/)(readme|todo|license)", re.I)
+# Endings and whole names of archive members that hold no data.
+NO_DATA_ENDINGS = (".pdf", ".txt", ".md", ".doc")
+NO_DATA_NAMES = ("readme", "todo")
+
+
+def holds_data(member: str) -> bool:
+    name = posixpath.basename(member).lower()
+    stem, ending = posixpath.splitext(name)
+    return ending not in NO_DATA_ENDINGS and stem not in NO_DATA_NAMES
 
 _TERM = r'(?:<[^>]*>|_:\S+?|"(?:[^"\\]|\\.)*"(?:@[A-Za-z0-9-]+|\^\^<[^>]*>)?)'
 LINE = rf"^\s*(<[^>]*>|_:\S+)\s+<([^>]*)>\s+({_TERM})\s*(?:(<[^>]*>|_:\S+)\s*)?\.\s*(?:#.*)?$"
@@ -75,12 +82,12 @@ def _members(path: str, data: bytes) -> Iterator[tuple[str, bytes]]:
     if low.endswith((".tar", ".tgz", ".tar.gz", ".tar.bz2")):
         with tarfile.open(fileobj=io.BytesIO(data)) as tar:
             for m in tar:
-                if m.isfile() and not SKIP.search(m.name):
+                if m.isfile() and holds_data(m.name):
                     yield from _members(f"{path}/{m.name}", tar.extractfile(m).read())
     elif low.endswith(".zip"):
         with zipfile.ZipFile(io.BytesIO(data)) as z:
             for name in z.namelist():
-                if not name.endswith("/") and not SKIP.search(name):
+                if not name.endswith("/") and holds_data(name):
                     yield from _members(f"{path}/{name}", z.read(name))
     elif low.endswith(".gz"):
         yield path[:-3], gzip.decompress(data)

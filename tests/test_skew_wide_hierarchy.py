@@ -40,7 +40,9 @@ def test_profile_matches_brute_force(spark, tasks):
         off = sum(kind is not None and r[3] is not None and (r[2] == 3) != (kind == "literal") for r in mine)
         want[p] = (len(mine), len({r[0] for r in mine} - {None}), len({(r[2], r[3]) for r in mine if r[3] is not None}), kind, off)
     assert got == want
-    assert plan.total == len(rows)
+    assert plan.rows == len(rows)
+    moved = {(r[1], 0, r[0]) for r in rows} | {(r[1], 1, r[2], r[3]) for r in rows}
+    assert plan.total == len(moved)  # the load is what moves: one row per value
 
 
 def test_plan_is_balanced_and_splits_the_hot_key():
@@ -135,9 +137,13 @@ def test_hierarchy_matches_brute_force(spark, finish, multi):
             assert r.state == ("cycle" if r.node in cyc else "below_cycle")
     if not multi:
         assert len(paths) == len(nodes)
-        down = {(r.node_lex, r.descendant_lex) for r in hierarchy.descendants(hierarchy.hierarchy(df, finish)).collect()}
-        rooted = {r.node for r in paths if r.path}
-        assert down == {(a, n) for a, n in pairs if n in rooted}
+    # one row per link with a way up, whose path goes on along the parent's own: the shortest, the least parent at a tie
+    own = {}
+    for r in sorted((r for r in paths if r.path), key=lambda r: (len(r.path), r.parent or "")):
+        own.setdefault(r.node, r.path)
+    with_way = {(c, p) for c, p in links if c not in cyc and p in own}
+    assert {(r.node, r.parent) for r in paths if r.parent} == with_way and sum(bool(r.parent) for r in paths) == len(with_way)
+    assert all(r.path == [*own[r.parent], r.node] for r in paths if r.parent)
 
 
 @pytest.mark.parametrize("multi", [False, True])
@@ -174,3 +180,35 @@ def test_hierarchy_empty_and_statements(spark):
     assert hierarchy.hierarchy(hierarchy.statement_links(none)).count() == 0
     rows = [("a", "skos:broader", 1, "b", None), ("b", "skos:narrower", 1, "a", None), ("b", "urn:x:v/hasPart", 1, "c", None), ("c", "skos:broader", 1, None, None), (None, "skos:broader", 1, "b", None)]
     assert {tuple(r) for r in hierarchy.statement_links(rdf(spark, rows + rows)).collect()} == {("a", "b"), ("c", "b")}
+
+
+@pytest.mark.parametrize("finish", [0, 10_000])
+def test_stacked_diamonds_have_a_row_per_link(spark, finish):
+    links = [x for i in range(30) for x in ((f"a{i}", f"t{i}"), (f"b{i}", f"t{i}"), (f"t{i + 1}", f"a{i}"), (f"t{i + 1}", f"b{i}"))]
+    if not finish:
+        links = links[:16]
+    rows = hierarchy.hierarchy(spark.createDataFrame(links, "child string, parent string"), finish).collect()
+    assert len(rows) == len(links) + 1 and all(r.state == "tree" for r in rows)
+
+
+@pytest.mark.parametrize("finish", [0, 10_000])
+def test_a_cycle_with_an_exit(spark, finish):
+    links = [("a", "b"), ("b", "a"), ("b", "root"), ("under", "a"), ("tied", "a"), ("tied", "root"), ("mid", "a"), ("x", "mid"), ("y", "x"), ("x", "y")]
+    rows = {(r.node, r.parent): (r.path, r.state) for r in hierarchy.hierarchy(spark.createDataFrame(links, "child string, parent string"), finish).collect()}
+    assert rows == {("root", None): (["root"], "tree"), ("tied", "root"): (["root", "tied"], "tree")} | {(n, None): (None, "cycle") for n in "abxy"} | {(n, None): (None, "below_cycle") for n in ("under", "mid")}
+
+
+def test_a_deep_chain_is_peeled_in_one_task(spark):
+    links = [(f"n{i}", f"n{i - 1}") for i in range(1, 3000)] + [("n0", "top")]
+    df = spark.createDataFrame(links, "child string, parent string")
+    assert hierarchy.cycle_nodes(df).count() == 0
+    assert hierarchy.hierarchy(df).selectExpr("max(depth) AS d").first().d == 3000
+
+
+def test_equal_values_give_one_cell_in_any_order(spark):
+    preds = spark.createDataFrame([("urn:x:d", "literal", "xsd:date", True, 1), ("urn:x:y", "literal", "xsd:gYear", True, 1), ("urn:x:n", "literal", "xsd:decimal", True, 1)], PRED)
+    rows = [("s", "urn:x:d", 3, "2020-01-01+14:00", None), ("s", "urn:x:d", 3, "2019-12-31-10:00", None), ("s", "urn:x:n", 3, "1.123456789012", None), ("t", "urn:x:n", 3, "1.12345678900000", None), ("t", "urn:x:n", 3, "+01.123456789", None)]
+    for order in (rows, rows[::-1]):
+        got = {r.s_lex: (str(r.d), r.n) for r in wide.to_wide(rdf(spark, order).coalesce(1), preds).collect()}
+        assert got["s"] == ("2019-12-31", None) and str(got["t"][1]).rstrip("0") == "1.123456789"
+    assert wide.unclear_cells(rdf(spark, rows), preds).count() == 0
