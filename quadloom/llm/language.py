@@ -3,7 +3,7 @@
 Model: blended-spectrum presence kernel (n-grams of 1 to ``N`` characters that two texts share, however often either holds them,
 divided by the root of both texts' numbers), Nystroem features on landmark texts, one-versus-rest kernel ridge regression. As the
 kernel is linear in the n-gram indicators, landmarks and regression weights fold into one matrix (n-gram x language): the scores
-of a batch of words or of segments are the product of its indicator matrix (segment x n-gram) and that matrix.
+of a batch of words or of segments are the product of its sparse indicator matrix (segment x n-gram) and that matrix.
 
 Segments: a text is cleaned (width forms, invisible characters, letters of other scripts drawn alike), mark-up, quoted titles,
 IRIs and tokens with digits are left out, and clauses are cut at strong punctuation. Within a clause the best path over the
@@ -68,6 +68,7 @@ _BREAK = re.compile(
 )
 _SHORT_END = re.compile(r"(?:^|(?<=[\s,]))[^\W\d_]{1,4}[-.]?\s{0,3}\Z")  # a short word before a number, as in "fol. 12"
 _INVISIBLE = re.compile("[" + "".join(re.escape(c) for c in map(chr, range(0x80, 0x10000)) if unicodedata.category(c) == "Cf") + "]")
+_RUN = re.compile(r"(?:[\x00-\x7f](?![^\x00-\x7f]))+")  # characters that stay as they are, and that no accent follows
 _LATIN = re.compile("[A-Za-zÀ-\u024f]")
 _OTHER = re.compile("[\u0370-\u052f\u1f00-\u1fff]")
 
@@ -79,12 +80,17 @@ def _fold(text: str) -> tuple[str, list[int] | None]:
     out, at = [], []
     i, n = 0, len(text)
     while i < n:
+        if run := _RUN.match(text, i):
+            out.append(run.group())
+            at += range(i, run.end())
+            i = run.end()
+            continue
         j = i + 1
         while j < n and unicodedata.combining(text[j]):
             j += 1
         piece = text[i:j]
         if unicodedata.category(piece[0]) != "Cf":
-            plain = unicodedata.normalize("NFKC", "".join(c for c in piece if unicodedata.category(c) != "Cf"))
+            plain = unicodedata.normalize("NFKC", piece if j == i + 1 else "".join(c for c in piece if unicodedata.category(c) != "Cf"))
             out.append(plain)
             at += [i] * len(plain)
         i = j
@@ -164,6 +170,33 @@ def _grams(word: str) -> set[str]:
     return {padded[i : i + k] for k in range(1, N + 1) for i in range(n - k + 1)} - {" "}
 
 
+class Indicator:
+    """A sparse matrix of zeros and ones by rows, from places that may repeat."""
+
+    def __init__(self, rows: np.ndarray, cols: np.ndarray, shape: tuple[int, int]) -> None:
+        self.shape = shape
+        there = np.zeros(shape[1], bool)
+        there[cols] = True
+        used = np.flatnonzero(there)  # only these columns need room while repeats are dropped
+        place = np.empty(shape[1], np.int64)
+        place[used] = np.arange(len(used))
+        dense = np.zeros((shape[0], max(1, len(used))), bool)
+        dense[rows, place[cols]] = True
+        at = np.flatnonzero(dense)
+        self.rows, k = np.divmod(at, dense.shape[1])
+        self.cols = used[k]
+
+    def row_sums(self) -> np.ndarray:
+        return np.bincount(self.rows, minlength=self.shape[0])
+
+    def __matmul__(self, weights: np.ndarray) -> np.ndarray:
+        out = np.zeros((self.shape[0], weights.shape[1]), weights.dtype)
+        if len(self.cols):
+            held, starts = np.unique(self.rows, return_index=True)
+            out[held] = np.add.reduceat(weights[self.cols], starts)
+        return out
+
+
 class Model:
     """Folded model: n-gram -> row of ``weights`` (n-grams x languages)."""
 
@@ -172,10 +205,9 @@ class Model:
         self._words: dict[str, tuple[np.ndarray, int]] = {}
         self._clauses: dict[str, list] = {}
         self._alone: dict[str, np.ndarray] = {}
-        self._place = np.zeros(len(index), np.int64)
 
     def __getstate__(self) -> dict:
-        return {"languages": self.languages, "index": self.index, "weights": self.weights, "_words": {}, "_clauses": {}, "_alone": {}, "_place": self._place}
+        return {"languages": self.languages, "index": self.index, "weights": self.weights, "_words": {}, "_clauses": {}, "_alone": {}}
 
     def ids(self, word: str) -> tuple[np.ndarray, int]:
         """Columns of the word's n-grams, and how many of its n-grams no landmark holds."""
@@ -190,43 +222,32 @@ class Model:
         return got
 
     def scores(self, groups: list[list[str]]) -> np.ndarray:
-        """Score of each group of words in each language: products of indicator matrices of ``_BATCH`` groups with the weights.
+        """Score of each group of words in each language: the sparse indicator matrix of ``_BATCH`` groups times the weights.
 
-        An n-gram counts once in a group. The matrix has columns for the n-grams that occur in the batch only. N-grams that no
-        landmark holds add to a group's number alone, once a word.
+        An n-gram counts once in a group. N-grams that no landmark holds add to a group's number alone, once a word.
         """
         out = np.zeros((len(groups), len(self.languages)))
         for lo in range(0, len(groups), _BATCH):
             part = groups[lo : lo + _BATCH]
-            got = [[self.ids(w) for w in ws] for ws in part]
-            cols = np.concatenate([i for g in got for i, _ in g])
-            rows = np.repeat(np.arange(len(part)), [sum(len(i) for i, _ in g) for g in got])
-            used = self._mark(cols)
-            x = np.zeros((len(part), len(used)), np.float32)
-            x[rows, self._place[cols]] = 1
-            size = x.sum(1) + [sum(n for _, n in g) for g in got]
-            out[lo : lo + _BATCH] = (x @ self.weights[used]) / np.sqrt(np.maximum(1, size))[:, None]
+            words = [self.ids(w) for ws in part for w in ws]
+            owner = np.repeat(np.arange(len(part)), [len(ws) for ws in part])
+            x = Indicator(np.repeat(owner, [len(i) for i, _ in words]), np.concatenate([i for i, _ in words]), (len(part), len(self.index)))
+            size = x.row_sums() + np.bincount(owner, [n for _, n in words], len(part))
+            out[lo : lo + _BATCH] = (x @ self.weights) / np.sqrt(np.maximum(1, size))[:, None]
         return out
 
-    def _mark(self, cols: np.ndarray) -> np.ndarray:
-        """The columns that occur, each once, and their places in the batch's matrix."""
-        flags = np.zeros(len(self.index), bool)
-        flags[cols] = True
-        used = np.flatnonzero(flags)
-        self._place[used] = np.arange(len(used))
-        return used
-
     def path(self, e: np.ndarray) -> list[tuple[int, int]]:
         """Ranges of words of one language: the best path over word scores less SWITCH for each change."""
-        score, back = e[0].copy(), np.zeros(e.shape, np.int32)
-        stay = np.arange(e.shape[1])
-        for i in range(1, len(e)):
-            top = int(score.argmax())
-            back[i] = np.where(score[top] - SWITCH > score, top, stay)
-            score = np.maximum(score, score[top] - SWITCH) + e[i]
-        way = [int(score.argmax())]
-        for i in range(len(e) - 1, 0, -1):
-            way.append(int(back[i][way[-1]]))
+        rows = e.tolist()  # a handful of languages: plain lists are faster than arrays here
+        score, back = rows[0], []
+        for row in rows[1:]:
+            most = max(score)
+            top, floor = score.index(most), most - SWITCH
+            back.append([k if s >= floor else top for k, s in enumerate(score)])
+            score = [max(s, floor) + x for s, x in zip(score, row)]
+        way = [score.index(max(score))]
+        for step in reversed(back):
+            way.append(step[way[-1]])
         way.reverse()
         cuts = [0, *(i for i in range(1, len(way)) if way[i] != way[i - 1]), len(way)]
         return list(zip(cuts[:-1], cuts[1:]))
