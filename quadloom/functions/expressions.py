@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from urllib.parse import urljoin
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -239,8 +240,12 @@ def _iri(v: Val, base: str) -> Val:
     lex = F.when(v.col["k"] == 1, v.col["lex"]).otherwise(t.text(v)) if v.kind == "term" else t.text(v)
     if not base:
         return Val("iri", lex)
-    resolve = F.udf(lambda s: None if s is None else urljoin(base, s))  # only relative references need it
-    return Val("iri", F.when(lex.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), lex).otherwise(resolve(lex)))
+
+    def resolve(refs: pd.Series) -> pd.Series:
+        return refs.map(lambda s: urljoin(base, s), na_action="ignore")
+
+    relative = F.pandas_udf(resolve, "string")(lex)  # absolute ones need it not
+    return Val("iri", F.when(lex.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), lex).otherwise(relative))
 
 
 def _strdt(v: Val, dt: Val) -> Val:

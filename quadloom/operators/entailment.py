@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -9,11 +10,12 @@ from pyspark.sql import functions as F
 
 from quadloom import terms as t
 from quadloom.operators import paths
-from quadloom.plans.algebra import RDF, RDFS
+from quadloom.plans.algebra import RDF, RDFS, Iri, Triple, Var
 from quadloom.runtime import Spool
-from quadloom.sources.graphs import Graph, QuadGraph
+from quadloom.sources.graphs import Graph, QuadGraph, Rel
 
 REGIMES: dict[str, Callable[[QuadGraph], QuadGraph]] = {}
+MAX_SCHEMA = 200_000
 SKOSXL = "http://www.w3.org/2008/05/skos-xl#"
 SKOS = "http://www.w3.org/2004/02/skos/core#"
 
@@ -31,9 +33,17 @@ def apply(graph: Graph, name: str) -> Graph:
         raise ValueError(f"no entailment regime {name!r}; there are {', '.join(REGIMES)}")
     if name == "none":
         return graph
-    if not isinstance(graph, QuadGraph):
-        raise TypeError("entailment needs a quad table")
-    return REGIMES[name](graph)
+    return REGIMES[name](graph if isinstance(graph, QuadGraph) else as_quads(graph))
+
+
+def as_quads(graph: Graph) -> QuadGraph:
+    """A virtual graph as a quad table, for regimes that infer triples."""
+    rel = graph.scan([Triple(Var("s"), Var("p"), Var("o"))], (Var("g"), None))[0]
+    v = rel.env
+    quads = rel.df.select(t.as_term(v["s"]).alias("s"), t.lexical(v["p"]).alias("p"), t.as_term(v["o"]).alias("o"), t.lexical(v["g"]).alias("g"), F.lit(None).cast("bigint").alias("g_line"))
+    out = QuadGraph(quads)
+    out.encode = graph.encode
+    return out
 
 
 def triples(graph: QuadGraph) -> DataFrame:
@@ -93,11 +103,78 @@ def _hierarchies(graph: QuadGraph) -> DataFrame:
     return out
 
 
+class RdfsLite(QuadGraph):
+    """A graph under sub-properties and sub-classes that infers only what a pattern asks for: a pattern with a constant predicate
+    reads the statements of that predicate's sub-properties and, for types, joins them with the closed schema. Patterns with a
+    variable predicate read the whole entailed graph. Inferred triples are in no graph, so patterns within one read the asserted."""
+
+    def __init__(self, base: QuadGraph) -> None:
+        self.base, self.spark, self.compact, self.merged = base, base.spark, base.compact, False
+        self.predicate_counts, self.triples = base.predicate_counts, None
+        self.encode = base.encode
+
+    @functools.cached_property
+    def whole(self) -> QuadGraph:
+        return _rdfs_lite(self.base)
+
+    @property
+    def quads(self) -> DataFrame:
+        return self.whole.quads
+
+    @functools.cached_property
+    def _sub_properties(self) -> dict[str, set[str]]:
+        """Property -> all properties below it; the property schema must fit the driver (checked)."""
+        rows = closure(self.base, RDFS + "subPropertyOf").limit(MAX_SCHEMA + 1).collect()
+        if len(rows) > MAX_SCHEMA:
+            raise ValueError(f"more than {MAX_SCHEMA} pairs of sub-properties")
+        out: dict[str, set[str]] = {}
+        for r in rows:
+            out.setdefault(r.o, {r.o}).add(r.s)
+        return out
+
+    def _asked(self, p: str, o=None) -> DataFrame:
+        """s, p, o of one predicate, also inferred; with o those of one object alone where that narrows the search."""
+        e = self.encode
+        base = self.base._of_graph(None).where(F.col("p").isin(sorted(self._sub_properties.get(p, {p})))).select("s", F.lit(p).alias("p"), "o")
+        if p == e(RDF + "type"):
+            sup = closure(self.base, RDFS + "subClassOf").select(F.col("s").alias("c"), F.col("o").alias("sc"))
+            sup = sup.where(F.col("sc") == e(o.value)) if isinstance(o, Iri) else sup
+            types = base.select("s", F.col("o.lex").alias("c")).distinct().join(sup, "c")
+            return base.union(types.select("s", F.lit(p).alias("p"), _iri(F.col("sc")).alias("o")))
+        if p in (e(RDFS + "subClassOf"), e(RDFS + "subPropertyOf")):
+            name = RDFS + "subClassOf" if p == e(RDFS + "subClassOf") else RDFS + "subPropertyOf"
+            return base.union(closure(self.base, name).select(_iri(F.col("s")).alias("s"), F.lit(p).alias("p"), _iri(F.col("o")).alias("o")))
+        return base
+
+    def _one(self, triple: Triple, graph) -> Rel:
+        if graph is not None:
+            return self.base._one(triple, graph)
+        if not isinstance(triple.p, Iri):
+            return self.whole._one(triple, None)
+        asked = self._asked(self.encode(triple.p.value), triple.o)
+        return self.base.derive(asked.withColumn("g", F.lit(None).cast("string")).withColumn("g_line", F.lit(None).cast("bigint")))._one(triple, None)
+
+    def edges(self, predicates: list[str] | None, graph, negated: bool = False) -> DataFrame:
+        if graph is not None:
+            return self.base.edges(predicates, graph, negated)
+        if predicates is None or negated:
+            return self.whole.edges(predicates, None, negated)
+        out = None
+        for p in predicates:
+            part = self._asked(self.encode(p)).select("s", "o")
+            out = part if out is None else out.union(part)
+        return out.distinct()
+
+
 @regime("rdfslite")
 def rdfs_lite(graph: QuadGraph) -> QuadGraph:
     """Sub-properties, sub-classes and types through these; no domains or ranges."""
+    return RdfsLite(graph)
+
+
+def _rdfs_lite(graph: QuadGraph) -> QuadGraph:
     e = graph.encode
-    base = _expanded(graph)
+    base = Spool(graph.spark).write(_expanded(graph))
     types = _types(graph, base.where(F.col("p") == e(RDF + "type")).select("s", F.col("o.lex").alias("c")))
     typed = types.select("s", F.lit(e(RDF + "type")).alias("p"), _iri(F.col("c")).alias("o"))
     return _with(graph, base.union(typed).union(_hierarchies(graph)))

@@ -11,6 +11,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quadloom.sources.graphs import TOKEN_BREAK
+
 _TOKEN = re.compile(r"\s*(?:(?P<op>[()])|(?P<range>-?\d+(?:\.\d+)?\.\.-?\d+(?:\.\d+)?)|(?P<cmp>>=|<=|=<)\s*(?P<n>-?\d+(?:\.\d+)?)|(?P<not>-)(?=\S)|(?P<word>[^\s()]+))")
 
 
@@ -79,7 +81,19 @@ def parse(query: str):
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(text, r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    return F.filter(F.split(text, TOKEN_BREAK), lambda w: w != "")
+
+
+def needed(tree) -> set[str]:
+    """Words in lower case that every match holds; an index of words finds all matches by any one of them."""
+    match tree:
+        case ("and", parts):
+            return set().union(*map(needed, parts)) if parts else set()
+        case ("or", parts):
+            return set.intersection(*map(needed, parts))
+        case ("word", w, "" | "i") if w.isalnum():
+            return {w.lower()}
+    return set()
 
 
 def stem(word: Column) -> Column:

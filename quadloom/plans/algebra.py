@@ -78,6 +78,13 @@ class Repeat:
     many: bool
 
 
+@dataclass(frozen=True)
+class Once:
+    """Each pair that a path connects, once."""
+
+    path: object
+
+
 @dataclass(frozen=True)
 class Negated:
     forward: tuple

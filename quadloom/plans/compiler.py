@@ -17,7 +17,7 @@ from quadloom import terms as t
 from quadloom.functions.expressions import Scope
 from quadloom.operators.paths import closure, reach
 from quadloom.plans.algebra import (
-    RDF, Aggregate, Alt, Bgp, Call, Exists, Extend, Filter, InGraph, Inverse, Iri, Join, LeftJoin, Lit, Minus, Negated, PropertyFunction, Query, Repeat, Seq, Service, SubSelect, Triple, Union, Values, Var, expression_vars, has_aggregate, visible,
+    RDF, Aggregate, Alt, Bgp, Call, Exists, Extend, Filter, InGraph, Inverse, Iri, Join, LeftJoin, Lit, Minus, Negated, Once, PropertyFunction, Query, Repeat, Seq, Service, SubSelect, Triple, Union, Values, Var, expression_vars, has_aggregate, visible,
 )
 from quadloom.plans import serql
 from quadloom.sources.graphs import Graph, Rel, bind, union_rels
@@ -457,6 +457,8 @@ class Compiler:
                     back = self.g.edges(list(backward), graph, negated=True).select(F.col("o").alias("s"), F.col("s").alias("o"))
                     out = back if out is None else out.union(back)
                 return out
+            case Once(q):
+                return self.path(q, graph, s, o).distinct()
             case Repeat(q, least, many):
                 return self._repeat(q, least, many, graph, s, o)
         raise TypeError(f"no path: {p!r}")
@@ -602,7 +604,7 @@ class Compiler:
                     return F.when(F.count(v.col) > 0, best(F.when(v.col.isNotNull(), t.order_value(v)))["t"]), "term", ""
                 return (best(t.lexical(v)), "iri", "") if v.kind == "key" else (best(t.order_value(v)), v.kind, v.dt)
             case "sample":
-                return F.min(v.col) if v.kind not in ("term", "key") else F.first(t.as_term(v), ignorenulls=True), v.kind if v.kind not in ("term", "key") else "term", v.dt
+                return self._aggregate(dataclasses.replace(a, name="min"), scope, rel)  # the least is as good as any, and the same in every run
             case "group_concat":
                 s = t.lexical(v)
                 parts = F.sort_array(F.collect_set(s) if a.distinct else F.collect_list(s))

@@ -10,7 +10,7 @@ from quadloom import terms as t
 from quadloom.operators import fulltext
 from quadloom.plans.algebra import RDF, Iri, Lit, Repeat, Seq, Triple, Var
 from quadloom.runtime import Spool
-from quadloom.sources.graphs import Rel, bind
+from quadloom.sources.graphs import Rel, bind, token_bucket
 from quadloom.terms import Val
 
 REGISTRY: dict[str, object] = {}
@@ -114,13 +114,21 @@ def list_index(c, rel: Rel, subject: list, obj: list, graph) -> Rel:
 
 @register("urn:quadloom:text#match")
 def match(c, rel: Rel, subject: list, obj: list, graph) -> Rel:
-    """?s txt:match "query", or ?s txt:match (?p "query") or (?p "query" ?o)."""
+    """?s txt:match "query", or ?s txt:match (?p "query") or (?p "query" ?o). Over a store, queries with a whole word that all
+    matches hold read the index of words; others read the literals."""
     p, query, o = (Var("~mp"), obj[0], Var("~mo")) if len(obj) == 1 else (obj[0], obj[1], obj[2] if len(obj) > 2 else Var("~mo"))
     if not isinstance(query, Lit):
         raise ValueError("the text query must be a literal")
-    found = c.g.scan([Triple(Var("s"), Var("p"), Var("o"))], graph)[0]
+    tree = fulltext.parse(query.lex)
+    index = getattr(c.g, "tokens", None) if graph is None and c.default is None else None
+    if index is not None and (words := fulltext.needed(tree)):
+        word = max(words, key=lambda w: (len(w), w))  # the longest is likely the rarest
+        hits = index.where((F.col("bucket") == token_bucket(F.lit(word))) & (F.col("token") == word)).select("s", "p", "o")
+        found = bind(hits, {"s": Val("term", F.col("s")), "p": Val("iri", F.col("p")), "o": Val("term", F.col("o"))})
+    else:
+        found = c.g.scan([Triple(Var("s"), Var("p"), Var("o"))], graph)[0]
     text, lang = t.text(found.env["o"]), t.as_term(found.env["o"])["lang"]
-    rows = found.df.where(fulltext.condition(fulltext.parse(query.lex), text, lang, query.lang))
+    rows = found.df.where(fulltext.condition(tree, text, lang, query.lang))
     rows = rows.select(t.as_term(found.env["s"]).alias("s"), t.struct(1, t.lexical(found.env["p"])).alias("p"), t.as_term(found.env["o"]).alias("o"))
     return join_pairs(c, rel, rows, [subject[0], p, o], ["s", "p", "o"])
 

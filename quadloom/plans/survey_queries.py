@@ -284,9 +284,13 @@ def w4_cardinality(spark: SparkSession, d: str) -> DataFrame:
 
 
 def k8_rdf_json(spark: SparkSession, d: str) -> DataFrame:
+    """The values are parsed back from the text."""
     from quadloom.sources.writers import rdf_json
 
-    return rdf_json(all_triples(statements(spark, d).graph)).select("subject")
+    rows = rdf_json(all_triples(statements(spark, d).graph))
+    kind = "map<string,array<struct<type:string,value:string,lang:string,datatype:string>>>"
+    each = rows.select("subject", F.explode(F.from_json("json", kind)).alias("p", "vs")).select("subject", "p", F.explode("vs").alias("v"))
+    return each.select("subject", "p", F.col("v.type").alias("type"), F.col("v.value").alias("value"), F.coalesce("v.lang", F.lit("")).alias("lang"))
 
 
 def s14_ntriples_round_trip(spark: SparkSession, d: str) -> DataFrame:
@@ -333,7 +337,19 @@ FUNCTION_SQL = {
     "w4_cardinality": W + "SELECT s, count(*) AS n FROM t WHERE p = 'urn:x:v/maker' GROUP BY s_k, s HAVING count(*) > 1",
     "w9_same_as": _COMP + " SELECT a.l AS node, least(a, min(b)).l AS component FROM r GROUP BY a",
     "w11_direct_subclasses": WR + "e AS (SELECT DISTINCT s, o FROM t WHERE p = 'rdfs:subClassOf' AND s <> o), f AS (SELECT e.s, x.o FROM e JOIN e x ON e.o = x.s UNION SELECT f.s, e.o FROM f JOIN e ON f.o = e.s) SELECT s, o FROM e WHERE (s, o) NOT IN (SELECT (s, o) FROM f)",
-    "k8_rdf_json": W + "SELECT DISTINCT s AS subject FROM t",
+    "k8_rdf_json": W + "SELECT s AS subject, p, CASE o_k WHEN 1 THEN 'uri' WHEN 2 THEN 'bnode' ELSE 'literal' END AS type, o AS value, lang FROM t",
+    "f4_describe": WR + "seeds AS (SELECT DISTINCT s_k AS k, s AS n FROM t WHERE p = 'rdf:type' AND o = 'urn:x:c/Place'), reached AS (SELECT k, n FROM seeds UNION SELECT t.o_k, t.o FROM reached r JOIN t ON t.s = r.n AND t.s_k = r.k WHERE t.o_k = 2) SELECT s, p, o FROM t WHERE (s_k, s) IN (SELECT (k, n) FROM reached)",
+    "g5_merge_same_as": _COMP + """, c AS (SELECT a, least(a, min(b)) AS m FROM r GROUP BY a),
+        d AS (SELECT k, l, least(count(*), 100) AS n FROM (SELECT s_k AS k, s AS l FROM t UNION ALL SELECT o_k, o FROM t WHERE o_k < 3) GROUP BY ALL),
+        best AS (SELECT m, arg_min(a, (a.k, -coalesce(n, 0), a.l)) AS b FROM c LEFT JOIN d ON d.k = c.a.k AND d.l = c.a.l GROUP BY m), mp AS (SELECT a, b FROM c JOIN best ON c.m = best.m WHERE a <> b),
+        x AS (SELECT DISTINCT coalesce(u.b, {'k': s_k, 'l': s}) AS s, p, coalesce(v.b, {'k': o_k, 'l': o}) AS o, dt, lang, s = o AND s_k = o_k AS was FROM t LEFT JOIN mp u ON u.a.k = s_k AND u.a.l = s LEFT JOIN mp v ON v.a.k = o_k AND v.a.l = o WHERE p <> 'owl:sameAs')
+        SELECT p, count(*) AS n FROM (SELECT DISTINCT s, p, o, dt, lang FROM x WHERE s <> o OR was) GROUP BY p""",
+    "g11_minimise": W + "SELECT p, count(*) AS n FROM t a WHERE NOT (p = 'skos:related' AND s > o AND EXISTS (SELECT 1 FROM t b WHERE b.s = a.o AND b.s_k = a.o_k AND b.o = a.s AND b.o_k = a.s_k AND b.p = 'skos:related')) AND NOT (p = 'urn:x:v/partOf' AND EXISTS (SELECT 1 FROM t b WHERE b.s = a.o AND b.s_k = a.o_k AND b.o = a.s AND b.o_k = a.s_k AND b.p = 'urn:x:v/hasPart')) GROUP BY p",
+    "g15_schema": W + """, kind AS (SELECT DISTINCT s_k, s, o AS c FROM t WHERE p = 'rdf:type'), used AS (SELECT * FROM t WHERE p <> 'rdf:type' AND NOT regexp_matches(p, '^(rdf|rdfs|owl):')),
+        one AS (SELECT s_k, s, min(c) AS c FROM kind GROUP BY 1, 2 HAVING count(*) = 1), cp AS (SELECT DISTINCT c AS s, 'rdfs:Class' AS o FROM kind WHERE NOT regexp_matches(c, '^(rdf|rdfs|owl):') UNION ALL SELECT DISTINCT p, 'rdf:Property' FROM used)
+        SELECT s, 'rdf:type' AS p, o FROM cp UNION ALL SELECT s, 'rdfs:label', regexp_extract(s, '([^/#:]*)$', 1) FROM cp
+        UNION ALL SELECT p, 'rdfs:domain', max(c) FROM used u LEFT JOIN one ON u.s = one.s AND u.s_k = one.s_k GROUP BY p HAVING count(DISTINCT coalesce(c, '')) = 1 AND max(c) IS NOT NULL
+        UNION ALL SELECT p, 'rdfs:range', max(c) FROM (SELECT * FROM used WHERE o_k < 3) u LEFT JOIN one ON u.o = one.s AND u.o_k = one.s_k GROUP BY p HAVING count(DISTINCT coalesce(c, '')) = 1 AND max(c) IS NOT NULL""",
     "s14_ntriples_round_trip": W + "SELECT s, p, o_k, o, dt, lang FROM t",
 }
 

@@ -11,6 +11,14 @@ from quadloom import terms as t
 from quadloom.plans.algebra import RDF, XSD, Iri, Lit, Triple, Var
 from quadloom.terms import TERM, Val
 
+TOKEN_BREAK = r"[^\p{L}\p{N}]+"
+TOKEN_BUCKETS = 64
+
+
+def token_bucket(token: Column) -> Column:
+    return F.pmod(F.xxhash64(token), F.lit(TOKEN_BUCKETS)).cast("int")
+
+
 QUADS = "s struct<k:int,lex:string,dt:string,lang:string>, p string, o struct<k:int,lex:string,dt:string,lang:string>, g string, g_line bigint"
 
 
@@ -66,6 +74,7 @@ class QuadGraph(Graph):
     def __init__(self, quads: DataFrame, compact: dict[str, str] | None = None, merged: bool = False, predicate_counts: dict[str, int] | None = None, triples: DataFrame | None = None) -> None:
         self.quads, self.spark, self.compact, self.merged = quads, quads.sparkSession, compact or {}, merged
         self.predicate_counts = predicate_counts or {}
+        self.tokens: DataFrame | None = None  # token, s, p, o, bucket: where a store keeps an index of words
         self.triples = triples  # the union of all graphs, each triple once, where a store keeps it
 
     @classmethod
@@ -80,18 +89,28 @@ class QuadGraph(Graph):
     def store(self, path: str) -> QuadGraph:
         """Writes the graph for many queries: triples of the union and quads, each once, partitioned by predicate and sorted by subject.
 
-        Bound predicates then prune files, bound subjects row groups, and scans need no distinct.
+        Bound predicates then prune files, bound subjects row groups, and scans need no distinct. Beside them lie the number of
+        triples of each predicate, for the order of joins, and an index of the words of plain literals, for text search.
         """
         put = lambda df, name: df.repartition("p", F.pmod(F.xxhash64("s"), F.lit(16))).sortWithinPartitions("p", "s").write.partitionBy("p").parquet(f"{path}/{name}")
         put(self.quads.select("s", "p", "o").distinct(), "triples")
         put(self.quads.select("s", "p", "o", "g").distinct().withColumn("g_line", F.lit(None).cast("bigint")), "quads")
+        stored = self.spark.read.schema(QUADS).parquet(f"{path}/triples").select("s", "p", "o")
+        stored.groupBy("p").agg(F.count(F.lit(1)).alias("n")).write.parquet(f"{path}/counts")
+        literals = stored.where("o.k = 3 AND o.dt = ''")
+        tokens = literals.select(F.explode(F.array_distinct(F.transform(F.split("o.lex", TOKEN_BREAK), lambda w: F.lower(w)))).alias("token"), "s", "p", "o").where("token <> ''")
+        tokens = tokens.withColumn("bucket", token_bucket(F.col("token")))
+        tokens.repartition("bucket", F.pmod(F.xxhash64("s"), F.lit(16))).sortWithinPartitions("bucket", "token").write.partitionBy("bucket").parquet(f"{path}/tokens")
         return QuadGraph.open(self.spark, path, self.compact)
 
     @classmethod
     def open(cls, spark: SparkSession, path: str, compact: dict[str, str] | None = None) -> QuadGraph:
         cols = ["s", "p", "o", "g", "g_line"]
         read = lambda name, k: spark.read.schema(QUADS).parquet(f"{path}/{name}").select(*cols[:k])
-        return cls(read("quads", 5), compact, merged=True, triples=read("triples", 3))
+        out = cls(read("quads", 5), compact, merged=True, triples=read("triples", 3))
+        out.tokens = spark.read.schema(f"token string, s {TERM}, p string, o {TERM}, bucket int").parquet(f"{path}/tokens")
+        out._counted(spark.read.schema("p string, n bigint").parquet(f"{path}/counts"))
+        return out
 
     @classmethod
     def from_triples(cls, spark: SparkSession, triples: list[tuple], graph: str | None = "user") -> QuadGraph:
@@ -122,12 +141,16 @@ class QuadGraph(Graph):
         return n
 
     def with_statistics(self) -> QuadGraph:
-        """Counts per predicate, for the order of joins; the vocabulary is assumed to fit the driver (checked)."""
-        counts = self.quads.groupBy("p").count().limit(100_001).collect()
-        if len(counts) <= 100_000:
-            self.predicate_counts = {r["p"]: r["count"] for r in counts}
+        """Counts per predicate, for the order of joins."""
+        self._counted(self.quads.groupBy("p").agg(F.count(F.lit(1)).alias("n")))
         return self
 
+    def _counted(self, counts: DataFrame) -> None:
+        """The vocabulary is assumed to fit the driver; where it does not, joins are ordered by constants alone."""
+        rows = counts.limit(100_001).collect()
+        if len(rows) <= 100_000:
+            self.predicate_counts = {r.p: r.n for r in rows}
+
     def _of_graph(self, graph) -> DataFrame:
         q = self.quads
         if graph is None and self.triples is not None:

@@ -45,6 +45,10 @@ def sniff(name: str, head: str = "") -> str:
     return FORMATS.get(posixpath.splitext(base)[1], "turtle")
 
 
+def _points(texts: pd.Series) -> pd.Series:
+    return texts.str.replace(r"\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})", lambda m: chr(int(m.group(1) or m.group(2), 16)), regex=True)
+
+
 def unescape(c: Column) -> Column:
     r"""String escapes of N-Triples: backslash sequences by replacement, code points by a function only where there are any."""
     mark = "\u0001"
@@ -52,7 +56,7 @@ def unescape(c: Column) -> Column:
     plain = F.replace(plain, F.lit("\\\\"), F.lit(mark))
     for a, b in (("\\t", "\t"), ("\\n", "\n"), ("\\r", "\r"), ("\\b", "\b"), ("\\f", "\f"), ('\\"', '"'), ("\\'", "'")):
         plain = F.replace(plain, F.lit(a), F.lit(b))
-    points = F.udf(lambda s: None if s is None else re.sub(r"\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})", lambda m: chr(int(m.group(1) or m.group(2), 16)), s))
+    points = F.pandas_udf(_points, "string")
     plain = F.when(plain.rlike(r"\\[uU]"), points(plain)).otherwise(plain)
     return F.when(c.contains("\\"), F.replace(plain, F.lit(mark), F.lit("\\"))).otherwise(c)
 
@@ -69,6 +73,7 @@ def term(field: Column) -> Column:
 
 def lines_to_quads(lines: DataFrame, graph: str | None) -> DataFrame:
     """Lines (column value) of N-Triples or N-Quads. A line that is neither a statement, a comment nor blank is an error."""
+    ship(lines.sparkSession)
     rows = lines.where(~F.col("value").rlike(r"^\s*(#.*)?$"))
     good = F.when(F.col("value").rlike(LINE), F.col("value")).otherwise(F.raise_error(F.concat(F.lit("no statement: "), F.substring("value", 1, 200))))
     parts = rows.select(*[F.regexp_extract(good, LINE, k).alias(f"f{k}") for k in range(1, 5)])
@@ -155,16 +160,40 @@ class Library:
 
 # result sets
 def read_results(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
-    """SELECT results: CSV and TSV in parallel, JSON and XML documents by one reader. TERM structs but for CSV, which has strings."""
+    """SELECT results of a file or a folder of files, all with the same variables; JSON and XML documents one per task. TERM structs
+    but for CSV, which has strings."""
     kind = fmt or {"csv": "csv", "tsv": "tsv", "srj": "json", "json": "json", "srx": "xml", "xml": "xml"}[path.rsplit(".", 1)[-1].lower()]
     if kind == "csv":
         return spark.read.csv(path, header=True, multiLine=True, escape='"')
     if kind == "tsv":
         df = spark.read.csv(path, header=True, sep="\t", quote="")
         return df.select(*[F.when(F.length(F.col(f"`{c}`")) > 0, _tsv(F.col(f"`{c}`"))).alias(c.lstrip("?")) for c in df.columns])
-    text = "\n".join(r.value for r in spark.read.text(path, wholetext=True).toLocalIterator())
-    names, rows = _json_results(text) if kind == "json" else _xml_results(text)
-    return spark.createDataFrame(rows, ", ".join(f"`{n}` {t.TERM}" for n in names))
+    files = ship(spark).read.format("binaryFile").load(path)
+    names = _variables(files, kind)
+    parse = _json_results if kind == "json" else _xml_results
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for data in batch["content"]:
+                own, rows = parse(bytes(data).decode("utf-8"))
+                at = {n: i for i, n in enumerate(own)}
+                for lo in range(0, len(rows), 20_000):
+                    part = rows[lo : lo + 20_000]
+                    cell = lambda x: None if x is None else dict(zip(("k", "lex", "dt", "lang"), x))
+                    yield pd.DataFrame({n: [cell(r[at[n]]) if n in at else None for r in part] for n in names}, dtype=object)
+
+    return files.select("content").mapInPandas(run, ", ".join(f"`{n}` {t.TERM}" for n in names))
+
+
+def _variables(files: DataFrame, kind: str) -> list[str]:
+    """From the head of one document; only its beginning reaches the driver."""
+    for size in (1 << 16, 1 << 26):
+        head = bytes(files.select(F.substring("content", 1, size).alias("c")).first().c).decode("utf-8", "ignore")
+        if kind == "json" and (m := re.search(r'"vars"\s*:\s*(\[[^\]]*\])', head)):
+            return json.loads(m.group(1))
+        if kind == "xml" and (got := re.findall(r"<(?:\w+:)?variable\s+name=[\"']([^\"']*)", head)):
+            return got
+    raise ValueError("no head of results")
 
 
 def _tsv(c: Column) -> Column:

@@ -1,4 +1,6 @@
-"""Results and graphs to files. Line formats are written in parallel; documents stream through the driver row by row."""
+"""Results and graphs to files, all in parallel: rows become text in the executors, and a format that is a document becomes a folder
+of documents, each valid by itself; their names keep the order of the rows. ``json_results`` and ``xml_results`` stream one
+document through the driver, for answers over a connection."""
 
 from __future__ import annotations
 
@@ -6,11 +8,13 @@ import json
 from collections.abc import Callable, Iterator
 from xml.sax.saxutils import escape, quoteattr
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quadloom import terms as t
 from quadloom.plans.algebra import RDF
+from quadloom.runtime import ship
 
 WRITERS: dict[str, Callable] = {}
 
@@ -107,9 +111,48 @@ def _open(df: DataFrame, path: str, parts: Iterator[str]) -> None:
         out.close()
 
 
+def _documents(lines: DataFrame, path: str, head: str, foot: str, between: str = "") -> None:
+    """A folder of documents, one a partition: the head, the lines (column value), the foot."""
+
+    def wrap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = True
+        rows = lambda xs: pa.RecordBatch.from_arrays([pa.array(xs, pa.string())], names=["value"])
+        yield rows([head])
+        for batch in batches:
+            xs = batch.column(0).to_pylist()
+            if xs and between:
+                xs = [x if first and not i else between + x for i, x in enumerate(xs)]
+            first = first and not xs
+            yield rows(xs)
+        yield rows([foot])
+
+    ship(lines.sparkSession)
+    lines.select("value").mapInArrow(wrap, "value string").write.text(path)
+
+
+def _xml(c: Column) -> Column:
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("\r", "&#13;"), ("\n", "&#10;")):
+        c = F.replace(c, F.lit(a), F.lit(b))
+    return c
+
+
+def _blank(c: Column) -> Column:
+    return F.regexp_replace(c, "^_:", "")
+
+
 @writer("json", "application/sparql-results+json")
 def write_json(df: DataFrame, path: str) -> None:
-    _open(df, path, json_results(df))
+    if df.columns == ["answer"]:
+        return _open(df, path, json_results(df))
+    kind = lambda x: F.when(x["k"] == 1, "uri").when(x["k"] == 2, "bnode").otherwise("literal")
+    cells = []
+    for c in df.columns:
+        x = F.col(f"`{c}`")
+        lang = F.when((x["k"] == 3) & (x["lang"] != ""), x["lang"])
+        cell = F.struct(kind(x).alias("type"), F.when(x["k"] == 2, _blank(x["lex"])).otherwise(x["lex"]).alias("value"), lang.alias("xml:lang"), F.when(lang.isNull() & (x["k"] == 3) & (x["dt"] != ""), x["dt"]).alias("datatype"))
+        cells.append(F.when(x.isNotNull(), cell).alias(c))
+    lines = _terms(df).select(F.to_json(F.struct(*cells), {"ignoreNullFields": "true"}).alias("value"))
+    _documents(lines, path, '{"head":' + json.dumps({"vars": df.columns}) + ',"results":{"bindings":[', "]}}", ",")
 
 
 def json_results(df: DataFrame) -> Iterator[str]:
@@ -133,9 +176,26 @@ def json_results(df: DataFrame) -> Iterator[str]:
     yield "]}}"
 
 
+def _xml_literal(x: Column) -> Column:
+    tag = F.when(x["lang"] != "", F.concat(F.lit(' xml:lang="'), _xml(x["lang"]), F.lit('"'))).when(x["dt"] != "", F.concat(F.lit(' datatype="'), _xml(x["dt"]), F.lit('"'))).otherwise("")
+    return F.concat(F.lit("<literal"), tag, F.lit(">"), _xml(x["lex"]), F.lit("</literal>"))
+
+
+def _around(a: str, c: Column, b: str) -> Column:
+    return F.concat(F.lit(a), c, F.lit(b))
+
+
 @writer("xml", "application/sparql-results+xml")
 def write_xml(df: DataFrame, path: str) -> None:
-    _open(df, path, xml_results(df))
+    if df.columns == ["answer"]:
+        return _open(df, path, xml_results(df))
+    cells = []
+    for c in df.columns:
+        x = F.col(f"`{c}`")
+        body = F.when(x["k"] == 1, _around("<uri>", _xml(x["lex"]), "</uri>")).when(x["k"] == 2, _around("<bnode>", _xml(_blank(x["lex"])), "</bnode>")).otherwise(_xml_literal(x))
+        cells.append(F.when(x.isNull(), "").otherwise(_around(f"<binding name={quoteattr(c)}>", body, "</binding>")))
+    head = '<?xml version="1.0"?>\n<sparql xmlns="http://www.w3.org/2005/sparql-results#">\n<head>' + "".join(f"<variable name={quoteattr(c)}/>" for c in df.columns) + "</head>\n<results>"
+    _documents(_terms(df).select(_around("<result>", F.concat(*cells), "</result>").alias("value")), path, head, "</results>\n</sparql>")
 
 
 def xml_results(df: DataFrame, ordered: bool = False, distinct: bool = False) -> Iterator[str]:
@@ -166,47 +226,23 @@ def xml_results(df: DataFrame, ordered: bool = False, distinct: bool = False) ->
 @writer("table-xml")
 def write_table_xml(df: DataFrame, path: str) -> None:
     """The XML table of path-expression queries: <null/> for unbound."""
-
-    def parts() -> Iterator[str]:
-        yield '<?xml version="1.0"?>\n<tableQueryResult>\n<header>' + "".join(f"<columnName>{escape(c)}</columnName>" for c in df.columns) + "</header>\n"
-        for r in _terms(df).toLocalIterator(prefetchPartitions=True):
-            cells = []
-            for x in r:
-                if x is None:
-                    cells.append("<null/>")
-                elif x.k < 3:
-                    cells.append(f"<uri>{escape(x.lex)}</uri>" if x.k == 1 else f"<bNode>{escape(x.lex)}</bNode>")
-                else:
-                    tag = f" xml:lang={quoteattr(x.lang)}" if x.lang else f" datatype={quoteattr(x.dt)}" if x.dt else ""
-                    cells.append(f"<literal{tag}>{escape(x.lex)}</literal>")
-            yield f"<tuple>{''.join(cells)}</tuple>\n"
-        yield "</tableQueryResult>\n"
-
-    _open(df, path, parts())
+    cells = []
+    for c in df.columns:
+        x = F.col(f"`{c}`")
+        cells.append(F.when(x.isNull(), "<null/>").when(x["k"] == 1, _around("<uri>", _xml(x["lex"]), "</uri>")).when(x["k"] == 2, _around("<bNode>", _xml(x["lex"]), "</bNode>")).otherwise(_xml_literal(x)))
+    head = '<?xml version="1.0"?>\n<tableQueryResult>\n<header>' + "".join(f"<columnName>{escape(c)}</columnName>" for c in df.columns) + "</header>"
+    _documents(_terms(df).select(_around("<tuple>", F.concat(*cells), "</tuple>").alias("value")), path, head, "</tableQueryResult>")
 
 
 @writer("rdfxml", "application/rdf+xml")
 def write_rdfxml(triples: DataFrame, path: str) -> None:
-    def parts() -> Iterator[str]:
-        yield f'<?xml version="1.0"?>\n<rdf:RDF xmlns:rdf="{RDF}">\n'
-        for r in triples.select("s", "p", "o").toLocalIterator(prefetchPartitions=True):
-            at = max(r.p.rfind("#"), r.p.rfind("/"), r.p.rfind(":")) + 1
-            about = f"rdf:about={quoteattr(r.s.lex)}" if r.s.k == 1 else f"rdf:nodeID={quoteattr(_node(r.s.lex))}"
-            if r.o.k == 1:
-                body = f" rdf:resource={quoteattr(r.o.lex)}/>"
-            elif r.o.k == 2:
-                body = f" rdf:nodeID={quoteattr(_node(r.o.lex))}/>"
-            else:
-                tag = f" xml:lang={quoteattr(r.o.lang)}" if r.o.lang else f" rdf:datatype={quoteattr(r.o.dt)}" if r.o.dt else ""
-                body = f"{tag}>{escape(r.o.lex)}</n:{r.p[at:]}>"
-            yield f"<rdf:Description {about}><n:{r.p[at:]} xmlns:n={quoteattr(r.p[:at])}{body}</rdf:Description>\n"
-        yield "</rdf:RDF>\n"
-
-    _open(triples, path, parts())
-
-
-def _node(lex: str) -> str:
-    return "".join(c if c.isalnum() else "_" for c in lex.removeprefix("_:"))
+    o, node = F.col("o"), lambda c: F.regexp_replace(_blank(c), r"[^\p{L}\p{N}]", "_")
+    space, name = F.regexp_extract("p", r"^(.*[#/:])?(.*)$", 1), F.regexp_extract("p", r"^(.*[#/:])?(.*)$", 2)
+    about = F.when(F.col("s.k") == 2, _around('rdf:nodeID="', node(F.col("s.lex")), '"')).otherwise(_around('rdf:about="', _xml(F.col("s.lex")), '"'))
+    tag = F.when(o["lang"] != "", _around(' xml:lang="', _xml(o["lang"]), '"')).when(o["dt"] != "", _around(' rdf:datatype="', _xml(o["dt"]), '"')).otherwise("")
+    body = F.when(o["k"] == 1, _around(' rdf:resource="', _xml(o["lex"]), '"/>')).when(o["k"] == 2, _around(' rdf:nodeID="', node(o["lex"]), '"/>')).otherwise(F.concat(tag, F.lit(">"), _xml(o["lex"]), F.lit("</n:"), name, F.lit(">")))
+    line = F.concat(F.lit("<rdf:Description "), about, F.lit("><n:"), name, F.lit(' xmlns:n="'), _xml(space), F.lit('"'), body, F.lit("</rdf:Description>"))
+    _documents(triples.select(line.alias("value")), path, f'<?xml version="1.0"?>\n<rdf:RDF xmlns:rdf="{RDF}">', "</rdf:RDF>")
 
 
 def rdf_json(triples: DataFrame) -> DataFrame:
@@ -226,13 +262,10 @@ def write_rdf_json(triples: DataFrame, path: str) -> None:
 
 @writer("dot")
 def write_dot(triples: DataFrame, path: str) -> None:
-    """GraphViz text with shortened labels; meant for graphs that fit a picture."""
-
-    def parts() -> Iterator[str]:
-        yield "digraph G {\n"
-        short = lambda x: json.dumps(x[:40] + ("…" if len(x) > 40 else ""), ensure_ascii=False)
-        for r in triples.select("s", "p", "o").toLocalIterator():
-            yield f"  {short(r.s.lex)} -> {short(r.o.lex)} [label={short(r.p.rsplit('/', 1)[-1].rsplit('#', 1)[-1])}];\n"
-        yield "}\n"
+    """GraphViz text with shortened labels, a bag (rdf:Bag) as a box of its members; a folder of graphs, one a partition."""
+    from quadloom.operators.graphlib import truncate
 
-    _open(triples, path, parts())
+    short = lambda c: _quote(truncate(c, 40))
+    bag = F.col("o.lex").isin("rdf:Bag", RDF + "Bag")
+    edge = F.concat(F.lit("  "), short(F.col("s.lex")), F.lit(" -> "), short(F.col("o.lex")), F.lit(" [label="), short(F.regexp_extract("p", r"([^/#:]*)$", 1)), F.lit("];"))
+    _documents(triples.select(F.when(bag, F.concat(F.lit("  "), short(F.col("s.lex")), F.lit(" [shape=box];"))).otherwise(edge).alias("value")), path, "digraph G {", "}")

@@ -3,6 +3,7 @@
 import gzip
 import io
 import json
+import xml.etree.ElementTree as ET
 import tarfile
 import zipfile
 
@@ -85,7 +86,11 @@ def test_result_formats_round_trip(spark, tmp_path):
     writers.write(all_triples(g), str(tmp_path / "g.rdf"), "rdfxml")
     assert {x[2] for x in flat(readers.load(spark, str(tmp_path / "g.rdf")).quads)} >= {"5", 'x,"y"\n<&>'}
     writers.write(df, str(tmp_path / "t.xml"), "table-xml")
-    assert "<null/>" in (tmp_path / "t.xml").read_text()
+    for folder in ("t.xml", "g.rdf", "r.srx"):  # every part is a document by itself
+        parts = [p.read_text() for p in (tmp_path / folder).glob("part-*")]
+        assert parts and all(ET.fromstring(x) is not None for x in parts)
+    assert "<null/>" in "".join(p.read_text() for p in (tmp_path / "t.xml").glob("part-*"))
+    assert all(json.loads(p.read_text())["head"] for p in (tmp_path / "r.srj").glob("part-*"))
     writers.write(Engine(g).sparql("ASK { ?s ?p ?o }"), str(tmp_path / "ask.json"), "json")
     assert json.loads((tmp_path / "ask.json").read_text())["boolean"] is True
     with pytest.raises(ValueError):
