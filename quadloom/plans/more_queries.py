@@ -28,6 +28,10 @@ STAR: dict[str, tuple[str, str]] = {
         "WITH a AS (SELECT c_custkey, o_orderkey, o_orderpriority FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'P' WHERE c_mktsegment = 'BUILDING') SELECT 'urn:t:customer/' || c_custkey AS c, 'urn:t:orders/' || o_orderkey AS o FROM a WHERE CASE WHEN o_orderkey IS NULL THEN NOT EXISTS (SELECT 1 FROM orders WHERE o_orderpriority = '1-URGENT') ELSE o_orderpriority <> '1-URGENT' END",
     ),
     "j11_optional": (
+        "SELECT ?c ?o ?p { ?c :c_mktsegment 'BUILDING' ; :c_acctbal ?b FILTER(?b > 9500) OPTIONAL { ?o :o_custkey ?c ; :o_orderstatus 'P' } OPTIONAL { ?o :o_totalprice ?p FILTER(?p > 440000) } }",
+        "WITH a AS (SELECT c_custkey, o_orderkey FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'P' WHERE c_mktsegment = 'BUILDING' AND c_acctbal > 9500) SELECT 'urn:t:customer/' || c_custkey AS c, 'urn:t:orders/' || coalesce(a.o_orderkey, u.o_orderkey) AS o, o_totalprice AS p FROM a LEFT JOIN orders u ON (a.o_orderkey IS NULL OR a.o_orderkey = u.o_orderkey) AND o_totalprice > 440000",
+    ),
+    "j11_theta_optional": (
         "SELECT ?c ?o ?p { ?c :c_mktsegment 'BUILDING' ; :c_acctbal ?b FILTER(?b > 9000) OPTIONAL { ?o :o_custkey ?c ; :o_orderstatus 'P' } OPTIONAL { ?o :o_totalprice ?p FILTER(?p > 200000 + ?b) } }",
         "WITH a AS (SELECT c_custkey, c_acctbal AS b, o_orderkey FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'P' WHERE c_mktsegment = 'BUILDING' AND c_acctbal > 9000) SELECT 'urn:t:customer/' || c_custkey AS c, 'urn:t:orders/' || coalesce(a.o_orderkey, u.o_orderkey) AS o, o_totalprice AS p FROM a LEFT JOIN orders u ON (a.o_orderkey IS NULL OR a.o_orderkey = u.o_orderkey) AND o_totalprice > 200000 + b",
     ),
