@@ -25,6 +25,18 @@ class Engine:
         self.endpoints = endpoints or {}
         self.functions: dict[str, Callable] = dict(property_functions.REGISTRY)
 
+    def with_prefix(self, prefix: str, iri: str) -> Engine:
+        """A new engine that knows a further prefix, or another IRI for it."""
+        return self._like({**self.prefixes, prefix: iri})
+
+    def without_prefix(self, prefix: str) -> Engine:
+        return self._like({k: v for k, v in self.prefixes.items() if k != prefix})
+
+    def _like(self, prefixes: dict[str, str]) -> Engine:
+        out = Engine(self.graph, prefixes, self.base, self.endpoints)
+        out.functions = self.functions
+        return out
+
     def compiler(self, entail: str = "none") -> Compiler:
         graph = entailment.apply(self.graph, entail) if entail != "none" else self.graph
         return Compiler(graph, self.base, self.endpoints, self.functions, self.graph)

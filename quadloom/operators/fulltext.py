@@ -96,8 +96,30 @@ def needed(tree) -> set[str]:
     return set()
 
 
+# Endings of inflected words by language.
+ENDINGS = {
+    "da": "erne|ene|ede|er|en|et|e|s", "de": "ern|em|en|er|es|e|n|s", "es": "amientos?|mente|aciones|ación|os|as|es|o|a|e|s", "fr": "issements?|ements?|euses?|eaux|aux|ées?|és|es|er|e|s",
+    "it": "amenti|amento|mente|azioni|azione|i|e|o|a", "nl": "heden|en|je|s|e", "no": "erne|ene|ede|er|en|et|e|s", "pt": "amentos?|mente|ações|ação|os|as|es|o|a|e|s", "sv": "arna|erna|orna|ar|er|or|en|et|n|t|a|e|s",
+    "pl": "ami|ach|ów|om|ie|ę|ą|y|i|e|a|o|u", "cs": "ami|ách|ům|ou|ém|é|ý|í|y|i|e|a|o|u", "ru": "ами|ями|ах|ях|ов|ев|ой|ый|ий|ая|ое|ые|ом|ем|ы|и|е|а|я|о|у|ю|ь",
+}
+_STEM_FROM = 5  # shorter words stay whole
+
+
+def stems_alike(word: Column, query: str, lang: Column | None) -> Column:
+    """Whether a word of a text and one of the query have one stem, by the endings of the text's language; English where it names
+    none of ENDINGS."""
+    out = stem(word) == stem(F.lit(query))
+    if lang is None:
+        return out
+    for code, endings in ENDINGS.items():
+        short = lambda w: F.when(F.length(w) >= _STEM_FROM, F.regexp_replace(w, f"(?:{endings})$", "")).otherwise(w)  # noqa: B023, E731
+        own = (F.lower(lang) == code) | F.lower(lang).startswith(code + "-")
+        out = F.when(own, short(word) == short(F.lit(query))).otherwise(out)
+    return out
+
+
 def stem(word: Column) -> Column:
-    """A light suffix stripper for lower-case words; applied alike to query and text."""
+    """A light suffix stripper for lower-case English words; applied alike to query and text."""
     w = F.regexp_replace(word, r"(?:'s|’s)$", "")
     w = F.when((F.length(w) > 5), F.regexp_replace(w, r"(ational|ization|fulness|ousness|iveness)$", "")).otherwise(w)
     w = F.when(F.length(w) > 4, F.regexp_replace(w, r"(ies)$", "y")).otherwise(w)
@@ -135,7 +157,7 @@ def condition(tree, text: Column, lang: Column | None = None, only: str = "") ->
             case ("word", w, "i"):
                 return F.exists(tokens, lambda x: F.lower(x) == w.lower())
             case ("word", w, "s"):
-                return F.exists(tokens, lambda x: stem(F.lower(x)) == stem(F.lit(w.lower())))
+                return F.exists(tokens, lambda x: stems_alike(F.lower(x), w.lower(), lang))
             case ("word", w, "S"):
                 return F.exists(tokens, lambda x: F.soundex(x) == F.soundex(F.lit(w)))
         raise TypeError(f"no text query: {x!r}")

@@ -71,6 +71,7 @@ STATEMENTS: dict[str, tuple[str, str]] = {
     "b8_datatype": ("SELECT ?d (COUNT(*) AS ?n) { ?s v:price ?o BIND(DATATYPE(?o) AS ?d) } GROUP BY ?d", W + f"SELECT CASE WHEN lang <> '' THEN '{RDF}langString' WHEN dt = '' THEN '{XSD}string' ELSE dt END AS d, count(*) AS n FROM t WHERE p = 'urn:x:v/price' GROUP BY 1"),
     "o2_mixed_sort": ("SELECT ?o { ?s v:price ?o } ORDER BY ?o LIMIT 300", W + f"SELECT o FROM (SELECT o, {NUM} AS v FROM t WHERE p = 'urn:x:v/price') ORDER BY v IS NULL, v, o LIMIT 300"),
     "t2_prefix": ('SELECT ?s ?o { ?s txt:match (rdfs:label "^The" ?o) }', W + "SELECT s, o FROM t WHERE p = 'rdfs:label' AND o_k = 3 AND dt = '' AND starts_with(o, 'The')"),
+    "t3_stem": ('SELECT ?s ?o { ?s txt:match (rdfs:label "Briefen/s"@de ?o) }', W + "SELECT s, o FROM t WHERE p = 'rdfs:label' AND o_k = 3 AND dt = '' AND (lower(lang) = 'de' OR lower(lang) LIKE 'de-%') AND list_contains(list_transform(regexp_split_to_array(lower(o), '[^\\p{L}\\p{N}]+'), lambda w: CASE WHEN length(w) >= 5 THEN regexp_replace(w, '(ern|em|en|er|es|e|n|s)$', '') ELSE w END), 'brief')"),
     "t4_or_groups": ('SELECT ?s ?o { ?s txt:match (rdfs:label "(mill OR museum/i) letters" ?o) }', W + "SELECT s, o FROM t WHERE p = 'rdfs:label' AND o_k = 3 AND dt = '' AND (list_contains(regexp_split_to_array(o, '[^\\p{L}\\p{N}]+'), 'mill') OR list_contains(regexp_split_to_array(lower(o), '[^\\p{L}\\p{N}]+'), 'museum')) AND list_contains(regexp_split_to_array(o, '[^\\p{L}\\p{N}]+'), 'letters')"),
     "t6_language": ('SELECT ?s ?o { ?s txt:match (rdfs:label "museum/i"@en ?o) }', W + "SELECT s, o FROM t WHERE p = 'rdfs:label' AND o_k = 3 AND dt = '' AND list_contains(regexp_split_to_array(lower(o), '[^\\p{L}\\p{N}]+'), 'museum') AND (lower(lang) = 'en' OR lower(lang) LIKE 'en-%')"),
 }
@@ -416,7 +417,7 @@ def _results(fmt: str, ending: str):
         df = statements(spark, d).sparql("SELECT ?s ?o { ?s rdfs:label ?o }", terms=True)
         path = _file(spark, f"r.{ending}")
         writers.write(df, path, fmt)
-        back = readers.read_results(spark, path)
+        back = readers.read_results(spark, path, fmt)
         return back.select(F.col("s.lex").alias("s"), F.col("o.lex").alias("o"), F.col("o.lang").alias("lang"))
 
     return run
@@ -482,7 +483,7 @@ FUNCTIONS |= {
     "u2_delete_data": _after("DELETE DATA { <urn:x:v/none> v:none 1 . GRAPH <urn:x:g/set01> { <urn:x:v/none> v:none 2 } }", "SELECT ?p (COUNT(*) AS ?n) { ?s ?p ?o } GROUP BY ?p"),
     "u5_using": _after("INSERT { GRAPH <urn:g2> { ?s v:copied ?o } } USING <urn:x:g/set01> WHERE { ?s v:subject ?o }", "SELECT (COUNT(*) AS ?n) { ?s v:copied ?o }"),
     "u6_add": _after("ADD <urn:x:g/set01> TO <urn:g2>", _BY_GRAPH), "u7_move": _after("MOVE <urn:x:g/set01> TO <urn:g2>", _BY_GRAPH), "u11_drop": _after("DROP GRAPH <urn:x:g/set01>", _BY_GRAPH),
-    "k1_xml": _results("xml", "srx"), "k2_json": _results("json", "srj"), "k3_tsv": _results("tsv", "tsv"),
+    "k4_table_xml": _results("table-xml", "xml"), "k1_xml": _results("xml", "srx"), "k2_json": _results("json", "srj"), "k3_tsv": _results("tsv", "tsv"),
     "k6_turtle": _loaded("turtle-canonical", "g.nt", None), "k7_rdfxml": _loaded("rdfxml", "g.rdf", "rdfxml"), "s12_path_load": _loaded("ntriples", "g.nt", "ntriples"),
 }
 
@@ -559,7 +560,7 @@ FUNCTION_SQL = {
     "u13_remove_uploaded": _QUADS + "SELECT p_lex AS p, count(*) AS n FROM q WHERE p_lex <> 'urn:x:v/maker' GROUP BY 1",
     "u17_history": W + ", m AS (SELECT count(*) AS n FROM t WHERE p = 'urn:x:v/maker' AND o_k < 3) SELECT k, 'urn:x:v/made' AS p, n FROM m, (VALUES ('first'), ('third'), ('now')) v(k)",
     "k3_csv": W + "SELECT s, o FROM t WHERE p = 'rdfs:label'",
-    "k1_xml": W + _LABELS, "k2_json": W + _LABELS, "k3_tsv": W + _LABELS,
+    "k1_xml": W + _LABELS, "k4_table_xml": W + _LABELS, "k2_json": W + _LABELS, "k3_tsv": W + _LABELS,
     "k6_turtle": _LOADED, "k7_rdfxml": _LOADED, "s12_path_load": _LOADED,
     "s16_library": W + "SELECT CASE p WHEN 'rdfs:subClassOf' THEN 'urn:lib/a' ELSE 'urn:lib/b' END AS g, count(*) AS n FROM t WHERE p IN ('rdfs:subClassOf', 'skos:broader') GROUP BY 1",
     "u9_load": W + "SELECT 'urn:g9' AS g, count(*) AS n FROM t WHERE p = 'urn:x:v/maker'",

@@ -170,7 +170,7 @@ def read_results(spark: SparkSession, path: str, fmt: str | None = None) -> Data
         return df.select(*[F.when(F.length(F.col(f"`{c}`")) > 0, _tsv(F.col(f"`{c}`"))).alias(c.lstrip("?")) for c in df.columns])
     files = ship(spark).read.format("binaryFile").load(path)
     names = _variables(files, kind)
-    parse = _json_results if kind == "json" else _xml_results
+    parse = {"json": _json_results, "xml": _xml_results, "table-xml": table_results}[kind]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -191,6 +191,8 @@ def _variables(files: DataFrame, kind: str) -> list[str]:
         head = bytes(files.select(F.substring("content", 1, size).alias("c")).first().c).decode("utf-8", "ignore")
         if kind == "json" and (m := re.search(r'"vars"\s*:\s*(\[[^\]]*\])', head)):
             return json.loads(m.group(1))
+        if kind == "table-xml" and (got := re.findall(r"<columnName>([^<]*)</columnName>", head)):
+            return got
         if kind == "xml" and (got := re.findall(r"<(?:\w+:)?variable\s+name=[\"']([^\"']*)", head)):
             return got
     raise ValueError("no head of results")
@@ -215,6 +217,21 @@ def _json_results(text: str) -> tuple[list[str], list[tuple]]:
     return names, [tuple(cell(b.get(n)) for n in names) for b in doc["results"]["bindings"]]
 
 
+def table_results(text: str) -> tuple[list[str], list[tuple]]:
+    """The XML table of path-expression queries: names and rows of terms."""
+    root = ET.fromstring(text)
+    rows = []
+    for r in root.iter("tuple"):
+        cells = []
+        for x in r:
+            k = {"uri": 1, "bNode": 2, "literal": 3}.get(x.tag)
+            body = x.text or ""
+            dt = x.get("datatype", "")
+            cells.append(None if k is None else (k, f"_:{body}" if k == 2 and not body.startswith("_:") else body, "" if dt in t.STRINGS else dt, x.get("{http://www.w3.org/XML/1998/namespace}lang", "")))
+        rows.append(tuple(cells))
+    return [e.text or "" for e in root.iter("columnName")], rows
+
+
 def _xml_results(text: str) -> tuple[list[str], list[tuple]]:
     root = ET.fromstring(text)
     local = lambda e: e.tag.rsplit("}", 1)[-1]

@@ -120,3 +120,39 @@ def test_spooled_tables_can_be_released(spark):
     runtime.release()
     with pytest.raises(Exception):
         df.count()
+
+
+def test_a_repository_behind_http(spark):
+    from quadloom.sources.client import Repository
+
+    asked = []
+    table = '<?xml version="1.0"?><tableQueryResult><header><columnName>x</columnName><columnName>y</columnName></header><tuple><uri>urn:a</uri><literal xml:lang="en">A &amp; B</literal></tuple><tuple><bNode>n1</bNode><null/></tuple></tableQueryResult>'
+    rdf = f'<?xml version="1.0"?><rdf:RDF xmlns:rdf="{RDF}" xmlns:e="urn:e#"><rdf:Description rdf:about="urn:a"><e:p>v</e:p></rdf:Description></rdf:RDF>'
+    replies = {"evaluateTableQuery": table, "evaluateGraphQuery": rdf, "extractRDF": rdf, "listRepositories": '<repositorylist><repository id="r" readable="true" writeable="false"><title>R</title></repository></repositorylist>'}
+
+    def fetch(path, fields, method):
+        asked.append((path, fields, method))
+        return replies.get(path, "").encode()
+
+    r = Repository(spark, "http://host", "r", fetch)
+    assert [(tuple(x.x), x.y and tuple(x.y)) for x in r.table_query("SELECT X, Y FROM {X} <p> {Y}").collect()] == [((1, "urn:a", "", ""), (3, "A & B", "", "en")), ((2, "_:n1", "", ""), None)]
+    assert flat(r.graph_query("CONSTRUCT * FROM {X} <p> {Y}").quads) == {("urn:a", "urn:e#p", "v")} == flat(r.extract(explicit_only=True).quads)
+    assert r.repositories() == [{"id": "r", "title": "R", "readable": "true", "writeable": "false"}]
+    r.login("me", "secret")
+    r.upload("<urn:a> <urn:p> <urn:b> .", "ntriples")
+    r.remove(subject="<urn:a>")
+    r.clear()
+    assert [(p, m) for p, _, m in asked[-4:]] == [("login", "POST"), ("uploadData", "POST"), ("removeStatements", "POST"), ("clearRepository", "POST")] and asked[-2][1] == {"repository": "r", "resultFormat": "xml", "subject": "<urn:a>"}
+
+
+def test_prefixes_stems_and_silent_services(spark):
+    e = Engine(graph(spark, ("urn:a", "urn:l", Lit("alte Briefe", "", "de")), ("urn:b", "urn:l", Lit("old letters", "", "en")), ("urn:c", "urn:l", Lit("Robert", "", "en"))), endpoints={"urn:ep": graph(spark, ("urn:a", "urn:p", "urn:z"))})
+    assert e.with_prefix("q", "urn:").sparql("ASK { q:a q:l ?x }").first()[0]
+    with pytest.raises(Exception):
+        e.with_prefix("q", "urn:").without_prefix("q").sparql("ASK { q:a q:l ?x }")
+    who = lambda q: {r.s for r in e.sparql(f'SELECT ?s {{ ?s txt:match "{q}" }}').collect()}
+    assert who("Briefen/s") == {"urn:a"} and who("letter/s") == {"urn:b"} and who("Rupert/S") == {"urn:c"}
+    bad = "SELECT ?s { ?s <urn:l> ?l SERVICE SILENT <urn:ep> { ?s ?p ?o FILTER(<urn:nothing>(?o)) } }"
+    assert e.sparql(bad).count() == 3
+    with pytest.raises(Exception):
+        e.sparql(bad.replace("SILENT ", "")).collect()
