@@ -162,6 +162,27 @@ def test_graph_library(spark):
     assert graphlib.smash(t).where(F.col("p").endswith("_1")).count() == 1
 
 
+@pytest.mark.parametrize("held", [0, 50_000])
+def test_closures_in_rounds_and_by_search(spark, held):
+    from quadloom.operators.paths import closure
+
+    edges = [(i, i + 1) for i in range(20)] + [(20, 5), (30, 31), (31, 31), (None, 3)]
+    got = [tuple(r) for r in closure(spark.createDataFrame(edges, "s int, o int"), held_edges=held).collect() if r.s is not None]
+    down = {}
+    for a, b in edges:
+        down.setdefault(a, set()).add(b)
+    want = set()
+    for a in range(40):
+        front = set(down.get(a, ()))
+        while front:
+            want |= {(a, x) for x in front}
+            front = {y for x in front for y in down.get(x, ()) if (a, y) not in want}
+    assert len(got) == len(want) and set(got) == want
+    assert closure(spark.createDataFrame([], "s int, o int"), held_edges=held).count() == 0
+    terms = spark.createDataFrame([(("a", 1), ("b", 1)), (("b", 1), ("a", 2))], "s struct<x:string,k:int>, o struct<x:string,k:int>")
+    assert {(tuple(r.s), tuple(r.o)) for r in closure(terms, held_edges=held).collect()} == {(("a", 1), ("b", 1)), (("b", 1), ("a", 2)), (("a", 1), ("a", 2))}
+
+
 def test_closures(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(40, 0), (50, 51)], "s int, o int")
     assert reach(edges.where("s = 50"), edges).count() == 1 and reach(edges, edges).count() == 41 * 41 + 1
