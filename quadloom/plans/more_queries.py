@@ -47,7 +47,7 @@ STAR: dict[str, tuple[str, str]] = {
     "a11_sample": ("SELECT ?x (SAMPLE(?r) AS ?s) { ?n :n_regionkey ?x . ?x :r_name ?r } GROUP BY ?x", "SELECT 'urn:t:region/' || n_regionkey AS x, min(r_name) AS s FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1"),
     "a10_avg_distinct": ("SELECT (ROUND(AVG(DISTINCT ?s) * 100) AS ?m) { ?p :p_size ?s }", "SELECT CAST(floor(avg(DISTINCT p_size) * 100 + 0.5) AS BIGINT) AS m FROM part"),
     "o6_reduced": ("SELECT REDUCED ?r ?n { ?k :n_regionkey ?r ; :n_name ?n }", "SELECT 'urn:t:region/' || n_regionkey AS r, n_name AS n FROM nation"),
-    "x3_unary": ("SELECT ?p (-?s AS ?m) (+?s AS ?q) { ?p :p_size ?s }", "SELECT 'urn:t:part/' || p_partkey AS p, CAST(-p_size AS BIGINT) AS m, CAST(p_size AS BIGINT) AS q FROM part"),
+    "x3_unary": ("SELECT ?p (-?s AS ?m) (+?s AS ?q) { ?p :p_size ?s }", "SELECT 'urn:t:part/' || p_partkey AS p, -p_size AS m, p_size AS q FROM part"),
     "b6_str": ("SELECT (STR(?k) AS ?a) (STR(?n) AS ?b) { ?k :n_name ?n }", "SELECT 'urn:t:nation/' || n_nationkey AS a, n_name AS b FROM nation"),
     "b9_strdt": ("SELECT ?n (STRDT(STR(?s), xsd:integer) + 1 AS ?i) { ?p :p_name ?n ; :p_size ?s }", "SELECT p_name AS n, CAST(p_size + 1 AS DOUBLE) AS i FROM part"),
     "b10_strlang": ("SELECT (LANG(STRLANG(?n, 'en')) AS ?l) (STR(STRLANG(?n, 'en')) AS ?t) { ?k :n_name ?n }", "SELECT 'en' AS l, n_name AS t FROM nation"),
