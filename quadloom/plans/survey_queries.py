@@ -332,7 +332,10 @@ FUNCTION_SQL = {
     "a18_answer_pairs": "SELECT r, n FROM (SELECT r_name AS r, n_name AS n, row_number() OVER (PARTITION BY r_name ORDER BY n_name) AS i, dense_rank() OVER (ORDER BY r_name) AS k FROM nation JOIN region ON n_regionkey = r_regionkey) WHERE i <= 2 AND k <= 3",
     "t8_autocomplete": W + "SELECT o AS text, count(*) AS n, max(p = 'rdfs:label') AS label FROM t WHERE o_k = 3 AND starts_with(lower(o), 'the l') GROUP BY 1 ORDER BY label DESC, n DESC, text LIMIT 10",
     "a20_token_frequencies": W + "SELECT token, count(*) AS n FROM (SELECT lower(unnest(list_filter(regexp_split_to_array(o, '[^\\p{L}\\p{N}]+'), lambda x: x <> ''))) AS token FROM t WHERE p = 'rdfs:label') GROUP BY 1",
-    "g8_abstract": W + ", k AS (SELECT s_k, s, min(o) AS c FROM t WHERE p = 'rdf:type' GROUP BY 1, 2), m AS (SELECT coalesce(a.c, t.s) AS s, t.p, coalesce(b.c, t.o) AS o, t.s = t.o AS was FROM t LEFT JOIN k a ON t.s = a.s AND t.s_k = a.s_k LEFT JOIN k b ON t.o = b.s AND t.o_k = b.s_k WHERE t.o_k < 3 AND t.p <> 'rdf:type') SELECT DISTINCT s, p, o FROM m WHERE s <> o OR was",
+    "g8_abstract": W + """, k AS (SELECT s_k, s, min(o) AS c FROM t WHERE p = 'rdf:type' AND o_k < 3 GROUP BY 1, 2),
+        m AS (SELECT CASE WHEN a.c IS NULL THEN t.s_k ELSE 1 END AS sk, coalesce(a.c, t.s) AS s, t.p, CASE WHEN b.c IS NULL THEN t.o_k ELSE 1 END AS ok, coalesce(b.c, t.o) AS o, dt, lang, t.s = t.o AND t.s_k = t.o_k AS was
+            FROM t LEFT JOIN k a ON t.s = a.s AND t.s_k = a.s_k LEFT JOIN k b ON t.o = b.s AND t.o_k = b.s_k WHERE NOT (t.p = 'rdf:type' AND t.o_k < 3))
+        SELECT s, p, o FROM (SELECT DISTINCT sk, s, p, ok, o, dt, lang FROM m WHERE sk <> ok OR s <> o OR was)""",
     "g16_labels": W + ", n AS (SELECT DISTINCT o_k, o FROM t WHERE p = 'urn:x:v/maker'), l AS (SELECT s_k, s, arg_min(o, (CASE WHEN lower(lang) = 'en' THEN 0 WHEN lower(lang) LIKE 'en-%' THEN 1 WHEN lang = '' THEN 2 ELSE 3 END, o)) AS label FROM t WHERE p = 'rdfs:label' AND o_k = 3 GROUP BY 1, 2) SELECT n.o AS node, coalesce(label, CASE WHEN n.o_k = 3 THEN n.o ELSE regexp_extract(n.o, '([^/#:]*)$', 1) END) AS label FROM n LEFT JOIN l ON n.o = l.s AND n.o_k = l.s_k",
     "w4_cardinality": W + "SELECT s, count(*) AS n FROM t WHERE p = 'urn:x:v/maker' GROUP BY s_k, s HAVING count(*) > 1",
     "w9_same_as": _COMP + " SELECT a.l AS node, least(a, min(b)).l AS component FROM r GROUP BY a",
