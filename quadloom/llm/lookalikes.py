@@ -30,6 +30,8 @@ _HYPHENS = "‐‑﹣⁃"
 _IGNORABLE = "AD-AD 34F-34F 61C-61C 115F-1160 17B4-17B5 180B-180F 200B-200F 202A-202E 2060-206F 3164-3164 FE00-FE0F FEFF-FEFF FFA0-FFA0 FFF0-FFF8 1BCA0-1BCA3 1D173-1D17A E0000-E0FFF"
 _INVISIBLE = {c for r in _IGNORABLE.split() for c in range(int(r.split("-")[0], 16), int(r.split("-")[1], 16) + 1)}
 
+_BINS = 8192
+
 
 def _tables() -> tuple[dict[str, str], dict[str, str], str]:
     """Single characters mapped to one, characters mapped to several, characters that vanish; by rule from the character database."""
@@ -114,10 +116,19 @@ def classes(literals: DataFrame) -> DataFrame:
 
 
 def _salted(rows: DataFrame, per_text: DataFrame, salts: int, how: str) -> DataFrame:
-    """rows joined with per_text (_lex, ...) by text; a text that any share of the rows has meets ``salts`` copies of its row."""
-    copies = per_text.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    spread = rows.withColumn("_s", F.pmod(F.xxhash64("literal_id", F.monotonically_increasing_id()), F.lit(salts)).cast("int"))
-    return spread.join(copies, (spread["lex"] == copies["_lex"]) & (spread["_s"] == copies["_salt"]), how)
+    """rows joined with per_text (_lex, ...) by text; a text that many of the rows have meets ``salts`` copies of its row.
+
+    Hot are the texts of those hash bins that hold more than one ``salts``-th of the rows, so at most ``salts`` of ``_BINS``; all
+    other texts have one row. Sizes on disk don't tell how large copies become in memory, so they are never broadcast.
+    """
+    place = lambda text: F.pmod(F.xxhash64(text), F.lit(_BINS))
+    bins = {r.b: r.n for r in rows.groupBy(place("lex").alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()}  # at most _BINS rows
+    total = sum(bins.values())
+    hot = [b for b, n in bins.items() if n * salts > total]
+    copies = per_text.withColumn("_salt", F.explode(F.when(place("_lex").isin(hot), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
+    salt = F.pmod(F.xxhash64("literal_id", F.monotonically_increasing_id()), F.lit(salts)).cast("int")
+    spread = rows.withColumn("_s", F.when(place("lex").isin(hot), salt).otherwise(0))
+    return spread.join(copies.hint("merge"), (spread["lex"] == copies["_lex"]) & (spread["_s"] == copies["_salt"]), how)
 
 
 def canonical_texts(literals: DataFrame, salts: int | None = None) -> DataFrame:
@@ -148,14 +159,16 @@ def same_look_pairs(literals: DataFrame, block: int = 1000, salts: int | None =
     """
     spark = literals.sparkSession
     spool = Spool(spark)
-    several = spool.write(classes(literals).where("members > 1").select("lex", F.col("canonical").alias("cls"), F.ceil(F.col("n_rows") / block).cast("int").alias("parts")))
-    rows = literals.where("literal_id IS NOT NULL").select("literal_id", "lex").distinct()
-    found = _salted(rows, several.select(F.col("lex").alias("_lex"), "parts"), salts or max(32, task_slots(spark)), "inner")
-    placed = spool.write(found.select("literal_id", "lex", F.pmod(F.xxhash64("literal_id"), F.col("parts")).cast("int").alias("part")))
-    blocks = several.select("lex", "cls", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    one, two = (blocks.select(F.col("cls").alias(f"cls_{x}"), F.col("lex").alias(f"lex_{x}"), F.col("part").alias(f"part_{x}")) for x in "ab")
-    meet = one.join(two, (F.col("cls_a") == F.col("cls_b")) & (F.col("lex_a") < F.col("lex_b"))).drop("cls_a", "cls_b")
-    a, b = (placed.select(F.col("literal_id").alias(f"id_{x}"), F.col("lex").alias(f"l_{x}"), F.col("part").alias(f"p_{x}")) for x in "ab")
-    half = a.join(meet, (F.col("l_a") == F.col("lex_a")) & (F.col("p_a") == F.col("part_a"))).select("id_a", "lex_b", "part_b")
-    pairs = half.join(b, (F.col("lex_b") == F.col("l_b")) & (F.col("part_b") == F.col("p_b"))).where("id_a <> id_b")
+    several = classes(literals).where("members > 1").select("lex", F.col("canonical").alias("cls"), F.ceil(F.col("n_rows") / block).cast("int").alias("parts"))
+    several = spool.write(several.withColumn("no", F.monotonically_increasing_id()))  # from here on a writing is its number
+    rows = literals.where("literal_id IS NOT NULL AND lex IS NOT NULL").select("literal_id", "lex")
+    found = _salted(rows, several.select(F.col("lex").alias("_lex"), "no", "parts"), salts or max(32, task_slots(spark)), "inner")
+    placed = spool.write(found.select("literal_id", "no", F.pmod(F.xxhash64("literal_id"), F.col("parts")).cast("int").alias("part")).distinct())
+    one, two = (several.select(*[F.col(c).alias(f"{c}_{x}") for c in ("no", "cls", "parts")]) for x in "ab")
+    meet = one.join(two.hint("merge"), (F.col("cls_a") == F.col("cls_b")) & (F.col("no_a") < F.col("no_b"))).select("no_a", "no_b", "parts_a", "parts_b")
+    for x in "ab":
+        meet = meet.withColumn(f"part_{x}", F.explode(F.sequence(F.lit(0), F.col(f"parts_{x}") - 1))).drop(f"parts_{x}")
+    a, b = (placed.select(F.col("literal_id").alias(f"id_{x}"), F.col("no").alias(f"n_{x}"), F.col("part").alias(f"p_{x}")) for x in "ab")
+    half = a.join(meet.hint("merge"), (F.col("n_a") == F.col("no_a")) & (F.col("p_a") == F.col("part_a"))).select("id_a", "no_b", "part_b")
+    pairs = half.join(b.hint("merge"), (F.col("no_b") == F.col("n_b")) & (F.col("part_b") == F.col("p_b"))).where("id_a <> id_b")
     return pairs.select(F.least("id_a", "id_b").alias("literal_id_a"), F.greatest("id_a", "id_b").alias("literal_id_b"))

@@ -48,3 +48,16 @@ def test_hot_text_and_classes(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert lookalikes.same_look_pairs(df).count() == 0 and lookalikes.canonical_texts(df).count() == 0
+
+
+def test_copies_of_texts_stay_few_and_off_the_driver(spark, tmp_path):
+    rows = [(i, f"text {i}" if i % 3 else "one text that a third of the rows hold", "c", "l") for i in range(30_000)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/rows")
+    df = spark.read.parquet(f"{tmp_path}/rows")
+    df.groupBy("lex").count().withColumnRenamed("lex", "_lex").write.parquet(f"{tmp_path}/texts")
+    texts = spark.read.parquet(f"{tmp_path}/texts")
+    joined = lookalikes._salted(df, texts, 64, "inner")
+    assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
+    assert {(r.literal_id, r["count"]) for r in joined.collect()} == {(i, 1 if i % 3 else 10_000) for i in range(30_000)} and joined.count() == 30_000
+    assert joined.select("_s").where("lex LIKE 'one%'").distinct().count() == 64
+    assert lookalikes._salted(texts.select(texts["_lex"].alias("lex"), texts["count"].alias("literal_id")), texts, 64, "full").count() < 2 * texts.count()
