@@ -35,6 +35,7 @@ TEMPERATURE = 0.06
 LEAST_SCORE = 0.04
 _CACHE = 200_000
 _BATCH = 256
+_TOGETHER = 200  # words of a clause up to which paths are searched for many clauses at a time
 
 # ISO 639-1 and ISO 639-3 codes.
 _CODES = """
@@ -59,6 +60,7 @@ _PLAIN = str.maketrans({"ø": "o", "Ø": "O", "ł": "l", "Ł": "L", "æ": "ae",
 
 _IRI = re.compile(r"\b(?:urn:|[a-z][a-z0-9+.-]*://|www\.)[^\s<>“”]*")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
+_ASCII_WORD = re.compile("[a-z]+(?:'[a-z]+)*")
 #: Mark-up, quoted titles, tokens with digits and the unit after them, strong punctuation. It begins with the set of first characters.
 #: A search for the closing mark ends at the next opening one or at the end of the line, so it takes linear time.
 _BREAK = re.compile(
@@ -148,7 +150,8 @@ def clauses(text: str) -> tuple[list[tuple[str, int]], list[int] | None]:
         if end - start > 2:  # two words take three characters
             clause = plain[start:end]
             if plain[end].isdigit():
-                clause = _SHORT_END.sub("", clause)
+                short = _SHORT_END.search(clause, max(0, len(clause) - 9))  # it takes eight characters at most
+                clause = clause[: short.start()] if short else clause
             found.append((clause, start))
         start = m.end()
     if len(plain) - start > 2:
@@ -158,10 +161,10 @@ def clauses(text: str) -> tuple[list[tuple[str, int]], list[int] | None]:
 
 def words_of(clause: str) -> list[str]:
     """Words in lower case and in one script."""
-    words = _WORD.findall(clause)
-    if not clause.isascii():
-        words = _mend(words)
-    return [w.lower() for w in words]
+    if clause.isascii():
+        return _ASCII_WORD.findall(clause.lower())
+    words = _mend(_WORD.findall(clause))
+    return " ".join(words).lower().split(" ") if words else []
 
 
 def _grams(word: str) -> set[str]:
@@ -175,16 +178,11 @@ class Indicator:
 
     def __init__(self, rows: np.ndarray, cols: np.ndarray, shape: tuple[int, int]) -> None:
         self.shape = shape
-        there = np.zeros(shape[1], bool)
-        there[cols] = True
-        used = np.flatnonzero(there)  # only these columns need room while repeats are dropped
-        place = np.empty(shape[1], np.int64)
-        place[used] = np.arange(len(used))
-        dense = np.zeros((shape[0], max(1, len(used))), bool)
-        dense[rows, place[cols]] = True
-        at = np.flatnonzero(dense)
-        self.rows, k = np.divmod(at, dense.shape[1])
-        self.cols = used[k]
+        kind = np.int32 if shape[0] * shape[1] < 2**31 else np.int64  # the shorter numbers are sorted faster
+        places = np.sort(rows.astype(kind) * kind(shape[1]) + cols.astype(kind))
+        places = places[np.diff(places, prepend=kind(-1)) > 0]
+        self.rows = places // kind(max(1, shape[1]))
+        self.cols = places - self.rows * kind(shape[1])
 
     def row_sums(self) -> np.ndarray:
         return np.bincount(self.rows, minlength=self.shape[0])
@@ -192,8 +190,8 @@ class Indicator:
     def __matmul__(self, weights: np.ndarray) -> np.ndarray:
         out = np.zeros((self.shape[0], weights.shape[1]), weights.dtype)
         if len(self.cols):
-            held, starts = np.unique(self.rows, return_index=True)
-            out[held] = np.add.reduceat(weights[self.cols], starts)
+            starts = np.flatnonzero(np.diff(self.rows, prepend=-1))
+            out[self.rows[starts]] = np.add.reduceat(weights.take(self.cols, 0), starts)
         return out
 
 
@@ -202,37 +200,56 @@ class Model:
 
     def __init__(self, languages: list[str], index: dict[str, int], weights: np.ndarray) -> None:
         self.languages, self.index, self.weights = languages, index, weights
-        self._words: dict[str, tuple[np.ndarray, int]] = {}
         self._clauses: dict[str, list] = {}
-        self._alone: dict[str, np.ndarray] = {}
-
-    def __getstate__(self) -> dict:
-        return {"languages": self.languages, "index": self.index, "weights": self.weights, "_words": {}, "_clauses": {}, "_alone": {}}
-
-    def ids(self, word: str) -> tuple[np.ndarray, int]:
-        """Columns of the word's n-grams, and how many of its n-grams no landmark holds."""
-        got = self._words.get(word)
-        if got is None:
-            grams = _grams(word)
-            ids = [i for g in grams if (i := self.index.get(g)) is not None]
-            got = (np.array(ids, np.int64), len(grams) - len(ids))
-            if len(self._words) >= _CACHE:
-                self._words.clear()
-            self._words[word] = got
-        return got
+        self._forget_words()
+
+    def __reduce__(self) -> tuple:
+        return Model, (self.languages, self.index, self.weights)
+
+    def _forget_words(self) -> None:
+        """The vocabulary: each word's number, and by number where its columns lie in ``_columns``, how many they are, how many of
+        its n-grams no landmark holds, and its own scores."""
+        self._numbers: dict[str, int] = {}
+        self._columns = np.zeros(0, np.int32)
+        self._first, self._held, self._strange = (np.zeros(0, np.int64) for _ in range(3))
+        self._own = np.zeros((0, len(self.languages)))
+
+    def _numbered(self, words: list[str]) -> np.ndarray:
+        """Number of each word in the vocabulary, which takes in the new ones."""
+        new = [w for w in dict.fromkeys(words) if w not in self._numbers]
+        if new and len(self._numbers) + len(new) > _CACHE:
+            self._forget_words()
+            new = list(dict.fromkeys(words))
+        if new:
+            grams = [_grams(w) for w in new]
+            columns = [sorted(i for g in gs if (i := self.index.get(g)) is not None) for gs in grams]
+            held, n = np.array([len(c) for c in columns], np.int64), len(self._numbers)
+            self._first = np.concatenate([self._first, len(self._columns) + held.cumsum() - held])
+            self._held = np.concatenate([self._held, held])
+            self._strange = np.concatenate([self._strange, [len(gs) for gs in grams] - held])
+            self._columns = np.concatenate([self._columns, np.array([i for c in columns for i in c], np.int32)])
+            self._numbers.update(zip(new, range(n, n + len(new))))
+            self._own = np.concatenate([self._own, self._scores(np.arange(n, n + len(new)), np.ones(len(new), np.int64))])
+        return np.fromiter(map(self._numbers.__getitem__, words), np.int64, len(words))
 
     def scores(self, groups: list[list[str]]) -> np.ndarray:
-        """Score of each group of words in each language: the sparse indicator matrix of ``_BATCH`` groups times the weights.
+        """Score of each group of words in each language."""
+        return self._scores(self._numbered([w for ws in groups for w in ws]), np.array([len(ws) for ws in groups], np.int64))
+
+    def _scores(self, words: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Of groups of so many words each: the sparse indicator matrix of ``_BATCH`` groups times the weights.
 
         An n-gram counts once in a group. N-grams that no landmark holds add to a group's number alone, once a word.
         """
-        out = np.zeros((len(groups), len(self.languages)))
-        for lo in range(0, len(groups), _BATCH):
-            part = groups[lo : lo + _BATCH]
-            words = [self.ids(w) for ws in part for w in ws]
-            owner = np.repeat(np.arange(len(part)), [len(ws) for ws in part])
-            x = Indicator(np.repeat(owner, [len(i) for i, _ in words]), np.concatenate([i for i, _ in words]), (len(part), len(self.index)))
-            size = x.row_sums() + np.bincount(owner, [n for _, n in words], len(part))
+        out = np.zeros((len(sizes), len(self.languages)))
+        ends = sizes.cumsum()
+        for lo in range(0, len(sizes), _BATCH):
+            n = sizes[lo : lo + _BATCH]
+            part = words[ends[lo] - n[0] : ends[lo + len(n) - 1]]
+            owner, held = np.repeat(np.arange(len(n)), n), self._held[part]
+            at = np.repeat(self._first[part] - held.cumsum() + held, held) + np.arange(held.sum())
+            x = Indicator(np.repeat(owner, held), self._columns[at], (len(n), len(self.index)))
+            size = x.row_sums() + np.bincount(owner, self._strange[part], len(n))
             out[lo : lo + _BATCH] = (x @ self.weights) / np.sqrt(np.maximum(1, size))[:, None]
         return out
 
@@ -252,6 +269,36 @@ class Model:
         cuts = [0, *(i for i in range(1, len(way)) if way[i] != way[i - 1]), len(way)]
         return list(zip(cuts[:-1], cuts[1:]))
 
+    def paths(self, e: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> list[list[tuple[int, int]]]:
+        """path() of the clauses whose words begin at ``starts``: short ones together, a word of each at a time, longest first."""
+        out: list = [None] * len(sizes)
+        for i in np.flatnonzero(sizes > _TOGETHER).tolist():
+            out[i] = self.path(e[starts[i] : starts[i] + sizes[i]])
+        order = np.flatnonzero(sizes <= _TOGETHER)
+        if not len(order):
+            return out
+        order = order[np.argsort(-sizes[order], kind="stable")]
+        at, n, same = starts[order], sizes[order], np.arange(e.shape[1])
+        live = np.searchsorted(-n, -np.arange(n[0])).tolist()  # clauses that have a word at this place
+        score, back = e[at], []
+        for t in range(1, n[0]):
+            now = score[: live[t]]
+            floor = now.max(1, keepdims=True) - SWITCH
+            back.append(np.where(now >= floor, same, now.argmax(1)[:, None]))
+            score[: live[t]] = np.maximum(now, floor) + e[at[: live[t]] + t]
+        way = np.zeros((len(n), n[0]), np.int64)
+        last = score.argmax(1)
+        for t in range(n[0] - 1, 0, -1):
+            way[: live[t], t] = last[: live[t]]
+            last[: live[t]] = back[t - 1][np.arange(live[t]), last[: live[t]]]
+        way[:, 0] = last
+        cut = way[:, 1:] != way[:, :-1]
+        cut &= np.arange(1, n[0]) < n[:, None]
+        for i, m, c in zip(order.tolist(), n.tolist(), cut):
+            cuts = [0, *(np.flatnonzero(c) + 1).tolist(), m]
+            out[i] = list(zip(cuts[:-1], cuts[1:]))
+        return out
+
     def label(self, parts: list[str]) -> None:
         """Fills the cache with each clause's segments: start, end, language, confidence, words.
 
@@ -271,23 +318,20 @@ class Model:
                 flat += got
         if not kept or not self.languages:
             return
-        fresh = [w for w in dict.fromkeys(flat) if w not in self._alone]
-        if len(self._alone) + len(fresh) > _CACHE:
-            self._alone.clear()
-            fresh = list(dict.fromkeys(flat))
-        self._alone.update(zip(fresh, self.scores([[w] for w in fresh])))
-        alone = np.array([self._alone[w] for w in flat])
-        change = np.add.reduceat(alone.max(1), starts) - SWITCH > np.add.reduceat(alone, starts).max(1)
-        spans, groups = [], []
-        for (p, got), at, moves in zip(kept, starts, change):
-            ways = self.path(alone[at : at + len(got)]) if moves else []
+        words = self._numbered(flat)
+        alone, first = self._own[words], np.array(starts)
+        change = np.add.reduceat(alone.max(1), first) - SWITCH > np.add.reduceat(alone, first).max(1)
+        sizes = np.diff(first, append=len(flat))
+        moved = iter(self.paths(alone, first[change], sizes[change]))
+        spans = []
+        for (p, got), moves in zip(kept, change.tolist()):
+            ways = next(moved) if moves else []
             if all(b - a < 2 for a, b in ways):  # no change, or changes at every word: one phrase
                 ways = [(0, len(got))]
             places = [m.span() for m in _WORD.finditer(p)] if len(ways) > 1 else [_WORD.search(p).span(), (0, len(p.rstrip(" ,\t'’")))]
             for a, b in ways:
                 spans.append((p, places[a][0], places[b - 1 if len(ways) > 1 else 1][1], b - a))
-                groups.append(got[a:b])
-        scores = self.scores(groups)
+        scores = self._scores(words, np.array([n for *_, n in spans]))  # spans follow each other and leave out no word
         best = scores.argmax(1)
         top = scores.max(1)
         sure = 1 / np.exp((scores - top[:, None]) / TEMPERATURE).sum(1)
@@ -412,8 +456,12 @@ def segments(df: DataFrame, key: str, text: str, label: str, model: Model) -> Da
         for whole in batches:
             for lo in range(0, whole.num_rows, 2000):
                 batch = whole.slice(lo, 2000)
-                found = [[{"start_pos": a, "end_pos": b, "lang": x, "confidence": c} for a, b, x, c in f] for f in m.segments(batch.column(2).to_pylist())]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, seg)], names=["key", "label", "segs"])
+                found = m.segments(batch.column(2).to_pylist())
+                ends = np.cumsum([0, *map(len, found)])
+                parts = list(zip(*(x for f in found for x in f))) or [()] * 4
+                each = pa.StructArray.from_arrays([pa.array(x, f.type) for x, f in zip(parts, seg.value_type)], fields=list(seg.value_type))
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), each, type=seg)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], names=["key", "label", "segs"])
 
     kind = "array<struct<start_pos:bigint,end_pos:bigint,lang:string,confidence:double>>"
     schema = T.StructType([T.StructField("key", rows.schema["key"].dataType), T.StructField("label", T.StringType()), T.StructField("segs", T._parse_datatype_string(kind))])

@@ -103,3 +103,36 @@ def test_segments_table(spark):
     assert main == {(1, "en"), (1, "de"), (None, None), (2, None), (3, "en")}
     assert language.segments(df.limit(0), "key", "text", "label", m).count() == 0
     assert language.fit_table(table(spark, SF, "language_samples").limit(0)).segments(["The small museum keeps"]) == [[]]
+
+
+def test_short_clauses_are_searched_together(spark, monkeypatch):
+    import numpy as np
+
+    m, r = model(spark), np.random.default_rng(1)
+    sizes = np.array([1, 2, 7, language._TOGETHER, language._TOGETHER + 1, 7, 1, 40])
+    starts = sizes.cumsum() - sizes
+    for e in (r.random((sizes.sum(), 3)) * 2, r.integers(0, 2, (sizes.sum(), 3)).astype(float)):  # the second is full of ties
+        assert m.paths(e, starts, sizes) == [m.path(e[a : a + n]) for a, n in zip(starts, sizes)]
+    assert m.paths(e, starts[:0], sizes[:0]) == []
+    texts = ["The small museum keeps the letters of the mill das kleine Museum bewahrt die Briefe aus der Mühle", "", None, "the the the the", "ΟΔΟΣ ΤΗΣ ΠΟΛΗΣ ΚΑΙ"] * 3
+    want = m.segments(texts)
+    monkeypatch.setattr(language, "_CACHE", 5)  # the vocabulary is forgotten again and again
+    small = language.Model(m.languages, m.index, m.weights)
+    assert [small.segments([t])[0] for t in texts] == want
+    monkeypatch.setattr(language.Model, "path", None)  # one clause at a time took too long
+    other = language.Model(m.languages, m.index, m.weights)
+    assert other.segments(texts) == want and [s[2] for s in want[0]] == ["en", "de"]
+
+
+def test_words_in_lower_case():
+    for clause in ("The Mill's OLD wheel_s 3x", "ΑΣ.Β ΟΔΟΣ’Σ", "İstanbul İÇ", "", "12 _ '", "ÉCOLE d’Été"):
+        words = language._WORD.findall(clause)
+        assert language.words_of(clause) == [w.lower() for w in (words if clause.isascii() else language._mend(words))]
+
+
+def test_indicator_drops_repeats():
+    import numpy as np
+
+    x = language.Indicator(np.array([2, 0, 0, 2, 0]), np.array([1, 3, 0, 1, 3]), (4, 5))
+    assert list(zip(x.rows.tolist(), x.cols.tolist())) == [(0, 0), (0, 3), (2, 1)] and x.row_sums().tolist() == [2, 0, 1, 0]
+    assert (x @ np.arange(10.0).reshape(5, 2)).tolist() == [[6, 8], [0, 0], [2, 3], [0, 0]]
