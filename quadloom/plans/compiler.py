@@ -197,14 +197,22 @@ class Compiler:
         parts = []
         for left, ways in self._parts(a, b, loose):
             for df, env, cond in ways:
-                if extra is not None:
-                    cond = extra(env) if cond is None else cond & extra(env)
-                joined = left.join(df, cond) if cond is not None else left.crossJoin(df)  # unbound on one side: each row has each partner
+                if cond is not None:
+                    joined = left.join(df, cond if extra is None else cond & extra(env))
+                else:  # unbound on one side: each row has each partner
+                    joined = self._product(left, df, None if extra is None else extra(env))
                 parts.append(self._merge(joined, Rel(left, a.env), env, b, loose, loose))
         out = union_rels(parts)
         out.maybe = {n for n in (a.maybe | b.maybe) if not (n in loose and not (n in a.maybe and n in b.maybe))}
         return out
 
+    @staticmethod
+    def _product(left: DataFrame, df: DataFrame, cond: Column | None) -> DataFrame:
+        """Rows of b with the rows of a that leave the variables unbound. These, often few, are shuffled, so that adaptive execution
+        knows their size, and innermost: neighbouring rows of the result then share what b binds, which files hold once."""
+        left = left.hint("rebalance")
+        return df.crossJoin(left) if cond is None else df.join(left, cond)
+
     def _select(self, a: Rel, b: Rel, loose: list[str], keep: bool, extra: Callable | None = None, overlap: bool = False) -> DataFrame:
         """a's rows that have (``keep``) or lack a row of b that agrees with them. ``overlap``: some variable must be bound on both sides."""
         out: list[DataFrame] = []

@@ -70,3 +70,18 @@ def test_no_nested_loop_in_the_plan(spark, e, pattern):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
     assert "BroadcastNestedLoopJoin" not in plan and "SortMergeJoin" in plan
+
+
+FAR = [(f"urn:a{i}", "urn:p0", f"urn:b{i}") for i in range(9)] + [("urn:b1", "urn:p1", "urn:c1")] + [(f"urn:c{i}", "urn:p2", f"urn:d{i}") for i in range(300)]
+
+
+def test_neighbours_of_a_product_share_the_larger_side(spark):
+    e = Engine(QuadGraph.from_triples(spark, FAR), {"": "urn:"})
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = e.sparql(f"SELECT ?a ?b ?c ?d {{ {HEAD} OPTIONAL {{ ?c :p2 ?d }} }}").collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert len(set(rows)) == len(rows) == 8 * 300 + 1
+    assert sum(x.c != y.c for x, y in zip(rows, rows[1:])) < 900  # so files hold a value of ?c once for its eight rows
