@@ -24,6 +24,10 @@ from quadloom.sources.graphs import Graph, Rel, bind, union_rels
 from quadloom.terms import TERM, Val
 
 
+#: Rows of the other side that a condition without keys is tried on before all of them.
+FEW = 1000
+
+
 class Compiler:
     def __init__(self, graph: Graph, base: str = "", endpoints: dict[str, Graph] | None = None, property_functions: dict[str, Callable] | None = None, asserted: Graph | None = None) -> None:
         """``asserted``: the graph without entailment, where graph has some."""
@@ -213,6 +217,15 @@ class Compiler:
         left = left.hint("rebalance")
         return df.crossJoin(left) if cond is None else df.join(left, cond)
 
+    def _by_condition(self, rest: DataFrame, df: DataFrame, cond: Column) -> tuple[DataFrame, DataFrame]:
+        """The rows that have, and those that lack, a row of b under a condition without keys. Most that have one find it among a few
+        rows of b; only the others meet all of b, which is never broadcast."""
+        among = lambda x, ys: x.join(ys, [x[n].eqNullSafe(ys[f"{n}="]) for n in x.columns], "left_anti")
+        open_ = rest.join(df.limit(FEW), cond, "left_anti")
+        found = self._product(open_, df, cond).select(*[open_[n].alias(f"{n}=") for n in open_.columns]).distinct()
+        lack = among(open_, found)
+        return among(rest, lack.select(*[lack[n].alias(f"{n}=") for n in lack.columns]).distinct()), lack
+
     def _select(self, a: Rel, b: Rel, loose: list[str], keep: bool, extra: Callable | None = None, overlap: bool = False) -> DataFrame:
         """a's rows that have (``keep``) or lack a row of b that agrees with them. ``overlap``: some variable must be bound on both sides."""
         out: list[DataFrame] = []
@@ -222,8 +235,10 @@ class Compiler:
                     continue
                 if cond is None and extra is None:  # any row of b will do
                     hit, rest = rest.where(df.exists()), rest.where(~df.exists())
+                elif cond is None:
+                    hit, rest = self._by_condition(rest, df, extra(env))
                 else:
-                    cond = cond if extra is None else extra(env) if cond is None else cond & extra(env)
+                    cond = cond if extra is None else cond & extra(env)
                     hit, rest = rest.join(df, cond, "left_semi"), rest.join(df, cond, "left_anti")
                 if keep:
                     out.append(hit)

@@ -6,6 +6,7 @@ from collections import Counter
 import pytest
 
 from quadloom.engine import Engine
+from quadloom.plans.algebra import XSD, Lit
 from quadloom.sources.graphs import QuadGraph
 
 R = random.Random(11)
@@ -85,3 +86,38 @@ def test_neighbours_of_a_product_share_the_larger_side(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
     assert len(set(rows)) == len(rows) == 8 * 300 + 1
     assert sum(x.c != y.c for x, y in zip(rows, rows[1:])) < 900  # so files hold a value of ?c once for its eight rows
+
+
+def test_a_condition_without_keys_broadcasts_a_few_rows(spark):
+    e = Engine(QuadGraph.from_triples(spark, FAR), {"": "urn:"})
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = e.sparql(f"SELECT ?a ?d {{ {HEAD} OPTIONAL {{ ?c :p2 ?d FILTER(?d > ?a) }} }}")
+        lines = df._jdf.queryExecution().executedPlan().toString().split("\n")
+        rows = Counter(tuple(r) for r in df.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    depth = [len(x) - len(x.lstrip(" :+-")) for x in lines]
+    for i, x in enumerate(lines):
+        if "BroadcastExchange" in x:
+            below = lines[i + 1 : next((j for j in range(i + 1, len(lines)) if depth[j] <= depth[i]), len(lines))]
+            assert any("Limit" in y for y in below)
+    far = [{"a": s, "b": o} for s, p, o in FAR if p == "urn:p0"], [{"b": "urn:b1", "c": "urn:c1"}], [{"c": s, "d": o} for s, p, o in FAR if p == "urn:p2"]
+    assert rows == Counter((x["a"], x.get("d")) for x in optional(optional(far[0], far[1]), far[2], lambda m: False))  # IRIs have no order: an error
+
+
+@pytest.mark.parametrize("least", [0, 1500, 1999, 2000])
+def test_a_condition_that_few_or_no_rows_meet(spark, least):
+    """2000 rows on the other side: more than those that are tried first."""
+    rows = [(f"urn:a{i}", "urn:p0", f"urn:b{i % 4}") for i in range(6)] + [(f"urn:b{i}", "urn:v", Lit(str(least + i), XSD + "integer")) for i in range(4)]
+    rows += [("urn:b1", "urn:p1", "urn:c7")] + [(f"urn:c{i}", "urn:w", Lit(str(i), XSD + "integer")) for i in range(2000)]
+    e = Engine(QuadGraph.from_triples(spark, rows), {"": "urn:"})
+    got = e.sparql("SELECT ?a ?c ?n { ?a :p0 ?b . ?b :v ?v OPTIONAL { ?b :p1 ?c } OPTIONAL { ?c :w ?n FILTER(?n >= ?v) } }").collect()
+    expected = Counter()
+    for i in range(6):
+        partners = [n for n in ([7] if i % 4 == 1 else range(2000)) if n >= least + i % 4]
+        expected.update((f"urn:a{i}", f"urn:c{n}", n) for n in partners)
+        if not partners:
+            expected[(f"urn:a{i}", "urn:c7" if i % 4 == 1 else None, None)] += 1
+    assert Counter((r.a, r.c, None if r.n is None else int(getattr(r.n, "lex", r.n))) for r in got) == expected
