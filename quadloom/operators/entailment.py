@@ -165,6 +165,9 @@ class RdfsLite(QuadGraph):
             out = part if out is None else out.union(part)
         return out.distinct()
 
+    def edge_rows(self, predicates: list[str], graph) -> DataFrame:
+        return self.edges(predicates, graph)
+
 
 @regime("rdfslite")
 def rdfs_lite(graph: QuadGraph) -> QuadGraph:

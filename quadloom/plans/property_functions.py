@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadloom import terms as t
-from quadloom.operators import fulltext
+from quadloom.operators import fulltext, lists
 from quadloom.plans.algebra import RDF, Iri, Lit, Repeat, Seq, Triple, Var
 from quadloom.runtime import Spool
 from quadloom.sources.graphs import Rel, bind, token_bucket
@@ -85,31 +85,68 @@ for _name in ("bag", "seq", "alt"):
     REGISTRY[APF + _name] = _typed(_name.capitalize())
 
 
-def list_cells(c, graph) -> DataFrame:
-    """(list, cell, i): each list node with the cells from it on, counted from 0."""
-    spool = Spool(c.spark)
-    rest = spool.write(c.g.edges([REST], graph).where(F.col("o.lex") != c.g.encode(NIL)))
-    heads = c.g.edges([FIRST], graph).select("s").distinct()
-    known = front = spool.write(heads.select(F.col("s").alias("list"), F.col("s").alias("cell"), F.lit(0).cast("bigint").alias("i")))
-    while not front.isEmpty():
-        step = front.join(rest, front["cell"] == rest["s"]).select("list", F.col("o").alias("cell"), F.col("i") + 1)
-        front = spool.write(step.toDF("list", "cell", "i").join(known, ["list", "cell"], "left_anti"))  # ends on circular lists
-        known = known.union(front)
-    return known
+def list_places(c, graph, spool: Spool) -> tuple[DataFrame, DataFrame | None] | None:
+    """Places of the cells in lists; None where rest does not form lists, whichever way its statements repeat."""
+    nil = c.g.encode(NIL)
+    for rows in (c.g.edge_rows([REST], graph), c.g.edges([REST], graph)):
+        s, o, last = lists.key(F.col("s")), lists.key(F.col("o")), F.col("o.lex") == nil
+        found = lists.places(rows.select(F.when(last | o.isNotNull(), s).alias("s"), F.when(~last, o).alias("o")), spool)
+        if found is not None:
+            return found
+    return None
+
+
+def list_cells(c, graph, heads: DataFrame, spool: Spool) -> DataFrame:
+    """(list, cell, i): each head with the cells from it on, counted from 0."""
+    return lists.reached(c.g.edges([REST], graph).where(F.col("o.lex") != c.g.encode(NIL)), heads, spool)
+
+
+def _circular(heads: DataFrame, circular: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Heads (column list) in open and in circular lists."""
+    cells = circular.select(lists.node(F.col("cell")).alias("list"))
+    return heads.join(cells, "list", "left_anti"), heads.join(cells, "list", "left_semi")
 
 
 @register(LIST + "length")
 def list_length(c, rel: Rel, subject: list, obj: list, graph) -> Rel:
-    n = list_cells(c, graph).groupBy("list").agg(F.count(F.lit(1)).alias("n"))
+    spool = Spool(c.spark)
+    heads = c.g.edges([FIRST], graph).select(F.col("s").alias("list")).distinct()
+    counted = lambda hs: list_cells(c, graph, hs, spool).groupBy("list").agg(F.count(F.lit(1)).alias("n"))
+    found = list_places(c, graph, spool)
+    if found is None:
+        n = counted(heads)
+    else:
+        places, circular = found
+        around = None
+        if circular is not None:
+            heads, around = _circular(heads, circular)
+        n = heads.join(places.select(lists.node(F.col("cell")).alias("list"), "n"), "list", "left").select("list", F.coalesce("n", F.lit(1)).alias("n"))
+        n = n if around is None else n.union(counted(around))
     nil = c.spark.range(1).select(t.struct(1, c.g.encode(NIL)).alias("list"), F.lit(0).cast("bigint").alias("n"))
     return join_pairs(c, rel, n.union(nil), [subject[0], obj[0]], ["list", "n"])
 
 
 @register(LIST + "index")
 def list_index(c, rel: Rel, subject: list, obj: list, graph) -> Rel:
+    spool = Spool(c.spark)
     first = c.g.edges([FIRST], graph).select(F.col("s").alias("cell"), F.col("o").alias("e"))
-    found = list_cells(c, graph).join(first, "cell").select("list", "i", "e")
-    return join_pairs(c, rel, found, [subject[0], obj[0], obj[1]], ["list", "i", "e"])
+    walked = lambda hs: list_cells(c, graph, hs, spool).join(first, "cell").select("list", "i", "e")
+    found = None
+    if found is None:
+        pairs = walked(first.select(F.col("cell").alias("list")).distinct())
+    else:
+        places, circular = found
+        placed = first.join(places.select(lists.node(F.col("cell")).alias("cell"), "chain", "pos"), "cell", "left")
+        placed = spool.write(placed.select("cell", "e", F.coalesce("chain", lists.key(F.col("cell"))).alias("chain"), F.coalesce("pos", F.lit(0)).alias("pos")))
+        heads = placed.select(F.col("cell").alias("list"), F.col("chain").alias("of"), F.col("pos").alias("from"))
+        if placed.select(F.xxhash64("cell")).distinct().count() < placed.count():  # some cell holds several elements
+            heads = heads.distinct()
+        around = None
+        if circular is not None:
+            heads, around = _circular(heads, circular)
+        pairs = heads.join(placed, (F.col("of") == F.col("chain")) & (F.col("pos") >= F.col("from"))).select("list", (F.col("pos") - F.col("from")).alias("i"), "e")
+        pairs = pairs if around is None else pairs.union(walked(around.select("list").distinct()))
+    return join_pairs(c, rel, pairs, [subject[0], obj[0], obj[1]], ["list", "i", "e"])
 
 
 @register("urn:quadloom:text#match")

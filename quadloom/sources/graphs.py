@@ -58,6 +58,10 @@ class Graph:
         """Distinct (s, o) TERM pairs over the predicates; all of them where None; all others where negated."""
         raise NotImplementedError
 
+    def edge_rows(self, predicates: list[str], graph) -> DataFrame:
+        """(s, o) TERM pairs over the predicates in the order of the table; a pair may be there more than once."""
+        return self.edges(predicates, graph)
+
     def nodes(self, graph) -> DataFrame:
         """Distinct subjects and resource objects, column n."""
         e = self.edges(None, graph)
@@ -202,6 +206,9 @@ class QuadGraph(Graph):
             df = df.where(~inside if negated else inside)
         return df.select("s", "o").distinct()
 
+    def edge_rows(self, predicates: list[str], graph) -> DataFrame:
+        return self._of_graph(graph).where(F.col("p").isin([self.encode(p) for p in predicates])).select("s", "o")
+
 
 @dataclass
 class Column_:
