@@ -71,3 +71,4 @@ def test_lists_are_not_walked_cell_by_cell(spark, monkeypatch, name):
     g = Engine(QuadGraph.from_triples(spark, GRAPHS[name]), {"rdf": RDF, "list": property_functions.LIST})
     lengths, index = walked(GRAPHS[name])
     assert g.sparql("SELECT DISTINCT ?l ?n { ?l rdf:first ?f ; list:length ?n }").count() == sum(lengths.values())
+    assert g.sparql("SELECT ?l ?i ?x { ?l list:index (?i ?x) }").count() == sum(index.values())
